@@ -33,9 +33,12 @@ def recommended_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
     }
 
 
-def local_session(cores: int = 8, app_name: str = "readyscope") -> SparkSession:
-    """One-JVM session without the web page."""
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
+def local_session(cores: int = 8, scratch: str | None = None) -> SparkSession:
+    """One-JVM session without the web page.
+
+    ``scratch`` becomes the shared folder where the installation names none.
+    """
+    builder = SparkSession.builder.master(f"local[{cores}]").appName("readyscope")
     for key, value in recommended_conf(shuffle_bytes=0, cores=cores).items():
         builder = builder.config(key, value)
     builder = (
@@ -44,5 +47,8 @@ def local_session(cores: int = 8, app_name: str = "readyscope") -> SparkSession:
         .config("spark.driver.memory", "8g")
     )
     spark = builder.getOrCreate()
+    if scratch and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", scratch).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

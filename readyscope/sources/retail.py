@@ -40,6 +40,17 @@ from readyscope.model import (
 # "Middle East" plays the region with a short label
 RETAIL_REGION_LABELS = {"MIDDLE EAST": "ME"}
 
+# The columns read here; declared, so that no job runs just to infer them
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int,"
+    " l_returnflag string, l_shipdate timestamp_ntz",
+}
+
 # Which table a column comes from; all others come from the line itself
 _PART_COLUMNS = {SYSTEM_NAME}
 _REGION_COLUMNS = {REGION, STATE}
@@ -73,10 +84,13 @@ def equipment(
     """The given equipment columns, from as few tables as they need."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _table(spark, sf_dir, name)
 
     wanted = set(columns)
     rows = table("lineitem")
+    if wanted & _PART_COLUMNS:
+        # before the orders, so that a shuffle follows and AQE may split a hot part
+        rows = _lookup(rows, "l_partkey", table("part"), "p_partkey")
     if wanted & _ORDER_COLUMNS:
         # order-level lookups first: there are fewer orders than lines
         orders = table("orders")
@@ -89,8 +103,6 @@ def equipment(
                 customers = _lookup(customers, "c_nationkey", nations, "n_nationkey")
             orders = _lookup(orders, "o_custkey", customers, "c_custkey")
         rows = _lookup(rows, "l_orderkey", orders, "o_orderkey")
-    if wanted & _PART_COLUMNS:
-        rows = _lookup(rows, "l_partkey", table("part"), "p_partkey")
     expressions = _expressions()
     return rows.select(*[expressions[name].alias(name) for name in columns])
 
@@ -99,7 +111,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One target per part up to size 40; about a fifth of the equipment has none."""
     mobile = F.col("p_type").isin("SMALL", "ECONOMY")
     return (
-        spark.read.parquet(f"{sf_dir}/part.parquet")
+        _table(spark, sf_dir, "part")
         .where(F.col("p_size") <= 40)
         .select(
             F.col("p_partkey").alias(MATERIAL_ID),
@@ -110,5 +122,9 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
     return rows.join(table, rows[key] == table[table_key], "left")

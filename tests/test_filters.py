@@ -1,0 +1,77 @@
+import fleets
+import pytest
+from pyspark.errors import AnalysisException
+
+from readyscope.model import BUSINESS_LINE, LEVEL, MOBILITY, REGION
+from readyscope.operators.enrich import enrich
+from readyscope.operators.filters import (
+    apply_filters,
+    filter_predicate,
+    selections_to_filters,
+    split_filters,
+)
+
+
+def test_golden_counts(spark):
+    golden = fleets.golden_equipment(spark)
+    one = {LEVEL: ["SRS READY"], BUSINESS_LINE: ["AXA"]}
+    two = {LEVEL: ["SRS READY", "CONNECTED BUT NOT SRS READY"], BUSINESS_LINE: ["AXA"]}
+    assert apply_filters(golden, one).count() == 161
+    assert apply_filters(golden, two).count() == 175
+    assert apply_filters(golden, {}).count() == 2286
+
+
+def test_requested_values_are_upper_cased_stored_ones_are_not(spark):
+    edge = fleets.edge_equipment(spark)
+    assert apply_filters(edge, {REGION: ["São Paulo Interior"]}).count() == 2
+    assert apply_filters(edge, {"city": ["Santos"]}).count() == 0
+    assert apply_filters(edge, {"city": ["Santos"]}, upper_values=False).count() == 8
+
+
+def test_one_value_may_be_given_without_a_list(spark):
+    edge = fleets.edge_equipment(spark)
+    assert apply_filters(edge, {BUSINESS_LINE: "ct", REGION: "sul"}).count() == 2
+
+
+def test_empty_entries_do_not_filter(spark):
+    edge = fleets.edge_equipment(spark)
+    assert apply_filters(edge, {BUSINESS_LINE: [], REGION: None}).count() == 11
+    assert filter_predicate({BUSINESS_LINE: []}) is None
+    assert filter_predicate(None) is None
+
+
+def test_null_never_matches(spark):
+    edge = fleets.edge_equipment(spark)
+    every = [r[0] for r in edge.select(BUSINESS_LINE).distinct().collect() if r[0]]
+    assert apply_filters(edge, {BUSINESS_LINE: every}).count() == 10
+
+
+def test_unknown_column_is_an_error(spark):
+    with pytest.raises(AnalysisException):
+        apply_filters(fleets.edge_equipment(spark), {"pais": ["BRASIL"]})
+
+
+def test_target_column_with_question_mark(spark):
+    fleet = enrich(fleets.edge_equipment(spark), fleets.edge_targets(spark))
+    assert apply_filters(fleet, {MOBILITY: ["mobile system"]}).count() == 3
+
+
+def test_everything_entry_drops_the_filter_of_its_column_only():
+    chosen = {
+        REGION: ["Todas as Regionais", "Sul"],
+        BUSINESS_LINE: ["CT"],
+        LEVEL: [],
+    }
+    assert selections_to_filters(chosen) == {BUSINESS_LINE: ["CT"]}
+    assert selections_to_filters({LEVEL: ["Todos os Status"]}) == {}
+    assert selections_to_filters({BUSINESS_LINE: ["Todas as Regionais"]}) == {
+        BUSINESS_LINE: ["Todas as Regionais"]
+    }
+    assert selections_to_filters({REGION: ["any", "SUL"]}, {REGION: "any"}) == {}
+
+
+def test_split_filters():
+    entries = {REGION: ["SUL"], MOBILITY: ["MOBILE SYSTEM"]}
+    assert split_filters(entries, [MOBILITY]) == (
+        {MOBILITY: ["MOBILE SYSTEM"]}, {REGION: ["SUL"]}
+    )

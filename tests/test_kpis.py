@@ -1,0 +1,94 @@
+import fleets
+import pytest
+
+from readyscope import ReadinessBoard, kpi_panel, ready_fraction, ready_pct
+from readyscope.model import BUSINESS_LINE, LEVEL, MOBILITY, REGION
+
+INNER = {REGION: ["SÃO PAULO INTERIOR"], BUSINESS_LINE: ["AXA"]}
+RIO_OFFLINE = {REGION: ["RIO DE JANEIRO"], BUSINESS_LINE: ["AXA"], LEVEL: ["NOT CONNECTED"]}
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    return ReadinessBoard(fleets.golden_equipment(spark).cache(), fleets.golden_targets(spark))
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return ReadinessBoard(fleets.edge_equipment(spark).cache(), fleets.edge_targets(spark))
+
+
+def test_golden_totals(golden):
+    assert golden.total_equipment({**INNER, LEVEL: ["SRS READY"]}) == 38
+    assert golden.total_equipment({BUSINESS_LINE: ["AXA"]}) == 183
+    assert golden.total_equipment() == 2286
+    assert golden.fleet.count() == 2286
+
+
+def test_golden_ready_pct(golden):
+    assert golden.ready_pct(INNER) == 1.66
+    assert golden.ready_pct({}) == 72.0
+    assert golden.ready_pct(RIO_OFFLINE) == 0.0
+
+
+def test_golden_connected_not_ready(golden):
+    assert golden.connected_not_ready(INNER) == 1
+    assert golden.connected_not_ready({}) == 68
+    assert golden.connected_not_ready(RIO_OFFLINE) == 0
+
+
+def test_panel_equals_the_single_kpis(golden, edge):
+    for board in (golden, edge):
+        for filters in (None, INNER, {BUSINESS_LINE: ["CT", "MR"]}, {MOBILITY: ["MOBILE SYSTEM"]}):
+            assert board.kpis(filters) == {
+                "total_equipment": board.total_equipment(filters),
+                "ready_pct": board.ready_pct(filters),
+                "connected_not_ready": board.connected_not_ready(filters),
+                "disconnected": board.disconnected(filters),
+            }
+
+
+def test_edge_rows(edge):
+    # repeated and missing serials count; null levels are neither ready nor a problem
+    assert edge.total_equipment() == 11
+    assert edge.ready_pct() == 36.36
+    # null link status is not OK; of three such levels one has a working link
+    assert edge.connected_not_ready() == 1
+    # not connected: 2 rows, expired elsewhere: ready, partial and unknown level
+    assert edge.disconnected() == 5
+    assert edge.disconnected({REGION: ["NORDESTE"]}) == 1
+
+
+def test_denominator(edge):
+    filters = {BUSINESS_LINE: ["CT"]}
+    assert edge.ready_pct(filters) == 36.36
+    assert ready_pct(edge.equipment, filters, "filtered").first()[0] == 66.67
+    assert kpi_panel(edge.equipment, filters, "filtered").first()["ready_pct"] == 66.67
+    with pytest.raises(ValueError):
+        ready_pct(edge.equipment, filters, "none")
+
+
+def test_empty_fleet_has_no_rate(edge):
+    empty = edge.equipment.limit(0)
+    assert kpi_panel(empty).first().asDict() == {
+        "total_equipment": 0, "ready_pct": None, "connected_not_ready": 0, "disconnected": 0
+    }
+    assert ready_fraction(empty).first()[0] is None
+
+
+def test_rounding_agrees_with_half_even_on_exact_ties(spark):
+    # 1 of 32 is 3.125 %, an exact binary tie
+    rows = [("1", "SRS READY")] + [("2", "NOT CONNECTED")] * 31
+    df = spark.createDataFrame(rows, "equipment_serial_number string, level_of_connection string")
+    assert ready_pct(df).first()[0] == round(1 / 32 * 100, 2) == 3.12
+    eighth = df.limit(0).union(spark.createDataFrame(
+        [("1", "SRS READY")] + [("2", "NOT CONNECTED")] * 7, df.schema))
+    assert tuple(ready_fraction(eighth).first()) == (0.125, round(0.125, 2))
+
+
+def test_choices(golden):
+    assert set(golden.choices(REGION)) == {
+        "Sul", "Rio De Janeiro", "Centro", "Nordeste", "São Paulo", "São Paulo Interior"
+    }
+    assert set(golden.choices(BUSINESS_LINE)) == set(fleets.BUSINESS_LINES)
+    assert golden.choices(LEVEL) == ["Connected But Not SRS Ready", "Not Connected", "SRS Ready"]
