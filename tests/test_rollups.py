@@ -1,0 +1,177 @@
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+import fleets
+import pytest
+
+from readyscope import (
+    adherence_by_business_line,
+    adherence_by_system,
+    describe_table,
+    not_connected_by_business_line,
+    not_connected_by_system,
+    problem_share_by_business_line,
+    ready_share_by_business_line,
+    service_distribution,
+    status_counts,
+    top_regions_by_ready_rate,
+)
+from readyscope.model import MATERIAL_ID, MOBILITY, REGION, TARGET
+from readyscope.operators.enrich import enrich
+
+
+def half_up(x, digits):
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+@pytest.fixture(scope="module", params=["edge", "golden"])
+def board(request, spark):
+    if request.param == "edge":
+        equipment, targets = fleets.edge_equipment(spark), fleets.edge_targets(spark)
+    else:
+        equipment, targets = fleets.golden_equipment(spark), fleets.golden_targets(spark)
+    return equipment.cache(), targets.cache()
+
+
+def grouped(df, *columns):
+    groups = defaultdict(list)
+    for row in df.collect():
+        groups[tuple(row[c] for c in columns)].append(row)
+    return groups
+
+
+def as_tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def count(rows, level):
+    return sum(r["level_of_connection"] == level for r in rows)
+
+
+def test_service_distribution(board):
+    expected = {
+        (level, {"SÃO PAULO INTERIOR": "SP INTERIOR"}.get(region, region), len(rows), region)
+        for (level, region), rows in grouped(
+            board[0], "level_of_connection", "service_region").items()
+    }
+    found = as_tuples(service_distribution(board[0]))
+    assert sorted(found, key=repr) == sorted([e[:3] for e in expected], key=repr)
+    assert [r[2] for r in found] == sorted([r[2] for r in found], reverse=True)
+
+
+def test_relabelled_region_does_not_merge_with_an_equal_one(spark):
+    found = as_tuples(service_distribution(fleets.edge_equipment(spark)))
+    assert sorted(r for r in found if r[1] == "SP INTERIOR") == [
+        ("CONNECTED BUT NOT SRS READY", "SP INTERIOR", 2), ("NOT CONNECTED", "SP INTERIOR", 1),
+    ]
+
+
+def test_status_counts(board):
+    expected = {k[0]: len(v) for k, v in grouped(board[0], "level_of_connection").items()}
+    assert dict(as_tuples(status_counts(board[0]))) == expected
+
+
+@pytest.mark.parametrize(
+    "filters",
+    [None, {REGION: ["sul", "nordeste"]}, {MOBILITY: ["mobile system"]},
+     {REGION: ["sul"], MOBILITY: ["fixed system"]}],
+)
+def test_adherence_by_business_line(board, filters):
+    fleet = enrich(*board)
+    for column, values in (filters or {}).items():
+        fleet = fleet.where(fleet[f"`{column}`"].isin([v.upper() for v in values]))
+    expected = []
+    for (line, target), rows in grouped(fleet, "business_line", TARGET).items():
+        ready = count(rows, "SRS READY")
+        pct = half_up(ready / len(rows) * 100, 0)
+        goal = None if target is None else half_up(target * 100, 0)
+        expected.append((line, goal, len(rows), ready, pct, goal is not None and pct >= goal))
+    found = as_tuples(adherence_by_business_line(*board, filters))
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert [r[4] for r in found] == sorted([r[4] for r in found], reverse=True)
+
+
+def test_adherence_compares_rounded_values(spark):
+    # 173 of 200 is 86.5 %, shown as 87, and meets 87
+    rows = [("M2", "SRS READY")] * 173 + [("M2", "NOT CONNECTED")] * 27
+    df = spark.createDataFrame(rows, "system_id string, level_of_connection string")
+    df = df.selectExpr("*", "'CT' AS business_line", "'Model 2' AS system_name")
+    targets = fleets.edge_targets(spark)
+    assert as_tuples(adherence_by_business_line(df, targets)) == [
+        ("CT", 87.0, 200, 173, 87.0, True)
+    ]
+    assert as_tuples(adherence_by_system(df, targets)) == [
+        ("M2", "Model 2", 200, 173, 86.5, 87.0, 0)
+    ]
+
+
+def test_adherence_by_system(board):
+    expected = []
+    fleet = enrich(*board)
+    for (system, name, target), rows in grouped(fleet, "system_id", "system_name", TARGET).items():
+        ready = count(rows, "SRS READY")
+        pct = ready / len(rows) * 100
+        goal = None if target is None else target * 100
+        expected.append(
+            (system, name, len(rows), ready, pct, goal, int(goal is not None and pct >= goal)))
+    found = as_tuples(adherence_by_system(*board))
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_counting_before_the_join_keeps_the_fan_out(spark):
+    equipment, targets = fleets.edge_equipment(spark), fleets.edge_targets(spark)
+    twice = targets.union(targets.where(f"{MATERIAL_ID} = 'M2'"))
+    fleet = enrich(equipment, twice, on_duplicate="fan_out")
+    for report, keys in (
+        (adherence_by_business_line, ("business_line", TARGET)),
+        (adherence_by_system, ("system_id", "system_name", TARGET)),
+    ):
+        joined_first = sorted(len(rows) for rows in grouped(fleet, *keys).values())
+        assert sorted(r[2] for r in as_tuples(report(equipment, twice))) == joined_first
+
+
+@pytest.mark.parametrize(
+    "report, keys, level",
+    [
+        (not_connected_by_system, ("system_id", "system_name"), "NOT CONNECTED"),
+        (not_connected_by_business_line, ("business_line",), "NOT CONNECTED"),
+        (ready_share_by_business_line, ("business_line",), "SRS READY"),
+    ],
+)
+def test_shares(board, report, keys, level):
+    expected = [
+        (*key, len(rows), count(rows, level), half_up(count(rows, level) / len(rows), 2))
+        for key, rows in grouped(board[0], *keys).items()
+    ]
+    found = as_tuples(report(board[0]))
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert [r[-1] for r in found] == sorted([r[-1] for r in found], reverse=True)
+
+
+def test_top_regions(board):
+    ranked = []
+    for (region,), rows in grouped(board[0], "service_region").items():
+        ready = count(rows, "SRS READY")
+        ranked.append((region, len(rows), ready, half_up(ready * 100.0 / len(rows), 2)))
+    ranked.sort(key=lambda r: (-r[3], r[0] is not None, r[0] or ""))
+    assert as_tuples(top_regions_by_ready_rate(board[0])) == ranked[:1]
+    assert as_tuples(top_regions_by_ready_rate(board[0], k=3)) == ranked[:3]
+
+
+def test_unknown_level_is_no_problem(board):
+    expected = []
+    for (line,), rows in grouped(board[0], "business_line").items():
+        bad = sum(r["level_of_connection"] not in (None, "SRS READY") for r in rows)
+        expected.append((line, len(rows), bad, half_up(bad * 100.0 / len(rows), 2)))
+    expected.sort(key=lambda r: (-r[3], r[0] is not None, r[0] or ""))
+    assert as_tuples(problem_share_by_business_line(board[0])) == expected[:10]
+
+
+def test_describe(spark):
+    summary = describe_table(fleets.golden_targets(spark)).collect()
+    by_name = {r["summary"]: r for r in summary}
+    assert list(by_name) == ["count", "mean", "stddev", "min", "max"]
+    assert by_name["count"][MATERIAL_ID] == "76"
+    assert by_name["min"][MATERIAL_ID] == "MOD001"
+    assert float(by_name["max"][TARGET]) == 0.87
+    assert float(by_name["mean"][TARGET]) == pytest.approx((12 * 0.25 + 64 * 0.87) / 76)
