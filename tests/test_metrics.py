@@ -1,0 +1,60 @@
+import fleets
+import pytest
+
+from readyscope import metric_by, problem_share_by_business_line, top_regions_by_ready_rate
+from readyscope.operators.enrich import enrich
+from readyscope.plans.metrics import DIMENSIONS, METRICS, TERMS, dimension, registered_name
+
+
+def as_tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_every_term_names_an_entry():
+    for name, terms in TERMS.items():
+        assert name in METRICS or name in DIMENSIONS
+        for term in terms:
+            assert registered_name(f" {term.upper()} ") == name
+
+
+def test_terms_do_not_overlap():
+    terms = [t.lower() for group in TERMS.values() for t in group]
+    assert len(terms) == len(set(terms))
+
+
+def test_metric_by_equals_the_reports(spark):
+    golden = fleets.golden_equipment(spark)
+    top = metric_by(golden, "taxa de conectividade SRS", "região", k=1)
+    report = top_regions_by_ready_rate(golden)
+    assert as_tuples(top) == as_tuples(report.select("service_region", "taxa_srs"))
+    problems = metric_by(golden, "problem_rate", "linha de equipamento", k=10)
+    report = problem_share_by_business_line(golden)
+    assert as_tuples(problems) == as_tuples(
+        report.select("business_line", "percentual_com_problema")
+    )
+
+
+def test_counts(spark):
+    edge = fleets.edge_equipment(spark)
+    assert dict(as_tuples(metric_by(edge, "total", "state"))) == {"PE": 3, "SP": 7, None: 1}
+    assert dict(as_tuples(metric_by(edge, "SRS", "estado"))) == {"PE": 2, "SP": 2, None: 0}
+    assert dict(as_tuples(metric_by(edge, "fora do SRS", "cidade"))) == {
+        "Recife": 0, "Santos": 4, None: 1
+    }
+
+
+def test_by_target(spark):
+    fleet = enrich(fleets.edge_equipment(spark), fleets.edge_targets(spark))
+    assert dict(as_tuples(metric_by(fleet, "ready", "meta SRS"))) == {0.25: 2, 0.87: 1, None: 1}
+
+
+def test_unknown_names():
+    with pytest.raises(KeyError):
+        dimension("pais")
+    with pytest.raises(KeyError):
+        metric_by(None, "total", "country")
+
+
+def test_unknown_metric(spark):
+    with pytest.raises(KeyError):
+        metric_by(fleets.edge_equipment(spark), "srs_problem", "region")

@@ -1,0 +1,131 @@
+import datetime
+
+import fleets
+import pytest
+from plan_text import plan
+
+from readyscope import ReadinessBoard, load_fleet, read_extract, to_parquet, write_extract
+from readyscope.model import (
+    BUSINESS_LINE,
+    EQUIPMENT_COLUMNS,
+    EQUIPMENT_SCHEMA,
+    INSTALLED_ON,
+    MOBILITY,
+    SERIAL,
+    TARGET,
+    TARGET_SCHEMA,
+)
+from readyscope.sources.extracts import canonical_name, normalise_headers
+from readyscope.sources.retail import equipment
+
+TARGET_HEADERS = [
+    "Material ID", "SYSTEM NAME", "MOBILE SYSTEM OR FIXED SYSTEM?", "TARGET (SRS READY)"
+]
+
+
+def as_tuples(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def raw(df):
+    """The same rows under spreadsheet headers."""
+    if TARGET in df.columns:
+        return df.toDF(*TARGET_HEADERS)
+    return df.toDF(*[c.replace("_", " ").title() for c in df.columns])
+
+
+def test_header_rule(spark):
+    assert [canonical_name(h) for h in TARGET_HEADERS] == TARGET_SCHEMA.fieldNames()
+    assert canonical_name("target (srs ready)") == "target_(srs_ready)"
+    renamed = normalise_headers(raw(fleets.edge_equipment(spark)))
+    assert renamed.columns == EQUIPMENT_COLUMNS
+    assert plan(renamed).count("Project") <= 1
+
+
+def test_csv_round_trip(spark, tmp_path):
+    for name, df, schema in (
+        ("overview", fleets.golden_equipment(spark), EQUIPMENT_SCHEMA),
+        ("target", fleets.golden_targets(spark), TARGET_SCHEMA),
+    ):
+        path = str(tmp_path / name)
+        write_extract(raw(df), path)
+        back = read_extract(spark, path)
+        assert back.schema == schema
+        assert as_tuples(back) == as_tuples(df)
+        write_extract(raw(df).limit(5), path)
+        assert read_extract(spark, path).count() == 5
+
+
+def test_columns_are_found_by_name_and_others_kept_as_text(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text(
+        "Equipment Installation Date,Note,EQUIPMENT SERIAL NUMBER\n"
+        "2024-03-15,007,00042\n2024-03-16T00:00:00,,\n", encoding="utf-8"
+    )
+    df = read_extract(spark, str(path))
+    assert dict(df.dtypes) == {INSTALLED_ON: "date", "note": "string", SERIAL: "string"}
+    assert as_tuples(df) == [
+        (datetime.date(2024, 3, 15), "007", "00042"), (datetime.date(2024, 3, 16), None, None)
+    ]
+
+
+def test_inferred_types_on_request(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Material ID,TARGET (SRS READY)\n1,0.25\n2,0.87\n", encoding="utf-8")
+    assert dict(read_extract(spark, str(path), infer=True).dtypes) == {
+        "material_id": "int", TARGET: "double"
+    }
+
+
+def test_a_value_of_the_wrong_type_stops_the_read(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Material ID,TARGET (SRS READY)\nA,high\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed|failfast|parse"):
+        read_extract(spark, str(path)).collect()
+
+
+def test_files_must_share_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Material ID,SYSTEM NAME\nA,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("SYSTEM NAME,Material ID\n2,B\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_extract(spark, str(tmp_path)).collect()
+
+
+def test_board_from_csv_and_parquet(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("oc", "tc", "op", "tp")]
+    write_extract(raw(fleets.golden_equipment(spark)), paths[0])
+    write_extract(raw(fleets.golden_targets(spark)), paths[1])
+    for source, target in zip(load_fleet(spark, *paths[:2]), paths[2:]):
+        to_parquet(source, target)
+    for board in (
+        ReadinessBoard.load(spark, *paths[:2]),
+        ReadinessBoard.load(spark, *paths[2:], fmt="parquet"),
+    ):
+        assert board.kpis({BUSINESS_LINE: ["axa"]})["total_equipment"] == 183
+        assert board.kpis()["ready_pct"] == 72.0
+        assert board.fleet.count() == 2286
+        assert board.total_equipment({MOBILITY: ["MOBILE SYSTEM"]}) > 0
+        assert board.adherence_by_business_line().count() > len(fleets.BUSINESS_LINES)
+        assert board.adherence_by_system().count() == 77
+        assert board.service_distribution().count() == 18
+    with pytest.raises(ValueError):
+        load_fleet(spark, *paths[:2], fmt="xlsx")
+
+
+def test_choices_refuse_a_column_that_is_no_category(spark, monkeypatch):
+    board = ReadinessBoard(fleets.golden_equipment(spark), fleets.golden_targets(spark))
+    monkeypatch.setattr("readyscope.plans.board.MAX_CHOICES", 100)
+    with pytest.raises(ValueError):
+        board.choices(SERIAL)
+    assert board.choices(MOBILITY) == ["Fixed System", "Mobile System"]
+
+
+def test_mapping_reads_only_the_tables_it_needs(spark):
+    sf = "/root/testdata/sf0.001"
+    full = equipment(spark, sf)
+    assert full.columns == EQUIPMENT_COLUMNS
+    for column in EQUIPMENT_COLUMNS:
+        alone = equipment(spark, sf, [column])
+        assert as_tuples(alone) == as_tuples(full.select(column))
+    assert plan(equipment(spark, sf, [SERIAL])).count("FileScan") == 1
+    assert plan(equipment(spark, sf, [BUSINESS_LINE])).count("FileScan") == 3
