@@ -19,7 +19,6 @@ from readyscope.model import (  # noqa: E402
     BUSINESS_LINE,
     CITY,
     EQUIPMENT_COLUMNS,
-    INSTALLED_ON,
     LEVEL,
     LINK_STATUS,
     MATERIAL_ID,
@@ -31,8 +30,8 @@ from readyscope.model import (  # noqa: E402
     SYSTEM_NAME,
     TARGET,
 )
-from readyscope.operators import action_list, categories, kpis, rollups  # noqa: E402
-from readyscope.operators.enrich import enrich, hot_systems  # noqa: E402
+from readyscope.operators import action_list, categories, kpis, rollups, summary  # noqa: E402
+from readyscope.operators.enrich import enrich  # noqa: E402
 from readyscope.operators.filters import apply_filters, selections_to_filters  # noqa: E402
 from readyscope.plans.metrics import metric_by  # noqa: E402
 from readyscope.plans.sqlgate import SqlGate  # noqa: E402
@@ -63,7 +62,7 @@ def _fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(
         retail.equipment(spark, sf_dir),
         retail.targets(spark, sf_dir),
-        hot=hot_systems(retail.equipment(spark, sf_dir, [SYSTEM_ID])),
+        ids_from=retail.equipment(spark, sf_dir, [SYSTEM_ID]),
     )
 
 
@@ -141,12 +140,11 @@ def _sql_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _describe_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary statistics, numeric columns rounded so that summing order does not show."""
     numeric = [SERIAL, SYSTEM_ID]
-    rows = retail.equipment(spark, sf_dir).drop(INSTALLED_ON)
-    summary = rollups.describe_table(rows)
-    return summary.select(
+    statistics = summary.describe_table(retail.equipment(spark, sf_dir))
+    return statistics.select(
         *[
             F.round(F.col(c).cast("double"), 2).alias(c) if c in numeric else F.col(c)
-            for c in summary.columns
+            for c in statistics.columns
         ]
     )
 

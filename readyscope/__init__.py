@@ -15,7 +15,6 @@ from readyscope.operators.kpis import (
 from readyscope.operators.rollups import (
     adherence_by_business_line,
     adherence_by_system,
-    describe_table,
     not_connected_by_business_line,
     not_connected_by_system,
     problem_share_by_business_line,
@@ -25,6 +24,7 @@ from readyscope.operators.rollups import (
     status_share,
     top_regions_by_ready_rate,
 )
+from readyscope.operators.summary import describe_table
 from readyscope.plans.board import ReadinessBoard
 from readyscope.plans.metrics import metric_by
 from readyscope.plans.sqlgate import SqlGate

@@ -88,7 +88,7 @@ def enrich(
     *,
     profile: TargetProfile | None = None,
     on_duplicate: str = "error",
-    hot: DataFrame | None = None,
+    ids_from: DataFrame | None = None,
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Equipment columns plus material, mobility class and target.
@@ -98,7 +98,8 @@ def enrich(
     repeats the equipment row per match, as any left join does.
 
     Targets measured under the limit are broadcast. A larger table is joined by
-    shuffle, with the hot system ids split off (``hot`` overrides which).
+    shuffle, with the hot system ids split off. Those are counted on ``ids_from``
+    if given: the same system ids from a source that is cheaper to scan.
     """
     if on_duplicate not in ("error", "fan_out"):
         raise ValueError(f"on_duplicate must be 'error' or 'fan_out', not {on_duplicate!r}")
@@ -118,7 +119,7 @@ def enrich(
     if not profile.unique:
         # the matches of a hot id are not bounded here; AQE splits its partition
         return _left_join(equipment, attributes)
-    return _split_join(equipment, attributes, hot_systems(equipment) if hot is None else hot)
+    return _split_join(equipment, attributes, hot_systems(equipment if ids_from is None else ids_from))
 
 
 def _split_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame) -> DataFrame:

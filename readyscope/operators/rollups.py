@@ -170,11 +170,6 @@ def problem_share_by_business_line(equipment: DataFrame, k: int = 10) -> DataFra
     )
 
 
-def describe_table(df: DataFrame) -> DataFrame:
-    """Count, mean, standard deviation, minimum and maximum of every column."""
-    return df.describe()
-
-
 def _not_connected(equipment: DataFrame, groups: Sequence[str]) -> DataFrame:
     return status_share(
         equipment,

@@ -69,10 +69,10 @@ def test_repeated_material_is_reported(equipment, targets):
         enrich(equipment, targets, on_duplicate="ignore")
 
 
-@pytest.mark.parametrize("hot_ids", [[], ["M2"], ["ZZ"], ["M1", "M2", "M3", "ZZ"], ["absent"]])
-def test_split_route_equals_the_plain_join(spark, equipment, targets, hot_ids):
-    hot = spark.createDataFrame([(i,) for i in hot_ids], f"{SYSTEM_ID} string")
-    fleet = enrich(equipment, targets, hot=hot, broadcast_limit_bytes=0)
+@pytest.mark.parametrize("ids", [[], ["M2"], ["ZZ"], ["M1", "M2", "M3", "ZZ", None], ["absent"]])
+def test_split_route_equals_the_plain_join(spark, equipment, targets, ids):
+    ids_from = spark.createDataFrame([(i,) for i in ids], f"{SYSTEM_ID} string")
+    fleet = enrich(equipment, targets, ids_from=ids_from, broadcast_limit_bytes=0)
     assert fleet.columns == COLUMNS
     assert rows(fleet) == expected_rows(equipment, targets)
 
