@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,24 +22,28 @@ def describe_table(df: DataFrame) -> DataFrame:
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))]
     if not fields:
         return df.describe()
-    measured = df.agg(*[_statistics(field).alias(field.name) for field in fields])
+    names = [_quoted(field.name) for field in fields]
+    measured = df.agg(
+        *[F.expr(f"array({', '.join(_statistics(field))}) AS {_quoted(field.name)}") for field in fields]
+    )
     rows = [
-        F.struct(
-            F.lit(name).alias("summary"),
-            *[_column(field)[position].alias(field.name) for field in fields],
-        )
-        for position, name in enumerate(STATISTICS)
+        f"struct('{statistic}' AS summary, {', '.join(f'{n}[{i}] AS {n}' for n in names)})"
+        for i, statistic in enumerate(STATISTICS)
     ]
-    return measured.select(F.inline(F.array(*rows)))
+    return measured.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _statistics(field: T.StructField) -> Column:
-    values = numbers = _column(field)
+def _statistics(field: T.StructField) -> list[str]:
+    """The aggregates of one column as SQL text, in the order of STATISTICS."""
+    values = numbers = _quoted(field.name)
     if isinstance(field.dataType, T.StringType):
-        numbers = F.when(values.rlike(_NUMBER_START), values).try_cast("double")
-    parts = [F.count(values), F.mean(numbers), F.stddev(numbers), F.min(values), F.max(values)]
-    return F.array(*[part.cast("string") for part in parts])
+        number_like = f"CASE WHEN {values} RLIKE r'{_NUMBER_START}' THEN {values} END"
+        numbers = f"try_cast({number_like} AS DOUBLE)"
+    aggregates = [
+        f"count({values})", f"avg({numbers})", f"stddev({numbers})", f"min({values})", f"max({values})"
+    ]
+    return [f"string({aggregate})" for aggregate in aggregates]
 
 
-def _column(field: T.StructField) -> Column:
-    return F.col("`{}`".format(field.name.replace("`", "``")))
+def _quoted(name: str) -> str:
+    return "`{}`".format(name.replace("`", "``"))

@@ -45,6 +45,8 @@ def local_session(cores: int = 8, scratch: str | None = None) -> SparkSession:
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # call sites in error messages cost plan-building time on every column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     if scratch and not spark.conf.get("spark.checkpoint.dir", None):
