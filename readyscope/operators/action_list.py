@@ -18,6 +18,17 @@ from readyscope.model import (
 from readyscope.operators.filters import Filters, apply_filters
 
 
+# Column titles of the report
+TITLES = {
+    SERIAL: "Serial Number",
+    SYSTEM_NAME: "System",
+    BUSINESS_LINE: "Business Line",
+    "place": "City/State",
+    REGION: "Service Region",
+    LINK_STATUS: "Status",
+}
+
+
 def activation_list(
     equipment: DataFrame, filters: Filters | None = None, require_link_ok: bool = False
 ) -> DataFrame:
@@ -28,11 +39,7 @@ def activation_list(
     No shuffle: a filter and a projection on the scan.
     """
     rows = apply_filters(equipment, filters).where(is_connected_not_ready(require_link_ok))
-    return rows.select(
-        F.col(SERIAL).alias("Serial Number"),
-        F.col(SYSTEM_NAME).alias("System"),
-        F.col(BUSINESS_LINE).alias("Business Line"),
-        F.concat(F.col(CITY), F.lit("/"), F.col(STATE)).alias("City/State"),
-        F.col(REGION).alias("Service Region"),
-        F.col(LINK_STATUS).alias("Status"),
+    place = F.concat(F.col(CITY), F.lit("/"), F.col(STATE))
+    return rows.withColumn("place", place).select(
+        *[F.col(column).alias(title) for column, title in TITLES.items()]
     )

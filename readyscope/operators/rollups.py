@@ -12,7 +12,7 @@ never leave the order, or the cut of a top-k, to chance.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,13 @@ from readyscope.model import (
 from readyscope.operators.filters import Filters, apply_filters, split_filters
 
 
+# Column names of the share reports, in the order total, part, rate
+NOT_CONNECTED_SHARE = ("total_equipment", "srs_disconnected_equipment", "disconnected_percentage")
+READY_SHARE = ("total_equipment", "srs_ready_equipment", "ready_pct")
+READY_RATE = ("total_equipamentos", "equipamentos_srs_ready", "taxa_srs")
+PROBLEM_RATE = ("total_equipamentos", "equipamentos_com_problema", "percentual_com_problema")
+
+
 def ranked(report: DataFrame, metric: str, groups: Sequence[str], k: int | None = None) -> DataFrame:
     """Order by the metric, highest first, ties by group; with ``k``, keep the top k."""
     ordered = report.orderBy(F.desc(metric), *[F.asc(f"`{g}`") for g in groups])
@@ -44,15 +51,17 @@ def status_share(
     equipment: DataFrame,
     groups: Sequence[str],
     predicate: Column,
-    *,
-    total: str,
-    part: str,
-    rate: str,
-    rate_of=fraction,
+    names: tuple[str, str, str] = ("total", "part", "rate"),
+    rate_of: Callable[[Column, Column], Column] = fraction,
     digits: int = 2,
     k: int | None = None,
 ) -> DataFrame:
-    """Per group: row count, rows that match, and their rounded rate."""
+    """Per group: row count, rows that match, and their rounded rate.
+
+    ``names`` are the three result columns, ``rate_of`` makes the rate of the
+    two counts; with ``k``, only the groups with the k highest rates.
+    """
+    total, part, rate = names
     counts = equipment.groupBy(*groups).agg(
         F.count("*").alias(total), F.count_if(predicate).alias(part)
     )
@@ -93,7 +102,7 @@ def adherence_by_business_line(
     a target a row of its own, which never meets it. Both sides are rounded
     before they are compared.
     """
-    counts = _counts_per_target(equipment, targets, [BUSINESS_LINE], [BUSINESS_LINE], filters)
+    counts = _counts_per_target(equipment, targets, [BUSINESS_LINE], filters)
     report = counts.select(
         BUSINESS_LINE,
         F.round(F.col(TARGET) * 100).alias(TARGET),
@@ -109,7 +118,7 @@ def adherence_by_system(
 ) -> DataFrame:
     """Unrounded ready share per system beside its target; 1 where the target is reached."""
     groups = [SYSTEM_ID, SYSTEM_NAME]
-    counts = _counts_per_target(equipment, targets, groups, groups, filters)
+    counts = _counts_per_target(equipment, targets, groups, filters)
     report = counts.select(
         *groups,
         F.col("total").alias("total_equipment"),
@@ -124,88 +133,52 @@ def adherence_by_system(
 
 
 def not_connected_by_system(equipment: DataFrame) -> DataFrame:
-    return _not_connected(equipment, [SYSTEM_ID, SYSTEM_NAME])
+    groups = [SYSTEM_ID, SYSTEM_NAME]
+    return status_share(equipment, groups, is_not_connected(), NOT_CONNECTED_SHARE)
 
 
 def not_connected_by_business_line(equipment: DataFrame) -> DataFrame:
-    return _not_connected(equipment, [BUSINESS_LINE])
+    return status_share(equipment, [BUSINESS_LINE], is_not_connected(), NOT_CONNECTED_SHARE)
 
 
 def ready_share_by_business_line(equipment: DataFrame) -> DataFrame:
-    return status_share(
-        equipment,
-        [BUSINESS_LINE],
-        is_ready(),
-        total="total_equipment",
-        part="srs_ready_equipment",
-        rate="ready_pct",
-    )
+    return status_share(equipment, [BUSINESS_LINE], is_ready(), READY_SHARE)
 
 
 def top_regions_by_ready_rate(equipment: DataFrame, k: int = 1) -> DataFrame:
     """The regions with the highest ready rate."""
-    return status_share(
-        equipment,
-        [REGION],
-        is_ready(),
-        total="total_equipamentos",
-        part="equipamentos_srs_ready",
-        rate="taxa_srs",
-        rate_of=scaled_percent,
-        k=k,
-    )
+    return status_share(equipment, [REGION], is_ready(), READY_RATE, scaled_percent, k=k)
 
 
 def problem_share_by_business_line(equipment: DataFrame, k: int = 10) -> DataFrame:
     """The business lines with the highest share of equipment that is not ready."""
-    return status_share(
-        equipment,
-        [BUSINESS_LINE],
-        has_problem(),
-        total="total_equipamentos",
-        part="equipamentos_com_problema",
-        rate="percentual_com_problema",
-        rate_of=scaled_percent,
-        k=k,
-    )
-
-
-def _not_connected(equipment: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return status_share(
-        equipment,
-        groups,
-        is_not_connected(),
-        total="total_equipment",
-        part="srs_disconnected_equipment",
-        rate="disconnected_percentage",
-    )
+    groups = [BUSINESS_LINE]
+    return status_share(equipment, groups, has_problem(), PROBLEM_RATE, scaled_percent, k=k)
 
 
 def _counts_per_target(
     equipment: DataFrame,
     targets: DataFrame,
-    count_by: Sequence[str],
-    report_by: Sequence[str],
+    groups: Sequence[str],
     filters: Filters | None,
 ) -> DataFrame:
-    """Total and ready rows per report group and target.
+    """Total and ready rows per group and target.
 
     Rows are counted per group and system before the join. That equals joining
     the rows first: each row of a group meets the same targets, also where a
     material is listed twice. Filters on target columns apply after the join.
     """
-    target_filters, row_filters = split_filters(filters, set(TARGET_ATTRIBUTES))
-    count_keys = list(dict.fromkeys([*count_by, SYSTEM_ID]))
+    target_filters, row_filters = split_filters(filters, TARGET_ATTRIBUTES)
     counts = (
         apply_filters(equipment, row_filters)
-        .groupBy(*count_keys)
+        .groupBy(*dict.fromkeys([*groups, SYSTEM_ID]))
         .agg(F.count("*").alias("total"), F.count_if(is_ready()).alias("ready"))
     )
-    wanted = list(dict.fromkeys([MATERIAL_ID, TARGET, *target_filters]))
+    wanted = dict.fromkeys([MATERIAL_ID, TARGET, *target_filters])
     dimension = targets.select(*[F.col(f"`{name}`") for name in wanted])
     joined = counts.join(dimension, counts[SYSTEM_ID] == dimension[MATERIAL_ID], "left")
     return (
         apply_filters(joined, target_filters)
-        .groupBy(*report_by, TARGET)
+        .groupBy(*groups, TARGET)
         .agg(F.sum("total").alias("total"), F.sum("ready").alias("ready"))
     )

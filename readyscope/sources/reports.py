@@ -19,7 +19,8 @@ def current_month() -> str:
 def export_month(report: DataFrame, base_path: str, month: str | None = None) -> str:
     """Write a report under its month and return the directory.
 
-    A re-run replaces that month only, also when it has no rows. Rows are
+    A re-run replaces that month only, also when it has no rows; run it again
+    after a failure, which leaves the month without its success marker. Rows are
     rebalanced into files of the advisory size: the list is a narrow part of a
     large scan and would otherwise leave a small file per input split.
     """

@@ -1,6 +1,7 @@
 """Hand-made fleets: a tiny one of edge cases, and one that meets the golden counts."""
 
 import datetime
+import random
 from itertools import cycle
 
 from readyscope.model import EQUIPMENT_SCHEMA, TARGET_SCHEMA
@@ -77,3 +78,31 @@ def golden_equipment(spark):
                  region, link, _DAY)
             )
     return spark.createDataFrame(rows, EQUIPMENT_SCHEMA)
+
+
+def random_equipment(spark, rows=1500, seed=11):
+    """Any combination of values, with nulls in every column and a hot system."""
+    rng = random.Random(seed)
+    systems = ["MOD007"] * 20 + [f"MOD{n:03d}" for n in range(1, 90)] + [None] * 5
+
+    def pick(*values):
+        return rng.choice([*values, None])
+
+    return spark.createDataFrame(
+        [
+            (
+                pick(str(n), "same"),
+                pick(READY, READY, PARTIAL, PARTIAL, OFFLINE),
+                (system := rng.choice(systems)),
+                pick(f"NAME {system}", f"NAME {system}", "OTHER"),
+                pick(*BUSINESS_LINES),
+                pick("Recife", "Santos"),
+                pick("PE", "SP"),
+                pick(*REGIONS, "SP INTERIOR"),
+                pick(OK, OK, EXPIRED, "Connection Expired", "connection ok", ""),
+                pick(_DAY),
+            )
+            for n in range(rows)
+        ],
+        EQUIPMENT_SCHEMA,
+    )

@@ -92,3 +92,43 @@ def test_choices(golden):
     }
     assert set(golden.choices(BUSINESS_LINE)) == set(fleets.BUSINESS_LINES)
     assert golden.choices(LEVEL) == ["Connected But Not SRS Ready", "Not Connected", "SRS Ready"]
+
+
+@pytest.mark.parametrize(
+    "filters",
+    [
+        {},
+        {BUSINESS_LINE: ["CT", "MR", "us"]},
+        {REGION: ["Sul", "São Paulo"], LEVEL: ["SRS Ready", "Not Connected"]},
+        {"city": ["RECIFE"]},
+    ],
+)
+def test_panel_on_random_rows(spark, filters):
+    equipment = fleets.random_equipment(spark)
+    rows = equipment.collect()
+
+    def chosen(row):
+        return all(row[c] in [v.upper() for v in values] for c, values in filters.items())
+
+    def disconnected(row):
+        expired = (row["current_connectivity_status"] or "").startswith("Connection Expired")
+        return row[LEVEL] == "NOT CONNECTED" or expired
+
+    within = [r for r in rows if chosen(r)]
+    ready = sum(r[LEVEL] == "SRS READY" for r in within)
+    partial = [r for r in within if r[LEVEL] == "CONNECTED BUT NOT SRS READY"]
+    expected = {
+        "total_equipment": len(within),
+        "ready_pct": round(ready / len(rows) * 100, 2),
+        "connected_not_ready": sum(
+            r["current_connectivity_status"] == "Connection OK" for r in partial),
+        "disconnected": sum(map(disconnected, within)),
+    }
+    assert kpi_panel(equipment, filters).first().asDict() == expected
+    board = ReadinessBoard(equipment, fleets.golden_targets(spark))
+    assert board.disconnected(filters) == expected["disconnected"]
+    assert board.connected_not_ready(filters) == expected["connected_not_ready"]
+    assert board.ready_pct(filters) == expected["ready_pct"]
+    if within:
+        inside = kpi_panel(equipment, filters, "filtered").first().asDict()
+        assert inside == {**expected, "ready_pct": round(ready / len(within) * 100, 2)}

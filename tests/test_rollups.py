@@ -3,6 +3,7 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import fleets
 import pytest
+from pyspark.sql import functions as F
 
 from readyscope import (
     adherence_by_business_line,
@@ -14,6 +15,7 @@ from readyscope import (
     ready_share_by_business_line,
     service_distribution,
     status_counts,
+    status_share,
     top_regions_by_ready_rate,
 )
 from readyscope.model import MATERIAL_ID, MOBILITY, REGION, TARGET
@@ -24,12 +26,14 @@ def half_up(x, digits):
     return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-@pytest.fixture(scope="module", params=["edge", "golden"])
+@pytest.fixture(scope="module", params=["edge", "golden", "random"])
 def board(request, spark):
     if request.param == "edge":
         equipment, targets = fleets.edge_equipment(spark), fleets.edge_targets(spark)
-    else:
+    elif request.param == "golden":
         equipment, targets = fleets.golden_equipment(spark), fleets.golden_targets(spark)
+    else:
+        equipment, targets = fleets.random_equipment(spark), fleets.golden_targets(spark)
     return equipment.cache(), targets.cache()
 
 
@@ -59,6 +63,16 @@ def test_service_distribution(board):
     assert [r[2] for r in found] == sorted([r[2] for r in found], reverse=True)
 
 
+def test_any_share(board):
+    share = status_share(board[0], ["city", "state"], F.col("business_line").startswith("X"))
+    expected = []
+    for key, rows in grouped(board[0], "city", "state").items():
+        part = sum((r["business_line"] or "").startswith("X") for r in rows)
+        expected.append((*key, len(rows), part, half_up(part / len(rows), 2)))
+    assert share.columns == ["city", "state", "total", "part", "rate"]
+    assert sorted(as_tuples(share), key=repr) == sorted(expected, key=repr)
+
+
 def test_relabelled_region_does_not_merge_with_an_equal_one(spark):
     found = as_tuples(service_distribution(fleets.edge_equipment(spark)))
     assert sorted(r for r in found if r[1] == "SP INTERIOR") == [
