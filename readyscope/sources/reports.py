@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from datetime import date
 
@@ -41,10 +42,12 @@ def read_months(spark: SparkSession, base_path: str) -> DataFrame:
 def shared_directory(spark: SparkSession, purpose: str) -> str:
     """A new directory below the shared folder that the session names.
 
-    Raises where ``spark.checkpoint.dir`` is unset: a machine-local folder
-    would be invisible to the other executors.
+    Where ``spark.checkpoint.dir`` is unset, a local session uses its temporary
+    folder; on a cluster that would be invisible to other machines, so it raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/readyscope/{purpose}-{uuid.uuid4().hex}"

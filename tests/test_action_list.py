@@ -1,4 +1,5 @@
 import re
+import tempfile
 
 import fleets
 import pytest
@@ -66,7 +67,19 @@ def test_month_must_be_a_month(spark, tmp_path, month):
         export_month(activation_list(fleets.edge_equipment(spark)), str(tmp_path), month)
 
 
-def test_shared_directory_lies_in_the_session_s_folder(spark):
+class FakeSession:
+    """Only the settings, as a session without a shared folder cannot be had at will."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.get = settings.get
+
+
+def test_shared_directory(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_directory(spark, "x"), shared_directory(spark, "x")
     assert first.startswith(base) and first != second
+    local = FakeSession(**{"spark.master": "local[2]"})
+    assert shared_directory(local, "x").startswith(tempfile.gettempdir())
+    with pytest.raises(ValueError):
+        shared_directory(FakeSession(**{"spark.master": "yarn"}), "x")
