@@ -6,7 +6,12 @@ import math
 
 from pyspark.sql import SparkSession
 
-ADVISORY_PARTITION_BYTES = 128 * 1024 * 1024
+ADVISORY_PARTITION_BYTES = 64 * 1024 * 1024
+SCAN_PARTITION_BYTES = 128 * 1024 * 1024
+
+# Every map task writes a block per partition, so their number cannot grow without
+# end. Partitions beyond the advisory size still work: sorts and aggregates spill.
+MAX_SHUFFLE_PARTITIONS = 40_000
 
 
 def shuffle_partitions_for(shuffle_bytes: int, cores: int) -> int:
@@ -15,20 +20,24 @@ def shuffle_partitions_for(shuffle_bytes: int, cores: int) -> int:
     Never fewer than the cores. AQE merges partitions that turn out small, so
     an over-estimate of ``shuffle_bytes`` costs little.
     """
-    return max(cores, math.ceil(shuffle_bytes / ADVISORY_PARTITION_BYTES))
+    wanted = math.ceil(shuffle_bytes / ADVISORY_PARTITION_BYTES)
+    return max(cores, min(wanted, MAX_SHUFFLE_PARTITIONS))
 
 
 def recommended_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
     """SQL settings for a job that shuffles about ``shuffle_bytes``."""
+    advisory = str(ADVISORY_PARTITION_BYTES)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join key even where the split costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(ADVISORY_PARTITION_BYTES),
+        # hash instead of sort where every build partition is measured this small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": advisory,
         "spark.sql.shuffle.partitions": str(shuffle_partitions_for(shuffle_bytes, cores)),
-        "spark.sql.files.maxPartitionBytes": str(ADVISORY_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(SCAN_PARTITION_BYTES),
         "spark.sql.session.timeZone": "UTC",
     }
 
