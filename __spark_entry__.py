@@ -43,6 +43,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Values in any case: requested values are upper-cased by the filter
 ASIA_BUILDING = {REGION: ["Asia"], BUSINESS_LINE: ["Building"]}
+ASIA_BUILDING_VERBATIM = {REGION: "ASIA", BUSINESS_LINE: "BUILDING"}
 FILTER_COLUMNS = [REGION, BUSINESS_LINE]
 ACTION_COLUMNS = [SERIAL, LEVEL, SYSTEM_NAME, BUSINESS_LINE, CITY, STATE, REGION, LINK_STATUS]
 EXPORT_MONTH = "202501"
@@ -178,9 +179,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ready_pct_within_filter": _on_equipment(
             [LEVEL, *FILTER_COLUMNS], kpis.ready_pct, ASIA_BUILDING, "filtered"
         ),
+        "ready_pct_verbatim_filter": _on_equipment(
+            [LEVEL, *FILTER_COLUMNS], kpis.ready_pct, ASIA_BUILDING_VERBATIM, upper_values=False
+        ),
         "ready_fraction": _on_equipment([LEVEL], kpis.ready_fraction),
         "connected_not_ready": _on_equipment([LEVEL, LINK_STATUS], kpis.connected_not_ready),
         "disconnected": _on_equipment([LEVEL, LINK_STATUS], kpis.disconnected),
+        "connected_not_ready_filtered": _on_equipment(
+            [LEVEL, LINK_STATUS, *FILTER_COLUMNS], kpis.connected_not_ready, ASIA_BUILDING
+        ),
+        "disconnected_filtered": _on_equipment(
+            [LEVEL, LINK_STATUS, *FILTER_COLUMNS], kpis.disconnected, ASIA_BUILDING
+        ),
         "kpi_panel": _on_equipment([LEVEL, LINK_STATUS], kpis.kpi_panel),
         "kpi_panel_filtered": _on_equipment(
             [LEVEL, LINK_STATUS, *FILTER_COLUMNS], kpis.kpi_panel, ASIA_BUILDING
@@ -196,6 +206,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             rollups.service_distribution,
             labels=retail.RETAIL_REGION_LABELS,
         ),
+        "service_distribution_filtered": _on_equipment(
+            [LEVEL, *FILTER_COLUMNS],
+            rollups.service_distribution,
+            {BUSINESS_LINE: ["Building", "Machinery"]},
+            retail.RETAIL_REGION_LABELS,
+        ),
         "adherence_by_business_line": _with_targets(
             [SYSTEM_ID, *line_level], rollups.adherence_by_business_line
         ),
@@ -317,6 +333,17 @@ def _template_oracle(group: str, condition: str, part: str, rate: str, k: int) -
     """
 
 
+def _distribution_oracle(where: str) -> str:
+    return f"""
+        SELECT level_of_connection,
+               CASE service_region WHEN 'MIDDLE EAST' THEN 'ME' ELSE service_region END
+                   AS service_region,
+               equipment_count
+        FROM (SELECT level_of_connection, service_region, COUNT(*) AS equipment_count
+              FROM equipment WHERE {where} GROUP BY 1, 2)
+    """
+
+
 def _adherence_oracle(where: str) -> str:
     return f"""
         SELECT *, COALESCE(adherence_pct >= target_srs_ready, FALSE) AS meets_target
@@ -402,12 +429,18 @@ def oracle_sql() -> dict[str, str]:
         " AS ready_pct FROM equipment",
         "ready_pct_within_filter": f"SELECT {_pct(_count(_READY))} AS ready_pct"
         f" FROM equipment WHERE {_ASIA_BUILDING}",
+        "ready_pct_verbatim_filter": f"SELECT {_pct(_count(f'{_READY} AND {_ASIA_BUILDING}'))}"
+        " AS ready_pct FROM equipment",
         "ready_fraction": f"""
             SELECT f AS ready_fraction, round_even(f, 2) AS ready_fraction_rounded
             FROM (SELECT {_count(_READY)}::DOUBLE / COUNT(*) AS f FROM equipment)
         """,
         "connected_not_ready": f"SELECT {_count(_LINK_OK)} AS connected_not_ready FROM equipment",
         "disconnected": f"SELECT {_count(_DISCONNECTED)} AS disconnected FROM equipment",
+        "connected_not_ready_filtered": f"SELECT {_count(f'{_LINK_OK} AND {_ASIA_BUILDING}')}"
+        " AS connected_not_ready FROM equipment",
+        "disconnected_filtered": f"SELECT {_count(f'{_DISCONNECTED} AND {_ASIA_BUILDING}')}"
+        " AS disconnected FROM equipment",
         "kpi_panel": _panel_oracle("TRUE"),
         "kpi_panel_filtered": _panel_oracle(_ASIA_BUILDING),
         "category_list": f"""
@@ -427,14 +460,10 @@ def oracle_sql() -> dict[str, str]:
         """,
         "status_counts": "SELECT level_of_connection, COUNT(*) AS equipment_count"
         " FROM equipment GROUP BY 1",
-        "service_distribution": """
-            SELECT level_of_connection,
-                   CASE service_region WHEN 'MIDDLE EAST' THEN 'ME' ELSE service_region END
-                       AS service_region,
-                   equipment_count
-            FROM (SELECT level_of_connection, service_region, COUNT(*) AS equipment_count
-                  FROM equipment GROUP BY 1, 2)
-        """,
+        "service_distribution": _distribution_oracle("TRUE"),
+        "service_distribution_filtered": _distribution_oracle(
+            "business_line IN ('BUILDING', 'MACHINERY')"
+        ),
         "adherence_by_business_line": _adherence_oracle("TRUE"),
         "adherence_by_business_line_filtered": _adherence_oracle(
             "service_region IN ('ASIA', 'EUROPE')"
