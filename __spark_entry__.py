@@ -7,7 +7,7 @@ by ``readyscope.sources.retail``; the oracles repeat that mapping in SQL.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +59,11 @@ READY_BY_LINE_SQL = """
 """
 
 
-def _fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fleet(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = EQUIPMENT_COLUMNS
+) -> DataFrame:
     return enrich(
-        retail.equipment(spark, sf_dir),
+        retail.equipment(spark, sf_dir, columns),
         retail.targets(spark, sf_dir),
         ids_from=retail.equipment(spark, sf_dir, [SYSTEM_ID]),
     )
@@ -84,9 +86,9 @@ def _with_targets(columns: list[str], operator: Callable[..., DataFrame], *args)
     return query
 
 
-def _on_fleet(operator: Callable[..., DataFrame], *args):
+def _on_fleet(columns: list[str], operator: Callable[..., DataFrame], *args):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(_fleet(spark, sf_dir), *args)
+        return operator(_fleet(spark, sf_dir, columns), *args)
 
     return query
 
@@ -238,7 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # registered metrics, by name and by business term
         "metric_by_state": _on_equipment([STATE, LEVEL], metric_by, "ready_rate", "state"),
         "metric_by_city": _on_equipment([CITY, LEVEL], metric_by, "problemas SRS", "cidade"),
-        "metric_by_target": _on_fleet(metric_by, "problem_rate", "meta SRS"),
+        "metric_by_target": _on_fleet([SYSTEM_ID, LEVEL], metric_by, "problem_rate", "meta SRS"),
         # action list and export
         "activation_list": _on_equipment(ACTION_COLUMNS, action_list.activation_list),
         "activation_list_filtered": _on_equipment(
