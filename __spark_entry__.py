@@ -36,7 +36,13 @@ from readyscope.operators.filters import apply_filters, selections_to_filters  #
 from readyscope.plans.metrics import metric_by  # noqa: E402
 from readyscope.plans.sqlgate import SqlGate  # noqa: E402
 from readyscope.sources import retail  # noqa: E402
-from readyscope.sources.extracts import normalise_headers, read_extract, write_extract  # noqa: E402
+from readyscope.sources.extracts import (  # noqa: E402
+    load_fleet,
+    normalise_headers,
+    read_extract,
+    to_parquet,
+    write_extract,
+)
 from readyscope.sources.reports import export_month, read_months, shared_directory  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -93,18 +99,39 @@ def _on_fleet(columns: list[str], operator: Callable[..., DataFrame], *args):
     return query
 
 
-def _scan_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equipment under spreadsheet headers, brought back to column names."""
+def _raw_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equipment under spreadsheet headers."""
     rows = retail.equipment(spark, sf_dir)
-    return normalise_headers(rows.toDF(*[c.replace("_", " ").title() for c in rows.columns]))
+    return rows.toDF(*[c.replace("_", " ").title() for c in rows.columns])
 
 
-def _scan_targets_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the targets as a CSV extract under their raw headers, scan it back."""
+def _raw_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = ["Material ID", "SYSTEM NAME", MOBILITY.replace("_", " ").upper(), "TARGET (SRS READY)"]
-    path = shared_directory(spark, "target-extract")
-    write_extract(retail.targets(spark, sf_dir).toDF(*headers), path)
-    return read_extract(spark, path)
+    return retail.targets(spark, sf_dir).toDF(*headers)
+
+
+def _scan_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_headers(_raw_equipment(spark, sf_dir))
+
+
+def _csv_round_trip(raw: Callable[[SparkSession, str], DataFrame]):
+    """A query that writes a CSV extract under raw headers and scans it back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_directory(spark, "extract")
+        write_extract(raw(spark, sf_dir), path)
+        return read_extract(spark, path)
+
+    return query
+
+
+def _ingested_adherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convert both tables to Parquet, load them, and report on the result."""
+    base = shared_directory(spark, "ingest")
+    to_parquet(_raw_equipment(spark, sf_dir), f"{base}/equipment")
+    to_parquet(_raw_targets(spark, sf_dir), f"{base}/targets")
+    fleet = load_fleet(spark, f"{base}/equipment", f"{base}/targets", fmt="parquet")
+    return rollups.adherence_by_business_line(*fleet)
 
 
 def _all_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +190,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources and the enriched fleet
         "scan_fleet": _scan_fleet,
-        "scan_targets_csv": _scan_targets_csv,
+        "scan_fleet_csv": _csv_round_trip(_raw_equipment),
+        "scan_targets_csv": _csv_round_trip(_raw_targets),
+        "ingested_adherence": _ingested_adherence,
         "fleet_enriched": _fleet,
         # filters
         "filtered_fleet": _on_equipment(EQUIPMENT_COLUMNS, apply_filters, ASIA_BUILDING),
@@ -416,8 +445,11 @@ def _gate_oracle() -> str:
 def oracle_sql() -> dict[str, str]:
     bodies = {
         "scan_fleet": "SELECT * FROM equipment",
+        "scan_fleet_csv": "SELECT * REPLACE (CAST(equipment_serial_number AS VARCHAR)"
+        " AS equipment_serial_number, CAST(system_id AS VARCHAR) AS system_id) FROM equipment",
         "scan_targets_csv": "SELECT * REPLACE (CAST(material_id AS VARCHAR) AS material_id)"
         " FROM targets",
+        "ingested_adherence": _adherence_oracle("TRUE"),
         "fleet_enriched": "SELECT * FROM fleet",
         "filtered_fleet": f"SELECT * FROM equipment WHERE {_ASIA_BUILDING}",
         "filtered_fleet_all_token": "SELECT * FROM equipment WHERE business_line = 'BUILDING'",
