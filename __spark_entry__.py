@@ -56,7 +56,7 @@ EXPORT_MONTH = "202501"
 
 READY_BY_LINE_SQL = """
     SELECT business_line, COUNT(*) AS total,
-           CAST(AVG(target_srs_ready) AS DECIMAL(6, 4)) AS mean_target,
+           ROUND(AVG(target_srs_ready), 4) AS mean_target,
            MIN(equipment_installation_date) AS first_installed
     FROM df_merged
     WHERE level_of_connection = 'SRS READY'
@@ -75,6 +75,11 @@ def _fleet(
     )
 
 
+def _fleet_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole enriched fleet, with the material as text like in the data model."""
+    return _fleet(spark, sf_dir).withColumn(MATERIAL_ID, F.col(MATERIAL_ID).cast("string"))
+
+
 def _on_equipment(columns: list[str], operator: Callable[..., DataFrame], *args, **kwargs):
     """A query that applies an operator to the equipment columns it reads."""
 
@@ -193,7 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_fleet_csv": _csv_round_trip(_raw_equipment),
         "scan_targets_csv": _csv_round_trip(_raw_targets),
         "ingested_adherence": _ingested_adherence,
-        "fleet_enriched": _fleet,
+        "fleet_enriched": _fleet_enriched,
         # filters
         "filtered_fleet": _on_equipment(EQUIPMENT_COLUMNS, apply_filters, ASIA_BUILDING),
         "filtered_fleet_all_token": _all_token,
@@ -435,7 +440,7 @@ def _describe_oracle() -> str:
 def _gate_oracle() -> str:
     return """
         SELECT business_line, COUNT(*) AS total,
-               CAST(AVG(target_srs_ready) AS DECIMAL(6, 4)) AS mean_target,
+               ROUND(AVG(target_srs_ready), 4) AS mean_target,
                MIN(equipment_installation_date) AS first_installed
         FROM fleet WHERE level_of_connection = 'SRS READY'
         GROUP BY business_line ORDER BY total DESC, business_line LIMIT 20
@@ -450,7 +455,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_targets_csv": "SELECT * REPLACE (CAST(material_id AS VARCHAR) AS material_id)"
         " FROM targets",
         "ingested_adherence": _adherence_oracle("TRUE"),
-        "fleet_enriched": "SELECT * FROM fleet",
+        "fleet_enriched": "SELECT * REPLACE (CAST(material_id AS VARCHAR) AS material_id)"
+        " FROM fleet",
         "filtered_fleet": f"SELECT * FROM equipment WHERE {_ASIA_BUILDING}",
         "filtered_fleet_all_token": "SELECT * FROM equipment WHERE business_line = 'BUILDING'",
         "filtered_fleet_by_target": "SELECT * FROM fleet WHERE service_region = 'ASIA'"
