@@ -21,6 +21,7 @@ def test_equals_describe_on_number_like_texts(spark):
     texts = [
         "1", " 2 ", "-3.5", "+4", ".5", "1e3", "1E-2", "7d", "8f", "inf", "words", "NOT", "",
         None, "0x1p3", "12abc", "\t9", "١", "e5", "infinite", "5.",
+        "\x7f6", "\x016", "INF", "Nothing", "-inf", "n", ":1", "{x}",
     ]
     df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int")
     same(df.coalesce(1))
