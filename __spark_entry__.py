@@ -6,6 +6,7 @@ by ``readyscope.sources.retail``; the oracles repeat that mapping in SQL.
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -43,7 +44,18 @@ from readyscope.sources.extracts import (  # noqa: E402
     to_parquet,
     write_extract,
 )
-from readyscope.sources.reports import export_month, read_months, shared_directory  # noqa: E402
+from readyscope.sources.reports import export_month, read_months  # noqa: E402
+from readyscope.sources.scratch import shared_directory  # noqa: E402
+
+# The training-data operators are optional: without their folder, the rest works
+if importlib.util.find_spec("readyscope.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline  # noqa: E402
+    from readyscope.llm import registry  # noqa: E402
+
+    TEXT_QUERIES = registry.queries() | {"pipeline": corpus_pipeline.run}
+    TEXT_ORACLES = registry.oracle_sql()
+else:
+    TEXT_QUERIES, TEXT_ORACLES = {}, {}
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -285,7 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sql_where_count": _sql_where_count,
         "sql_guarded": _sql_guarded,
         "sql_records_json": _sql_records_json,
-    }
+    } | TEXT_QUERIES
 
 
 _EQUIPMENT_CTE = """
@@ -574,4 +586,4 @@ def oracle_sql() -> dict[str, str]:
             FROM ({_gate_oracle()})
         """,
     }
-    return {name: f"{_EQUIPMENT_CTE}{body.strip()}" for name, body in bodies.items()}
+    return {name: f"{_EQUIPMENT_CTE}{body.strip()}" for name, body in bodies.items()} | TEXT_ORACLES

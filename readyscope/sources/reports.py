@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +35,3 @@ def read_months(spark: SparkSession, base_path: str) -> DataFrame:
     """All exported months, with the month as text; a filter on it prunes directories."""
     months = spark.read.parquet(base_path)
     return months.withColumn(MONTH_COLUMN, F.col(MONTH_COLUMN).cast("string"))
-
-
-def shared_directory(spark: SparkSession, purpose: str) -> str:
-    """A new directory below the shared folder that the session names.
-
-    Where ``spark.checkpoint.dir`` is unset, a local session uses its temporary
-    folder; on a cluster that would be invisible to other machines, so it raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/readyscope/{purpose}-{uuid.uuid4().hex}"

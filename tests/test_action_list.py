@@ -1,5 +1,4 @@
 import re
-import tempfile
 
 import fleets
 import pytest
@@ -7,7 +6,8 @@ import pytest
 from readyscope import ReadinessBoard, activation_list, export_month, read_months
 from readyscope.model import BUSINESS_LINE
 from readyscope.operators.enrich import enrich
-from readyscope.sources.reports import current_month, shared_directory
+from readyscope.sources.reports import current_month
+from readyscope.sources.scratch import shared_directory
 
 TITLES = ["Serial Number", "System", "Business Line", "City/State", "Service Region", "Status"]
 
@@ -71,15 +71,18 @@ class FakeSession:
     """Only the settings, as a session without a shared folder cannot be had at will."""
 
     def __init__(self, **settings):
-        self.conf = self
-        self.get = settings.get
+        self.conf = self.sparkContext = self
+        self.applicationId = "app"
+        self.get = lambda key, default=None: settings.get(key, default)
 
 
 def test_shared_directory(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_directory(spark, "x"), shared_directory(spark, "x")
     assert first.startswith(base) and first != second
-    local = FakeSession(**{"spark.master": "local[2]"})
-    assert shared_directory(local, "x").startswith(tempfile.gettempdir())
+    local = {"spark.master": "local[2]", "spark.sql.warehouse.dir": "file:/warehouse"}
+    assert shared_directory(FakeSession(**local), "x").startswith("file:/warehouse/readyscope/app/")
     with pytest.raises(ValueError):
-        shared_directory(FakeSession(**{"spark.master": "yarn"}), "x")
+        shared_directory(FakeSession(**local | {"spark.master": "yarn"}), "x")
+    shared = {"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://store/scratch"}
+    assert shared_directory(FakeSession(**shared), "x").startswith("hdfs://store/scratch/")
