@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import simhash, topk
+from readyscope.llm import bpe, packing, simhash, topk
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -30,6 +30,22 @@ def with_workers(query: Query) -> Query:
     return run
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.floored(read_table(spark, sf_dir, "embeddings"), "embedding", 256)
     return topk.top_k(
@@ -45,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op9_exact_topk, op10_simhash]
+    own = [op2_bpe, op5_packing, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 
