@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import bpe, packing, simhash, topk
+from readyscope.llm import bpe, packing, simhash, topk, toxicity, warc
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -41,11 +41,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, archive).select(
+        "page_id",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        warc.sha1_base32(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.grade_documents(docs, read_table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "severity", "toxic", (~F.col("toxic")).alias("kept"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.floored(read_table(spark, sf_dir, "embeddings"), "embedding", 256)
     return topk.top_k(
@@ -61,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_bpe, op5_packing, op9_exact_topk, op10_simhash]
+    own = [op2_bpe, op3_warc, op5_packing, op8_toxicity, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 
