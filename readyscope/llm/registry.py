@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import bpe, packing, simhash, topk, toxicity, warc
+from readyscope.llm import bpe, packing, quality, simhash, topk, toxicity, warc
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -57,6 +57,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality.rate_documents(docs, read_table(spark, sf_dir, "labels"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "llr",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = toxicity.grade_documents(docs, read_table(spark, sf_dir, "labels"))
@@ -78,7 +87,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_bpe, op3_warc, op5_packing, op8_toxicity, op9_exact_topk, op10_simhash]
+    own = [op2_bpe, op3_warc, op5_packing, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 
