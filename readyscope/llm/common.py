@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readyscope.sources.scratch import stored
 
-__all__ = ["attach", "read_table", "span_digest", "spans_text", "stored"]
+__all__ = ["attach", "read_table", "stored", "whole"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,3 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, hot_share: int = 1000) -
     rest = facts.where(~is_hot).drop("key_rows")
     cold_rows = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(cold_rows.join(rest, key))
-
-
-def spans_text(spans: Column) -> Column:
-    """``kind:start:end`` of an array of spans, comma-joined in their order."""
-    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    return F.array_join(parts, ",")
-
-
-def span_digest(spans: Column) -> Column:
-    return F.sha2(spans_text(spans).cast("binary"), 256)

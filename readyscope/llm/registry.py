@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import bpe, packing, quality, simhash, topk, toxicity, warc
+from readyscope.llm import bpe, packing, quality, secrets, simhash, spans, topk, toxicity, warc
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -57,6 +57,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs)
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        spans.digest(F.col("base")).alias("base_sha256"),
+        spans.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = quality.rate_documents(docs, read_table(spark, sf_dir, "labels"))
@@ -87,7 +98,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_bpe, op3_warc, op5_packing, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
+    own = [op2_bpe, op3_warc, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 
