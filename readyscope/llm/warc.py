@@ -84,6 +84,11 @@ def _header(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http)
 
 
+def _matching(records: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    same = [records["sha256"] == rows["sha256"], records["page_id"].eqNullSafe(rows["page_id"])]
+    return records.join(rows, same, how)
+
+
 def write_archive(
     pages: DataFrame,
     page_id: str = "page_id",
@@ -122,11 +127,16 @@ def write_archive(
     archive = Archive(f"{base}/payloads", f"{base}/headers")
     rows.select("page_id", "sha256", _header(date).alias("header")).write.parquet(archive.headers)
 
-    # payloads with one row go straight to the store; of the others, one row's does
-    single = records.join(shared.select("sha256"), "sha256", "left_anti")
-    named = [records["sha256"] == shared["sha256"], records["page_id"].eqNullSafe(shared["keeper"])]
-    once = records.join(shared, named, "left_semi").dropDuplicates(["sha256"])
-    kept = single.unionByName(once).select("sha256", "payload")
+    # Which rows' payloads are not stored is a narrow table. Stored first, its size is
+    # known when the join is planned, so the payloads are shuffled only where it is large.
+    key = ["page_id", "sha256"]
+    others = stored(rows.where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(*key), "warc-others")
+    twins = stored(digests.groupBy(*key).count().where("count > 1").select(*key), "warc-twins")
+    kept = _matching(records, others, "left_anti")
+    if not twins.isEmpty():
+        once = _matching(kept, twins, "left_semi").dropDuplicates(["sha256"])
+        kept = _matching(kept, twins, "left_anti").unionByName(once)
+    kept = kept.select("sha256", "payload")
     kept.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
