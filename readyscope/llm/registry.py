@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import bpe, packing, quality, secrets, simhash, spans, topk, toxicity, warc
+from readyscope.llm import bpe, packing, pii, quality, secrets, simhash, spans, topk, toxicity, warc
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -52,6 +52,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs)
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        spans.digest(F.col("base")).alias("base_sha256"),
+        spans.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -98,7 +109,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_bpe, op3_warc, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
+    own = [op2_bpe, op3_warc, op4_pii, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 
