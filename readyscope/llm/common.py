@@ -19,7 +19,9 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, hot_share: int = 1000) -> DataFrame:
+def attach(
+    rows: DataFrame, facts: DataFrame, key: list[str], hot_share: int = 1000
+) -> DataFrame:
     """Inner join with a table of one row per key, however hot a key is.
 
     ``facts`` holds the rows per key in ``key_rows``. A key with more than one row in
@@ -32,5 +34,5 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, hot_share: int = 1000) -
     is_hot = F.col("key_rows") * hot_share > total
     hot = F.broadcast(facts.where(is_hot).drop("key_rows"))
     rest = facts.where(~is_hot).drop("key_rows")
-    cold_rows = rows.join(hot.select(key), key, "left_anti")
+    cold_rows = rows.join(hot.select(*key), key, "left_anti")
     return rows.join(hot, key).unionByName(cold_rows.join(rest, key))

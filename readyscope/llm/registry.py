@@ -9,7 +9,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readyscope.llm import bpe, packing, pii, quality, secrets, simhash, spans, topk, toxicity, warc
+from readyscope.llm import (
+    bpe,
+    linededup,
+    packing,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    spans,
+    topk,
+    toxicity,
+    warc,
+)
 from readyscope.llm.common import read_table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -36,6 +48,14 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = linededup.without_repeats(docs)
+    return cut.withColumn("n_cut", F.coalesce(F.size("cut_spans"), F.lit(0)).cast("long")).select(
+        "doc_id", "text", "n_cut", "cut_spans"
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
@@ -109,7 +129,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_bpe, op3_warc, op4_pii, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
+    own = [op1_line_dedup, op2_bpe, op3_warc, op4_pii, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
     return {query.__name__: with_workers(query) for query in own}
 
 

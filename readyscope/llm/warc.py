@@ -120,7 +120,7 @@ def write_archive(
     shared = keepers.where("key_rows > 1")
     alone = digests.join(shared.select("sha256"), "sha256", "left_anti")
     alone = alone.withColumn("keeper", F.col("page_id"))
-    rows = alone.unionByName(attach(digests, shared, "sha256"))
+    rows = alone.unionByName(attach(digests, shared, ["sha256"]))
     again = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.withColumn("refers_to", F.when(again, F.col("keeper")))
     base = shared_directory(spark, "warc")
