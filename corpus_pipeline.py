@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readyscope.llm import linededup, packing, secrets, simhash, toxicity
-from readyscope.llm.common import read_table, stored
+from readyscope.llm.common import columns_of, read_table, stored, unused
 from readyscope.llm.registry import tokenizer_path, with_workers
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,9 +34,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    severity = "_severity"
+    severity = unused(docs, "severity")
     rated = toxicity.with_severity(docs, model, column=severity)
-    return rated.where(F.col(severity) < model.rejected_from).select(*docs.columns)
+    return rated.where(F.col(severity) < model.rejected_from).select(*columns_of(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import whole
+from readyscope.llm.common import columns_of, unused, whole
 
 REMEMBERED_WORDS = 300_000
 BATCH_CHARACTERS = 4_000_000
@@ -383,6 +383,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256: encode each text, then decode its ids.
 
     Neither ids nor decoded text leave the worker, which checks large corpora cheaply.
+    The text is left out; other columns stay, but for those that the results replace.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -396,5 +397,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             out.append((len(ids), hashlib.sha256(encoded).hexdigest(), sha.hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    found = docs.withColumn("_found", digests(whole(text)))
-    return found.select(*[c for c in docs.columns if c != text], "_found.*")
+    results, own = ("n_tokens", "ids_sha256", "decoded_sha256"), unused(docs, "_found")
+    found = docs.withColumn(own, digests(whole(text)))
+    return found.select(*columns_of(docs, text, *results), f"{own}.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readyscope.sources.scratch import stored
 
-__all__ = ["attach", "read_table", "stored", "whole"]
+__all__ = ["attach", "columns_of", "read_table", "stored", "unused", "whole"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,22 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """All columns but some, whatever characters their names have."""
+    left_out = {c.lower() for c in but}
+    return [
+        F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in left_out
+    ]
+
+
 def attach(
     rows: DataFrame, facts: DataFrame, key: list[str], hot_share: int = 1000
 ) -> DataFrame:

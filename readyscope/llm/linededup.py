@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import attach, stored, whole
+from readyscope.llm.common import attach, columns_of, stored, unused, whole
 
 WINDOW_WORDS = 25
 _END = re.compile(r"[.!?]\s+|\n\s*")
@@ -170,6 +170,7 @@ def without_repeats(
 ) -> DataFrame:
     """All columns, the text without its repeated runs, and ``cut_spans``: what was cut of
     the original, as an array of start and end (null where nothing was)."""
+    docs = docs.drop("cut_spans")
     tag = F.hash(whole(text))
     named = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), tag.alias("tag"), whole(text).alias("text")
@@ -178,8 +179,11 @@ def without_repeats(
     cuts = spans.groupBy("doc_id", "tag").agg(
         F.collect_set(F.struct("start", "end")).alias("cut_spans")
     )
+    own = {c: unused(docs, f"_{c}") for c in ("id", "tag", "own", "cut")}
     cuts = cuts.select(
-        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.sort_array("cut_spans").alias("cut_spans")
+        F.col("doc_id").alias(own["id"]),
+        F.col("tag").alias(own["tag"]),
+        F.sort_array("cut_spans").alias("cut_spans"),
     )
 
     @F.pandas_udf("text string, cut_spans array<struct<start:int,end:int>>")
@@ -189,16 +193,15 @@ def without_repeats(
         ]
         return pd.DataFrame(rows, columns=["text", "cut_spans"])
 
-    joined = docs.withColumn("_own", tag).join(
-        cuts, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tag")), "left"
-    )
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(own["id"]))
+    same &= F.col(own["own"]) == F.col(own["tag"])
+    joined = docs.withColumn(own["own"], tag).join(cuts, same, "left")
     # only texts that are cut go to the workers
     touched = F.when(F.col("cut_spans").isNotNull(), F.col(text))
-    edited = joined.withColumn("_cut", cut(touched, F.col("cut_spans")))
-    columns = [
-        F.coalesce("_cut.text", text).alias(text) if c == text else F.col(c) for c in docs.columns
-    ]
-    return edited.select(*columns, F.col("_cut.cut_spans").alias("cut_spans"))
+    done = F.col(own["cut"])
+    edited = joined.withColumn(own["cut"], cut(touched, F.col("cut_spans")))
+    edited = edited.withColumn(text, F.coalesce(done["text"], F.col(text)))
+    return edited.select(*columns_of(docs), done["cut_spans"].alias("cut_spans"))
 
 
 def _cut(text: str, spans) -> tuple[str, list[tuple[int, int]]]:
@@ -218,6 +221,8 @@ def _cut(text: str, spans) -> tuple[str, list[tuple[int, int]]]:
 
 def drop_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without repeated runs; those of which nothing is left go."""
-    cut = without_repeats(docs, text=text, **options)
+    hidden = {"cut_spans": unused(docs, "_cut_spans")} if "cut_spans" in docs.columns else {}
+    cut = without_repeats(docs.withColumnsRenamed(hidden), text=text, **options)
     emptied = F.col("cut_spans").isNotNull() & ~F.col(text).rlike(r"\S")
-    return cut.where(~emptied).select(*docs.columns)
+    kept = cut.where(~emptied).drop("cut_spans")
+    return kept.withColumnsRenamed({b: a for a, b in hidden.items()}).select(*columns_of(docs))

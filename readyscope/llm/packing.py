@@ -331,8 +331,11 @@ def _slots(plan: Plan) -> Iterator[tuple[int, int, int, int, int, int]]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT) -> DataFrame:
-    """Add sequence_id and offset to a stored table of pieces with a length."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of a stored table of
+    pieces; ids too, if the table has them."""
     spark = pieces.sparkSession
+    kept = [c for c in pieces.columns if c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")]
+    pieces = pieces.select(*kept)
     lengths = pieces.groupBy("length").count()
     counts = {row["length"]: row["count"] for row in lengths.collect()}
     if any(not 0 < length <= capacity for length in counts):
@@ -372,7 +375,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT) -> D
     )
     turn = F.col("rank") - F.col("low")
     return placed.select(
-        *[pieces[c] for c in pieces.columns],
+        *[pieces[c] for c in kept],
         (F.col("sequence") + F.floor(turn / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("place") + turn % F.col("copies") * pieces["length"]).cast("long").alias("offset"),
     )

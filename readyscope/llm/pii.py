@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from readyscope.llm import spans as S
 from readyscope.llm.boosting import Trees, calibration, fit_trees
-from readyscope.llm.common import stored, whole
+from readyscope.llm.common import columns_of, stored, unused, whole
 
 SAMPLE = 20_000
 CHANCE = 0.9
@@ -185,8 +185,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append((base, found))
         return pd.DataFrame(out, columns=["base", "candidates"])
 
-    return docs.withColumn("_found", scanned(whole(text))).select(
-        *docs.columns, "_found.base", "_found.candidates"
+    own = unused(docs, "_found")
+    return docs.withColumn(own, scanned(whole(text))).select(
+        *columns_of(docs, "base", "candidates", "spans"), f"{own}.base", f"{own}.candidates"
     )
 
 

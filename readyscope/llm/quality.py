@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import stored, whole
+from readyscope.llm.common import stored, unused, whole
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -53,7 +53,7 @@ def _windows(words: Column) -> Column:
     return F.arrays_zip(*[F.slice(words, F.lit(k + 1), n).alias(f"w{k}") for k in range(3)])
 
 
-def _with_repeat_words(rows: DataFrame) -> DataFrame:
+def _with_repeat_words(rows: DataFrame, words_name: str) -> DataFrame:
     """Add n_repeat_words: words that lie in a window found twice or more.
 
     Equal hashes only say which texts are worth a look. There, the windows are sorted by
@@ -61,49 +61,50 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
     are counted with overlaps counted once. Each step is a column of its own, since an
     expression used twice within another would be computed twice.
     """
-    words, hashes = F.col("_words"), F.col("_hashes")
+    names = [unused(rows, n) for n in ("_hashes", "_ordered", "_places")]
+    words, hashes, ordered_, places_ = map(F.col, (words_name, *names))
     hashed = rows.withColumn(
-        "_hashes", F.transform(_windows(words), lambda z: F.xxhash64(z["w0"], z["w1"], z["w2"]))
+        names[0], F.transform(_windows(words), lambda z: F.xxhash64(z["w0"], z["w1"], z["w2"]))
     )
     at = F.sequence(F.lit(0), F.size(hashes) - 1)
     numbered = F.arrays_zip(hashes.alias("h"), _windows(words).alias("w"), at.alias("at"))
     unique = F.size(F.array_distinct(hashes)) == F.size(hashes)
     # by hash, then words, then position
-    ordered = hashed.withColumn("_ordered", F.when(~unique, F.sort_array(numbered)))
+    ordered = hashed.withColumn(names[1], F.when(~unique, F.sort_array(numbered)))
     twins = F.zip_with(
-        F.col("_ordered"),
-        _after(F.col("_ordered"), 1),
+        ordered_,
+        _after(ordered_, 1),
         lambda x, y: F.when((x["h"] == y["h"]) & (x["w"] == y["w"]), F.array(x["at"], y["at"])),
     )
     places = F.flatten(F.filter(twins, lambda t: t.isNotNull()))
-    placed = ordered.withColumn("_places", F.sort_array(F.array_distinct(places)))
+    placed = ordered.withColumn(names[2], F.sort_array(F.array_distinct(places)))
     covered = F.zip_with(
-        F.col("_places"),
-        _after(F.col("_places"), 1),
+        places_,
+        _after(places_, 1),
         lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))),
     )
     counted = F.aggregate(covered, F.lit(0).cast("long"), lambda total, x: total + x)
-    return placed.withColumn("n_repeat_words", F.coalesce(counted, F.lit(0).cast("long"))).drop(
-        "_hashes", "_ordered", "_places"
-    )
+    found = F.coalesce(counted, F.lit(0).cast("long"))
+    return placed.withColumn("n_repeat_words", found).drop(*names)
 
 
-def with_base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the base counts, base_failed, and the words as an array ``_words``."""
+def with_base_rules(docs: DataFrame, text: str = "text", words_name: str = "_words") -> DataFrame:
+    """Add the base counts, base_failed, and the words as an array. Columns of the input
+    that have the name of a result are replaced."""
     body = whole(text)
-    words = docs.withColumn("_words", words_of(body))
+    words = docs.withColumn(words_name, words_of(body))
     lines = F.filter(
         F.split(body, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0
     )
     counted = words.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size(words_name).cast("long"),
             "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         }
     )
-    counted = _with_repeat_words(counted)
+    counted = _with_repeat_words(counted, words_name)
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PCT * F.col("n_words")
     )
@@ -136,13 +137,14 @@ def ratios(
     """The log ratio of trusted to corpus probability of each bucket: words, then pairs."""
     ids = stored(trusted_ids(labels, sample), "quality-trusted")
     # at most ``sample`` ids, so the texts need no shuffle
-    marked = docs.join(F.broadcast(ids.withColumn("_trusted", F.lit(1))), "doc_id", "left")
-    pairs = marked.select("_trusted", F.explode(_pairs(words_of(whole(text)))).alias("_z"))
-    both = F.array(*_buckets(F.col("_z")["a"], F.col("_z")["b"], buckets))
+    texts = docs.select("doc_id", whole(text).alias("text"))
+    marked = texts.join(F.broadcast(ids.withColumn("good", F.lit(1))), "doc_id", "left")
+    pairs = marked.select("good", F.explode(_pairs(words_of(F.col("text")))).alias("pair"))
+    both = F.array(*_buckets(F.col("pair.a"), F.col("pair.b"), buckets))
     counts = (
-        pairs.select("_trusted", F.explode(both).alias("bucket"))
+        pairs.select("good", F.explode(both).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("corpus"), F.count("_trusted").alias("trusted"))
+        .agg(F.count("*").alias("corpus"), F.count("good").alias("trusted"))
     )
     corpus, trusted = [0] * (2 * buckets), [0] * (2 * buckets)
     for row in counts.collect():  # one row a bucket
@@ -175,6 +177,7 @@ def rate_documents(
 ) -> DataFrame:
     """All columns with the base counts, base_failed, ``llr`` and ``kept``."""
     table = ratios(docs, labels, text=text, **options)
-    counted = with_base_rules(docs, text).withColumn("llr", score(F.col("_words"), table))
+    words = unused(docs, "_words")
+    counted = with_base_rules(docs, text, words).withColumn("llr", score(F.col(words), table))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    return counted.withColumn("kept", kept).drop("_words")
+    return counted.withColumn("kept", kept).drop(words)

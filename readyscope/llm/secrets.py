@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readyscope.llm import spans as S
-from readyscope.llm.common import stored, whole
+from readyscope.llm.common import columns_of, stored, unused, whole
 
 RATE = 0.05
 MIN_LENGTH = 16
@@ -172,8 +172,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             out.append((base_spans(one), found))
         return pd.DataFrame(out, columns=["base", "candidates"])
 
-    return docs.withColumn("_found", scanned(whole(text))).select(
-        *docs.columns, "_found.base", "_found.candidates"
+    own = unused(docs, "_found")
+    return docs.withColumn(own, scanned(whole(text))).select(
+        *columns_of(docs, "base", "candidates", "spans"), f"{own}.base", f"{own}.candidates"
     )
 
 
@@ -229,7 +230,9 @@ def _all_spans(least: int | None) -> Column:
 
 def without_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """The documents with every secret replaced by its kind in brackets."""
-    found = find_secrets(docs, text, rate, keep_text=True)
+    # the spans go by names of their own, so that columns of the same name pass through
+    hidden = {c: unused(docs, f"_{c}") for c in ("base", "candidates", "spans") if c in docs.columns}
+    found = find_secrets(docs.withColumnsRenamed(hidden), text, rate, keep_text=True)
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -241,4 +244,5 @@ def without_secrets(docs: DataFrame, text: str = "text", rate: float = RATE) ->
         )
 
     clean = F.when(F.size("spans") > 0, redacted(F.col(text), F.col("spans"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*docs.columns)
+    edited = found.withColumn(text, clean).drop("base", "spans")
+    return edited.withColumnsRenamed({b: a for a, b in hidden.items()}).select(*columns_of(docs))

@@ -1,0 +1,101 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from readyscope.llm import bpe, registry
+
+PATH = str(public_tokenizers.path("word_bpe_49k.json"))
+TEXTS = [
+    "", " ", "a<|endoftext|>b <|startoftext|>", "<|STARTOFTEXT|> x", "Σίσυφος ΟΔΟΣ İstanbul ǅ",
+    "日本語 한국어 é ẛ̣ x̧́", "don't we'll 123 ½ ² ª \x1c\x1d a\x85b c \xa0 d", "a" * 5000,
+    "ab" * 9000, "\x00\x01 tab\tnl\n", "🙂🙂 👨‍👩‍👧 ́a", "ſtraße ŉ ŀ",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(octets):
+    return np.frombuffer(octets, "<u4").tolist()
+
+
+def test_equals_library(library, texts):
+    own = bpe.Codec(PATH)
+    all_texts = TEXTS + [t or "" for _, t in texts]
+    for text, octets in zip(all_texts, own.encode(all_texts), strict=True):
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert ids_of(octets) == wanted
+        assert "".join(own.decode(np.array(wanted, "<u4"))) == library.decode(
+            wanted, skip_special_tokens=False
+        )
+
+
+def test_remembered_words_are_bounded(monkeypatch, texts):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 500)
+    monkeypatch.setattr(bpe, "BATCH_CHARACTERS", 2000)
+    small, plain = bpe.Codec(PATH), bpe.Codec(PATH)
+    some = [t or "" for _, t in texts[:40]]
+    found = list(small.encode(some))
+    monkeypatch.undo()
+    assert found == list(plain.encode(some))
+
+
+def test_lookahead_suffices(library):
+    """Tokens emitted early are those of the whole word, at the least capacity."""
+    table = bpe.Codec(PATH).table
+    rng = random.Random(5)
+    for alphabet in ("etaoin", "abcdethinrs", "!-.", "a"):
+        word = "".join(rng.choice(alphabet) for _ in range(5000))
+        encoder, ids = bpe.WordEncoder(table, 1), []
+        for at in range(0, len(word), 7):
+            ids += encoder.feed(word[at : at + 7])
+            assert len(encoder.pending) <= encoder.capacity + 7
+        assert ids  # something was stable before the end
+        assert ids + encoder.flush() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_lookahead_of_a_small_table():
+    # a later b can undo (a, a) two places back: aa+b needs what (a, b) would take
+    merges = [("a", "b"), ("a", "a")]
+    vocab = {s: i for i, s in enumerate(["a", "b", "ab", "aa"])}
+    assert bpe.MergeTable(vocab, merges).lookahead == 2
+    assert bpe.MergeTable(vocab, []).lookahead == 0
+
+
+def test_both_ways_of_merging_agree():
+    table = bpe.Codec(PATH).table
+    rng = random.Random(1)
+    for _ in range(300):
+        word = [rng.choice("theinrsa") for _ in range(rng.randint(1, 40))]
+        assert table.merged(word) == table._merged_long(word)
+
+
+def test_decoder_waits_for_split_characters():
+    decoder = bpe.TokenDecoder([b"\xc3", b"\xa9", b"x"], b"")
+    assert [decoder.feed([0]), decoder.feed([1, 2]), decoder.feed([0]), decoder.flush()] == [
+        "", "éx", "", "�",
+    ]
+
+
+def test_operators_and_query(spark, sf_dir, texts, library, odd, empty, odd_rows):
+    found = {r["doc_id"]: r for r in registry.queries()["op2_bpe"](spark, sf_dir).collect()}
+    assert len(found) == len(texts)
+    for doc_id, text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        row = found[doc_id]
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+    rows = bpe.decode(bpe.encode(odd, PATH), PATH).collect()
+    for row, (_, text) in zip(rows, odd_rows, strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert row["ids"] == ids and row["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert bpe.round_trip(odd, PATH).count() == len(odd_rows)
+    assert bpe.round_trip(empty, PATH).count() == 0

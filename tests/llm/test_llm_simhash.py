@@ -1,0 +1,114 @@
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from readyscope.llm import registry, simhash
+from readyscope.llm.common import stored
+
+
+def plain_fingerprint(text, size=3):
+    import re
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles or [" ".join(words)]]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, distance=3):
+    """{(id, fingerprint)} to the least id reachable, by all pairs."""
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(prints):
+        if key is not None:
+            least[find(i)] = min(key, least.get(find(i), key))
+    return [least.get(find(i)) for i in range(len(prints))]
+
+
+def signed(value):
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_query_equals_plain_version(spark, sf_dir, texts):
+    rows = registry.queries()["op10_simhash"](spark, sf_dir).collect()
+    prints = [(doc_id, plain_fingerprint(text)) for doc_id, text in texts]
+    wanted = {
+        (doc_id, f"{fp:016x}", root)
+        for (doc_id, fp), root in zip(prints, plain_components(prints), strict=True)
+    }
+    assert {tuple(r) for r in rows} == wanted and len(rows) == len(texts)
+    assert any(doc_id != root for doc_id, _, root in wanted)
+
+
+@pytest.mark.parametrize("crowded", [1000, 2])
+def test_links_of_clustered_fingerprints(spark, crowded):
+    """Chains and clouds of near fingerprints, by buckets and by masked rests."""
+    rng = random.Random(9)
+    values = {0}
+    for _ in range(6):
+        center = rng.getrandbits(64)
+        for _ in range(12):
+            center ^= sum(1 << rng.randrange(64) for _ in range(rng.randint(1, 4)))
+            center &= (1 << 64) - 1
+            values.add(center)
+    # many that share one half and differ in the other
+    half = rng.getrandbits(32) << 32
+    values |= {half | rng.getrandbits(6) for _ in range(20)}
+    prints = [(i, v) for i, v in enumerate(sorted(values))]
+    nodes = spark.createDataFrame([(signed(v), i) for i, v in prints], "fp long, id long")
+    nodes = stored(nodes, "test-nodes")
+    links = simhash.near_links(nodes, 3, crowded)
+    found = {r["fp"]: r["component_id"] for r in simhash.components(nodes, links).collect()}
+    wanted = plain_components(prints)
+    assert found == {signed(v): root for (_, v), root in zip(prints, wanted, strict=True)}
+
+
+def test_every_link_is_within_the_distance(spark):
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    values = {base} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(30)}
+    nodes = stored(spark.createDataFrame([(signed(v),) for v in values], "fp long"), "test-nodes")
+    for crowded in (1000, 3):
+        for a, b in simhash.near_links(nodes, 3, crowded).collect():
+            assert 0 < ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3
+
+
+def test_odd_rows(odd, empty, odd_rows):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(odd_rows)
+    prints = [(i, plain_fingerprint(t)) for i, t in odd_rows]
+    wanted = {(i, signed(fp), root) for (i, fp), root in zip(prints, plain_components(prints), strict=True)}
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows} == wanted
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.first_of_each(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(6) == 0 and ids.count(5) == 1  # a tie: the least id stays
+    assert ids.count(1) == 1 and not {2, 3} & set(ids)  # texts without words are one group
+    assert simhash.first_of_each(empty).count() == 0
+
+
+def test_repeated_rows_keep_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "x y z")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.first_of_each(docs).collect()) == [1, 2]
+
+
+def test_lookups_are_joins_on_the_segment(spark):
+    nodes = stored(spark.range(100).select(F.xxhash64("id").alias("fp")), "test-nodes")
+    plan = simhash.near_links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
