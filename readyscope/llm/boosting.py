@@ -32,11 +32,12 @@ class Trees:
 
 
 def fit_trees(
-    rows: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3,
-    penalty: float = 1.0,
+    rows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, trees: int = 40,
+    depth: int = 3, rate: float = 0.3, penalty: float = 1.0,
 ) -> Trees:
     """Boost the logistic loss; each split is the best by gain over binned features."""
-    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 1 - 1e-6)
+    weights = np.ones(len(rows)) if weights is None else weights
+    share = np.clip(np.average(labels, weights=weights) if len(labels) else 0.5, 1e-6, 1 - 1e-6)
     start = float(np.log(share / (1 - share)))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in rows.T]
     binned = np.column_stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, rows.T, strict=True)])
@@ -46,7 +47,7 @@ def fit_trees(
     leaves = np.zeros((trees, 2**depth))
     for t in range(trees):
         chance = 1 / (1 + np.exp(-margin))
-        gradient, curve = labels - chance, chance * (1 - chance)
+        gradient, curve = weights * (labels - chance), weights * chance * (1 - chance)
         node = np.zeros(len(rows), np.int64)
         for at in range(inner):
             here = node == at
@@ -79,16 +80,19 @@ def _best_split(binned, gradient, curve, cuts, penalty):
     return best
 
 
-def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def calibration(
+    margins: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic calibration: ascending margins and the chance of a positive from each on."""
+    weights = np.ones(len(labels)) if weights is None else weights
     order = np.argsort(margins, kind="stable")
     blocks: list[list[float]] = []  # first margin, positives, rows
-    for m, y in zip(margins[order], labels[order], strict=True):
+    for m, y, w in zip(margins[order], labels[order], weights[order], strict=True):
         if blocks and blocks[-1][0] == m:
-            blocks[-1][1] += y
-            blocks[-1][2] += 1
+            blocks[-1][1] += w * y
+            blocks[-1][2] += w
         else:
-            blocks.append([m, y, 1])
+            blocks.append([m, w * y, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, y2, n2 = blocks.pop()
             blocks[-1][1] += y2

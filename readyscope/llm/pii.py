@@ -13,11 +13,13 @@ What a candidate must have to be a known format is thus only partly visible to t
 and similar spans elsewhere are found by what remains.
 
 Half of the sample trains the trees, the other half calibrates them (isotonic). A span
-is selected where the calibrated chance reaches ``CHANCE``. Of selected spans that
+is selected where the calibrated chance reaches ``CHANCE``: where at least that share of
+the candidates like it belongs to a known format. Of selected spans that
 overlap the likelier stays; known formats always stay.
 
-The sample is bounded (``SAMPLE`` candidates with the least hash); every text is scanned
-whole and every candidate judged.
+The sample is bounded (``SAMPLE`` distinct feature rows with the least hash, each with its
+numbers of examples and counter-examples); every text is scanned whole and every candidate
+judged.
 
 Defined results: a null text counts as empty and has no spans; offsets count code points;
 without examples of both kinds nothing is selected beside the known formats.
@@ -40,7 +42,7 @@ from readyscope.llm.boosting import Trees, calibration, fit_trees
 from readyscope.llm.common import columns_of, stored, unused, whole
 
 SAMPLE = 20_000
-CHANCE = 0.9
+CHANCE = 0.5
 MOST = 0.7
 
 KINDS = ["email", "ip", "card", "phone", "contact", "number"]
@@ -203,23 +205,30 @@ class Judge:
 
 
 def fit(scanned: DataFrame, sample: int = SAMPLE) -> Judge | None:
-    """Trees and calibration from a bounded sample of the candidates."""
+    """Trees and calibration from the candidates of a bounded sample of feature rows."""
     rows = scanned.select(F.explode("candidates").alias("c")).where("c.known IS NOT NULL")
-    # the same format and context counts once, so that copies do not fill the sample
-    one = rows.select("c.known", "c.features", "c.kind").distinct()
-    order = F.xxhash64("features", "known", "kind")
-    halves = [one.where(F.col("known") == k).orderBy(order).limit(sample // 2) for k in (1, 0)]
-    found = halves[0].unionByName(halves[1]).withColumn("order", order).toPandas()
-    if found["known"].nunique() < 2:
+    counts = rows.groupBy("c.features").agg(
+        F.sum("c.known").alias("yes"), F.sum(1 - F.col("c.known")).alias("no")
+    )
+    order = [F.xxhash64("features"), F.col("features")]
+    found = counts.orderBy(*order).limit(sample).toPandas()
+    if not len(found):
         return None
-    found = found.sort_values("order", ignore_index=True)
     x = np.array(found["features"].tolist(), np.float64)
-    y = found["known"].to_numpy(np.float64)
-    train = np.arange(len(y)) % 2 == 0
-    if len(set(y[train])) < 2 or len(set(y[~train])) < 2:
+    yes, no = found["yes"].to_numpy(np.float64), found["no"].to_numpy(np.float64)
+    train = np.arange(len(x)) % 2 == 0
+    if any(not side[half].sum() for side in (yes, no) for half in (train, ~train)):
         return None
-    trees = fit_trees(x[train], y[train])
-    return Judge(trees, *calibration(trees.margin(x[~train]), y[~train]))
+
+    def both(half):
+        """Every feature row once as an example and once as a counter-example."""
+        labels = np.repeat([1.0, 0.0], half.sum())
+        return np.concatenate([x[half], x[half]]), labels, np.concatenate([yes[half], no[half]])
+
+    trees = fit_trees(*both(train))
+    held, labels, weights = both(~train)
+    seen = weights > 0
+    return Judge(trees, *calibration(trees.margin(held)[seen], labels[seen], weights[seen]))
 
 
 def find_pii(

@@ -94,12 +94,20 @@ def candidates(text: str, min_length: int = MIN_LENGTH) -> Iterator[tuple[int, i
             yield start, end
 
 
+def _class(character: str) -> str:
+    if character.isdigit():
+        return "digit"
+    return "lower" if character.islower() else "upper" if character.isupper() else "sign"
+
+
 def _normal_below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
 def chi_squared_below(x: float, degrees: int, centre: float = 0.0) -> float:
     """Distribution function of the noncentral chi-squared, by Sankaran's approximation."""
+    if x <= 0:
+        return 0.0
     mean, wide = degrees + centre, degrees + 2 * centre
     h = 1 - 2 * mean * (degrees + 3 * centre) / (3 * wide**2)
     p = wide / mean**2
@@ -121,7 +129,12 @@ def battery(token: str, alphabet: str) -> tuple[float, float, float, float]:
     place = {c: i for i, c in enumerate(alphabet)}
     symbols = [place[c] for c in token]
     chi = k / n * sum(c * c for c in Counter(symbols).values()) - n
+    # short tokens leave most symbols out, but not whole classes of them
+    seen, sizes = Counter(map(_class, token)), Counter(map(_class, alphabet))
+    classes = sum((seen[c] - n * m / k) ** 2 / (n * m / k) for c, m in sizes.items())
     frequencies = 1 - chi_squared_below(chi, k - 1)
+    if len(sizes) > 1:
+        frequencies = min(1, 2 * min(frequencies, 1 - chi_squared_below(classes, len(sizes) - 1)))
     text = chi_squared_below(chi, k - 1, n * max(0.7, k * _TEXT_REPEATS - 1))
 
     high = [2 * s >= k for s in symbols]
