@@ -77,6 +77,7 @@ class _Lines:
         self.limit = np.repeat(np.cumsum(counts), counts)  # the end of each line's text
 
 
+@np.errstate(over="ignore")
 def windows(lines: _Lines, window_words: int):
     """(first line, last line + 1, selected line, key) of every window."""
     n = len(lines.hashes)
@@ -85,13 +86,13 @@ def windows(lines: _Lines, window_words: int):
     whole_ = stop <= lines.limit
     first, stop = first[whole_], stop[whole_]
     least, key = lines.hashes[first], lines.hashes[first].copy()
-    selected, factor = first.copy(), _BASE
+    selected, factor = first.copy(), _BASE  # 64-bit arithmetic wraps
     # one step per line of the longest window, over all windows at once
     for k in range(1, int((stop - first).max(initial=0))):
         inside = np.flatnonzero(first + k < stop)
         here = lines.hashes[first[inside] + k]
         key[inside] += here * factor
-        factor *= _BASE
+        factor = np.multiply(factor, _BASE)
         lower = here <= least[inside]
         least[inside[lower]] = here[lower]
         selected[inside[lower]] = first[inside[lower]] + k
@@ -106,8 +107,7 @@ def fingerprints(docs: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = _Lines(batch.column("text").to_pylist())
-            with np.errstate(over="ignore"):
-                first, stop, selected, key = windows(lines, window_words)
+            first, stop, selected, key = windows(lines, window_words)
             if not len(first):
                 continue
             # windows come in order, and so do the lines they select

@@ -30,7 +30,7 @@ from readyscope.llm.common import stored, unused, whole
 BUCKETS = 1 << 14
 SAMPLE = 20_000
 THRESHOLD = -0.1
-SMOOTHING = 1.0
+PRIOR = 50_000
 
 MIN_WORDS = 50
 MAX_REPEATED_PCT = 50
@@ -132,7 +132,7 @@ def trusted_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def ratios(
     docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE,
-    text: str = "text",
+    prior: float = PRIOR, text: str = "text",
 ) -> list[float]:
     """The log ratio of trusted to corpus probability of each bucket: words, then pairs."""
     ids = stored(trusted_ids(labels, sample), "quality-trusted")
@@ -151,10 +151,12 @@ def ratios(
         corpus[row["bucket"]], trusted[row["bucket"]] = row["corpus"], row["trusted"]
     if not any(trusted):
         return [0.0] * (2 * buckets)
-    total = [sum(c) + SMOOTHING * 2 * buckets for c in (trusted, corpus)]
+    # the trusted model leans on the corpus by PRIOR n-grams, so a small sample says little
+    shares = [c / sum(corpus) for c in corpus]
+    size = sum(trusted)
     return [
-        math.log((t + SMOOTHING) / total[0]) - math.log((c + SMOOTHING) / total[1])
-        for t, c in zip(trusted, corpus, strict=True)
+        math.log((t + prior * p) / ((size + prior) * p)) if p else 0.0
+        for t, p in zip(trusted, shares, strict=True)
     ]
 
 

@@ -9,8 +9,8 @@ word never seen takes part of its kin's weight. A feature enters the model by ho
 more often it is in toxic documents than in others (log-likelihood ratio).
 
 The labels say toxic or not. A toxic document's grade, 1 to ``GRADES`` - 1, is its rank
-by the share of its words that are evidence (features found in toxic documents almost
-only), cut into equal parts; every other document has grade 0.
+by the number of its words that are evidence (features that toxic documents have at least
+``MIN_RATE`` times as often), cut into equal parts; every other document has grade 0.
 
 Feature statistics and fit use at most ``SAMPLE`` labelled documents, those with the
 least hash of their id, half of the places for toxic ones; that bound is what lets their
@@ -39,6 +39,7 @@ SAMPLE = 40_000
 FEATURES = 4096
 GRADES = 4
 PREFIXES = (4, 5)
+MIN_RATE = 8
 _STRIPPED = ".,;:!?\"'()[]{}<>«»“”…-*#$%&|"
 _REMEMBERED = 300_000
 
@@ -102,7 +103,8 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def select_features(counts: DataFrame, toxic: int, others: int, limit: int) -> pd.DataFrame:
-    """The features of most evidence for toxicity: feature, strength, pure."""
+    """The features that are toxic documents' own: feature, strength, evidence (the log of
+    how many times more often a toxic document has it)."""
     a, b = F.col("toxic_docs"), F.col("other_docs")
     share = (a + b) / F.lit(toxic + others)
 
@@ -114,16 +116,16 @@ def select_features(counts: DataFrame, toxic: int, others: int, limit: int) -> p
         + part(toxic - a, (1 - share) * toxic) + part(others - b, (1 - share) * others)
     )
     rate = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (others + 1))
-    chosen = counts.where((a >= 2) & (rate > 3)).select(
-        "feature", strength.alias("strength"), (rate > 10).alias("pure")
+    chosen = counts.where((a >= 2) & (rate > MIN_RATE)).select(
+        "feature", strength.alias("strength"), F.log(rate).alias("evidence")
     )
-    # 24: about one chance in a million for a feature without association
-    best = chosen.where("strength > 24").orderBy(F.desc("strength"), "feature").limit(limit)
+    # 15.1: one chance in ten thousand for a feature without association
+    best = chosen.where("strength > 15.1").orderBy(F.desc("strength"), "feature").limit(limit)
     return best.toPandas()
 
 
-def sample_rows(sample: DataFrame, features: list[str], pure: set[str]) -> pd.DataFrame:
-    """The sample as sparse rows: toxic, share of evidence words, positions and counts."""
+def sample_rows(sample: DataFrame, features: list[str]) -> pd.DataFrame:
+    """The sample as sparse rows: toxic, number of evidence words, positions and counts."""
     position = {f: i for i, f in enumerate(features)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,23 +135,24 @@ def sample_rows(sample: DataFrame, features: list[str], pure: set[str]) -> pd.Da
                 words, found, evidence = words_of(text), Counter(), 0
                 for word, n in Counter(words).items():
                     own = [f for f in features_of(word) if f in position]
-                    evidence += n * any(f in pure for f in own)
+                    evidence += n * bool(own)
                     for f in own:
                         found[position[f]] += n
-                share = evidence / max(1, len(words))
-                out.append((bool(toxic), share, list(found), list(found.values())))
-            yield pd.DataFrame(out, columns=["toxic", "share", "at", "n"])
+                out.append((bool(toxic), evidence, list(found), list(found.values())))
+            yield pd.DataFrame(out, columns=["toxic", "evidence", "at", "n"])
 
-    schema = "toxic boolean, share double, at array<int>, n array<int>"
+    schema = "toxic boolean, evidence int, at array<int>, n array<int>"
     return sample.mapInPandas(rows, schema).toPandas()
 
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray,
-    features: int, grade_count: int, penalty: float = 1e-4, rounds: int = 600,
+    prior: np.ndarray, grade_count: int, penalty: float = 1e-3, rounds: int = 600,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative logit model, by gradient ascent.
 
+    Weights are drawn to a prior, the evidence of the feature by itself: what only few
+    documents of the sample have, often beside stronger features, keeps its weight.
     The thresholds are the first one and the logs of the steps between them, so they stay
     ordered. Sparse rows come as (row, column, value) triples; the steps are Adam's.
     """
@@ -157,7 +160,8 @@ def fit_ordinal(
     above = [float((grades > k).mean()) for k in range(grade_count - 1)]
     start = [np.log((1 - p + 1e-3) / (p + 1e-3)) for p in above]
     steps = np.log(np.maximum(np.diff(start), 0.05))
-    params = np.concatenate([np.zeros(features), start[:1], steps])
+    features = len(prior)
+    params = np.concatenate([prior, start[:1], steps])
     first, second = np.zeros_like(params), np.zeros_like(params)
 
     def thresholds(p):
@@ -174,7 +178,7 @@ def fit_ordinal(
         d_score = d_lower - d_upper
         gradient = np.zeros_like(params)
         gradient[:features] = np.bincount(columns, values * d_score[rows], minlength=features) / n
-        gradient[:features] -= penalty * params[:features]
+        gradient[:features] -= penalty * (params[:features] - prior)
         d_cuts = np.array([
             d_upper[grades == k].sum() - d_lower[grades == k + 1].sum()
             for k in range(grade_count - 1)
@@ -206,20 +210,22 @@ def fit(
         return SeverityModel({}, ())
     chosen = select_features(feature_counts(rows), toxic, others, features)
     names = chosen["feature"].tolist()
-    found = sample_rows(rows, names, set(chosen.loc[chosen["pure"], "feature"]))
+    found = sample_rows(rows, names)
     # a fixed order, so that the sums of the fit do not depend on the order of tasks
     found["at"], found["n"] = found["at"].map(tuple), found["n"].map(tuple)
-    found = found.sort_values(["toxic", "share", "at", "n"], ignore_index=True)
+    found = found.sort_values(["toxic", "evidence", "at", "n"], ignore_index=True)
     level = np.zeros(len(found), np.int64)
     is_toxic = found["toxic"].to_numpy(bool)
-    share = found["share"].to_numpy()[is_toxic]
-    # equal shares have equal grades
-    below = np.searchsorted(np.sort(share), share, side="left") / max(1, len(share))
+    evidence = found["evidence"].to_numpy()[is_toxic]
+    # equal numbers have equal grades
+    below = np.searchsorted(np.sort(evidence), evidence, side="left") / max(1, len(evidence))
     level[is_toxic] = 1 + np.minimum((below * (grades - 1)).astype(int), grades - 2)
     lengths = found["at"].map(len).to_numpy()
     flat = lambda c: np.array([x for v in found[c] for x in v], np.int64)
     rows_of, at, n = np.repeat(np.arange(len(found)), lengths), flat("at"), np.log1p(flat("n"))
-    weights, cuts = fit_ordinal(rows_of, at, n, level, len(names), grades)
+    # a word has up to this many features, which share its evidence
+    prior = chosen["evidence"].to_numpy(np.float64) / (1 + len(PREFIXES))
+    weights, cuts = fit_ordinal(rows_of, at, n, level, prior, grades)
     named, cuts = dict(zip(names, map(float, weights), strict=True)), tuple(map(float, cuts))
     scores = np.bincount(rows_of, n * weights[at], minlength=len(found))
     severity = SeverityModel(named, cuts).expected(scores)

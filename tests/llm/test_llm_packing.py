@@ -1,0 +1,177 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from readyscope.llm import packing, registry
+from readyscope.llm.common import stored
+
+PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def sequences_of(plan):
+    return sum(times for _, times in plan)
+
+
+def check_plan(plan, counts, capacity):
+    used = Counter()
+    for filling, times in plan:
+        assert sum(length * n for length, n in filling) <= capacity
+        for length, n in filling:
+            used[length] += n * times
+    assert used == +Counter(counts)
+
+
+def fewest(items, capacity):
+    """By trying everything."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[i]:
+                rest = list(bins)
+                rest[rest.index(room)] -= items[i]
+                place(i + 1, rest)
+        place(i + 1, [*bins, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng = random.Random(6)
+    better = 0
+    for _ in range(150):
+        capacity = rng.choice([10, 17, 30])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        counts = Counter(items)
+        plan = packing.bin_completion(counts, capacity)
+        check_plan(plan, counts, capacity)
+        assert packing.lower_bound(counts, capacity) <= sequences_of(plan) == fewest(items, capacity)
+        better += sequences_of(plan) < sequences_of(packing.best_fit(counts, capacity))
+    # a case that best-fit gets wrong: 6 + 4, 5 + 3 + 2 instead of 6 + 3, 5 + 4, 2
+    counts = Counter([8, 7, 6, 5, 4, 3, 3, 2, 2])
+    plan = packing.bin_completion(counts, 10)
+    check_plan(plan, counts, 10)
+    assert sequences_of(plan) == 4
+
+
+def test_search_beats_best_fit():
+    """Three items that fill a sequence exactly, which best-fit does not see."""
+    rng = random.Random(0)
+    counts = Counter()
+    for _ in range(12):
+        a = rng.randint(26, 49)
+        b = rng.randint(26, 74 - 25)
+        counts.update([a, b, 100 - a - b])
+    plan = packing.bin_completion(counts, 100, effort=20_000)
+    check_plan(plan, counts, 100)
+    assert sequences_of(plan) <= sequences_of(packing.best_fit(counts, 100))
+
+
+def test_large_plan_meets_the_bound():
+    rng = random.Random(1)
+    counts = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000))
+    plan = packing.bin_completion(counts)
+    check_plan(plan, counts, 2048)
+    assert sequences_of(plan) <= packing.lower_bound(counts, 2048) + 2
+
+
+def test_dominated_fillings_are_left_out():
+    found = [f for f, _ in packing.completions({6: 1, 4: 1, 3: 1, 1: 1}, 6, 10)]
+    assert found[0] == ((6, 1), (4, 1))
+    assert ((6, 1), (3, 1), (1, 1)) not in found  # 4 fills as well with one item
+
+
+def test_chunks_equal_library(texts):
+    own, library = packing.ChunkedTokenizer(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(2)
+    cases = [
+        "", " ", "a<|endoftext|>b", "  a   b \n c\n\n d\t e ", "a \n  b", "日本語 é ẛ̣ x̧́",
+        "don't we'll 123 ½ ² ª \x1c\x1d a\x85b c \xa0 d", "a" * 5000, "🙂🙂 ́ ́a", " lead", "trail  ",
+        *["".join(rng.choice(" \n\tab1.'é\xa0 s ") for _ in range(40)) for _ in range(2000)],
+        *[t or "" for _, t in texts],
+    ]
+    for text in cases:
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == wanted
+
+
+def test_pieces():
+    assert list(packing.pieces_of(1, 8)) == [(0, 1)]
+    assert list(packing.pieces_of(8, 8)) == [(0, 8)]
+    assert list(packing.pieces_of(19, 8)) == [(0, 3), (3, 8), (11, 8)]
+    assert list(packing.pieces_of(16, 8)) == [(0, 8), (8, 8)]
+
+
+def check_places(rows, capacity):
+    """Every sequence is gapless from 0 and within the capacity."""
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def check_documents(rows, docs, capacity):
+    library, pieces = Tokenizer.from_file(PATH), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for doc_id, text in docs:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        octets = np.array(ids, "<u4").tobytes()
+        wanted = [
+            (k, start, length, zlib.crc32(octets[4 * start : 4 * (start + length)]))
+            for k, (start, length) in enumerate(packing.pieces_of(len(ids), capacity))
+        ]
+        assert sorted(pieces[doc_id]) == wanted
+
+
+def test_query(spark, sf_dir, texts):
+    rows = registry.queries()["op5_packing"](spark, sf_dir).collect()
+    check_documents(rows, texts, 2048)
+    sequences = check_places(rows, 2048)
+    assert sequences == packing.lower_bound(Counter(r["length"] for r in rows), 2048)
+
+
+def test_odd_rows(odd, empty, odd_rows):
+    rows = packing.pack_documents(odd, PATH, capacity=64).collect()
+    check_places(rows, 64)
+    once = [(i, t) for i, t in odd_rows if i not in (6, 9)]
+    check_documents([r for r in rows if r["doc_id"] not in (6, 9)], once, 64)
+    assert sum(r["doc_id"] == 6 for r in rows) == 2  # repeated rows are packed both
+    assert packing.pack_documents(empty, PATH).count() == 0
+    with_ids = packing.pack_documents(odd, PATH, capacity=64, with_ids=True).collect()
+    assert all(len(r["ids"]) == r["length"] for r in with_ids)
+
+
+def test_a_common_length_is_ranked_in_groups(spark):
+    rows = [(i, 0, 0, 30 if i % 3 else i % 60 + 1, i) for i in range(3000)]
+    pieces = spark.createDataFrame(
+        rows, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    )
+    placed = packing.pack(stored(pieces, "test-pieces"), 64).collect()
+    assert len(placed) == 3000
+    sequences = check_places(placed, 64)
+    plan = packing.bin_completion(Counter(r[3] for r in rows), 64)
+    assert sequences == sequences_of(plan)
+
+
+def test_lengths_must_fit(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 65, 1)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with pytest.raises(ValueError):
+        packing.pack(pieces, 64)
