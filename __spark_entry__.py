@@ -22,7 +22,6 @@ from readyscope.model import (  # noqa: E402
     EQUIPMENT_COLUMNS,
     LEVEL,
     LINK_STATUS,
-    MATERIAL_ID,
     MOBILITY,
     REGION,
     SERIAL,
@@ -77,6 +76,12 @@ READY_BY_LINE_SQL = """
 """
 
 
+PER_SYSTEM_SQL = """
+    SELECT system_id, COUNT(*) AS n, COUNT(target_srs_ready) AS n_target
+    FROM df_merged GROUP BY system_id ORDER BY n DESC, system_id
+"""
+
+
 def _fleet(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = EQUIPMENT_COLUMNS
 ) -> DataFrame:
@@ -87,11 +92,6 @@ def _fleet(
     )
 
 
-def _fleet_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole enriched fleet, with the material as text like in the data model."""
-    return _fleet(spark, sf_dir).withColumn(MATERIAL_ID, F.col(MATERIAL_ID).cast("string"))
-
-
 def _on_equipment(columns: list[str], operator: Callable[..., DataFrame], *args, **kwargs):
     """A query that applies an operator to the equipment columns it reads."""
 
@@ -109,11 +109,71 @@ def _with_targets(columns: list[str], operator: Callable[..., DataFrame], *args)
     return query
 
 
-def _on_fleet(columns: list[str], operator: Callable[..., DataFrame], *args):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(_fleet(spark, sf_dir, columns), *args)
+def _adherence_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retail.equipment(spark, sf_dir, [SYSTEM_ID, LEVEL])
+    names = retail.names(spark, sf_dir)
+    return rollups.adherence_by_system(rows, retail.targets(spark, sf_dir), names=names)
+
+
+def _not_connected_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retail.equipment(spark, sf_dir, [SYSTEM_ID, LEVEL])
+    return rollups.not_connected_by_system(rows, retail.names(spark, sf_dir))
+
+
+def _metric_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, targets = retail.equipment(spark, sf_dir, [SYSTEM_ID, LEVEL]), retail.targets(spark, sf_dir)
+    return metric_by(rows, "problem_rate", "meta SRS", targets=targets)
+
+
+def _fleet_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched fleet by the route for targets that are too large to broadcast."""
+    columns = [SERIAL, SYSTEM_ID, LEVEL]
+    rows = retail.equipment(spark, sf_dir, columns)
+    ids = retail.equipment(spark, sf_dir, [SYSTEM_ID])
+    return enrich(rows, retail.targets(spark, sf_dir), ids_from=ids, broadcast_limit_bytes=0)
+
+
+def _fleet_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mobile system listed twice: its equipment appears twice."""
+    targets = retail.targets(spark, sf_dir)
+    again = targets.where(F.col(f"`{MOBILITY}`") == "MOBILE SYSTEM")
+    rows = retail.equipment(spark, sf_dir, [SERIAL, SYSTEM_ID])
+    return enrich(rows, targets.unionByName(again), on_duplicate="fan_out")
+
+
+def _targets_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_directory(spark, "extract")
+    write_extract(_raw_targets(spark, sf_dir), path)
+    return read_extract(spark, path, infer=True)
 
-    return query
+
+def _awkward_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, blanks around them, commas, backslashes and line breaks, and back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "doc_id", "text", "concat('\"', source, '\", ', lang) AS quoted",
+        "concat(' ', lang, '\\t ') AS blanks", "concat(source, '\\\\', lang, '\\\\') AS slashed",
+        "concat('a\\r\\n', source, '\\n') AS broken", "if(doc_id % 2 = 0, '', NULL) AS empty",
+    )
+    path = shared_directory(spark, "extract")
+    write_extract(docs, path)
+    return read_extract(spark, path, multi_line=True)
+
+
+def _export_this_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared_directory(spark, "activation")
+    rows = action_list.activation_list(retail.equipment(spark, sf_dir, ACTION_COLUMNS))
+    export_month(rows, base)
+    months = read_months(spark, base)
+    return months.groupBy("report_month").agg(F.count("*").alias("n"))
+
+
+def _sql_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More systems than an answer has rows."""
+    return SqlGate(_fleet(spark, sf_dir, [SYSTEM_ID, LEVEL])).query(PER_SYSTEM_SQL)
+
+
+def _sql_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SqlGate(_fleet(spark, sf_dir, [SYSTEM_ID, LEVEL]), row_cap=None).query(PER_SYSTEM_SQL)
 
 
 def _raw_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +245,13 @@ def _sql_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _describe_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary statistics, numeric columns rounded so that summing order does not show."""
+    """Summary statistics; mean and deviation to nine significant digits, for the order of
+    summing shows in the last ones."""
     numeric = [SERIAL, SYSTEM_ID]
     statistics = summary.describe_table(retail.equipment(spark, sf_dir))
     return statistics.select(
         *[
-            F.round(F.col(c).cast("double"), 2).alias(c) if c in numeric else F.col(c)
+            F.format_string("%.8e", F.col(c).cast("double")).alias(c) if c in numeric else F.col(c)
             for c in statistics.columns
         ]
     )
@@ -203,14 +264,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     line_level = [BUSINESS_LINE, LEVEL]
-    system_level = [SYSTEM_ID, SYSTEM_NAME, LEVEL]
     return {
         # sources and the enriched fleet
         "scan_fleet": _scan_fleet,
         "scan_fleet_csv": _csv_round_trip(_raw_equipment),
         "scan_targets_csv": _csv_round_trip(_raw_targets),
         "ingested_adherence": _ingested_adherence,
-        "fleet_enriched": _fleet_enriched,
+        "fleet_enriched": _fleet,
+        "fleet_enriched_split": _fleet_split,
+        "fleet_fan_out": _fleet_fan_out,
+        "scan_targets_inferred": _targets_inferred,
+        "scan_awkward_text": _awkward_text,
         # filters
         "filtered_fleet": _on_equipment(EQUIPMENT_COLUMNS, apply_filters, ASIA_BUILDING),
         "filtered_fleet_all_token": _all_token,
@@ -268,8 +332,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             rollups.adherence_by_business_line,
             {REGION: ["asia", "europe"], MOBILITY: ["fixed system"]},
         ),
-        "adherence_by_system": _with_targets(system_level, rollups.adherence_by_system),
-        "not_connected_by_system": _on_equipment(system_level, rollups.not_connected_by_system),
+        "adherence_by_system": _adherence_by_system,
+        "not_connected_by_system": _not_connected_by_system,
         "not_connected_by_business_line": _on_equipment(
             line_level, rollups.not_connected_by_business_line
         ),
@@ -286,17 +350,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # registered metrics, by name and by business term
         "metric_by_state": _on_equipment([STATE, LEVEL], metric_by, "ready_rate", "state"),
         "metric_by_city": _on_equipment([CITY, LEVEL], metric_by, "problemas SRS", "cidade"),
-        "metric_by_target": _on_fleet([SYSTEM_ID, LEVEL], metric_by, "problem_rate", "meta SRS"),
+        "metric_by_target": _metric_by_target,
         # action list and export
         "activation_list": _on_equipment(ACTION_COLUMNS, action_list.activation_list),
         "activation_list_filtered": _on_equipment(
             ACTION_COLUMNS, action_list.activation_list, ASIA_BUILDING, require_link_ok=True
         ),
         "activation_export": _activation_export,
+        "activation_export_this_month": _export_this_month,
         # SQL
         "sql_where_count": _sql_where_count,
         "sql_guarded": _sql_guarded,
         "sql_records_json": _sql_records_json,
+        "sql_capped": _sql_capped,
+        "sql_whole": _sql_whole,
     } | TEXT_QUERIES
 
 
@@ -306,7 +373,7 @@ WITH equipment AS (
            CASE o_orderstatus WHEN 'F' THEN 'SRS READY'
                 WHEN 'P' THEN 'CONNECTED BUT NOT SRS READY'
                 ELSE 'NOT CONNECTED' END AS level_of_connection,
-           l_partkey AS system_id,
+           CASE WHEN l_linenumber = 7 THEN -l_partkey - 1 ELSE l_partkey END AS system_id,
            lp.p_name AS system_name,
            c_mktsegment AS business_line,
            n_name AS city,
@@ -320,7 +387,7 @@ WITH equipment AS (
     LEFT JOIN customer ON o_custkey = c_custkey
     LEFT JOIN nation ON c_nationkey = n_nationkey
     LEFT JOIN region ON n_regionkey = r_regionkey
-    LEFT JOIN part lp ON l_partkey = lp.p_partkey
+    LEFT JOIN part lp ON l_partkey = lp.p_partkey AND l_linenumber <> 7
 ),
 targets AS (
     SELECT p_partkey AS material_id,
@@ -329,7 +396,7 @@ targets AS (
                 ELSE 'FIXED SYSTEM' END AS "mobile_system_or_fixed_system?",
            CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN CAST(0.25 AS DOUBLE)
                 ELSE CAST(0.87 AS DOUBLE) END AS target_srs_ready
-    FROM part WHERE p_size <= 40
+    FROM part
 ),
 fleet AS (
     SELECT equipment.*, material_id, "mobile_system_or_fixed_system?", target_srs_ready
@@ -355,8 +422,8 @@ def _count(condition: str = "TRUE") -> str:
 
 
 def _pct(part: str, total: str = "COUNT(*)") -> str:
-    """A KPI percentage: two digits, half to even."""
-    return f"round_even({part}::DOUBLE / {total} * 100, 2)"
+    """A KPI percentage: the two digits that printing gives, which go by the binary value."""
+    return f"CAST(printf('%.2f', {part}::DOUBLE / {total} * 100) AS DOUBLE)"
 
 
 def _half_up(part: str, total: str) -> str:
@@ -443,12 +510,18 @@ def _describe_oracle() -> str:
     parts = []
     for name, (number, text) in statistics.items():
         columns = [
-            f"round(CAST({number.format(c=c)} AS DOUBLE), 2) AS {c}" for c in (SERIAL, SYSTEM_ID)
+            f"printf('%.8e', CAST({number.format(c=c)} AS DOUBLE)) AS {c}" for c in (SERIAL, SYSTEM_ID)
         ] + [f"{text.format(c=c)} AS {c}" for c in text_columns]
         parts.append(f"SELECT '{name}' AS summary, {', '.join(columns)} FROM equipment")
     return " UNION ALL ".join(parts)
 
 
+_PER_SYSTEM = """
+    SELECT system_id, COUNT(*) AS n, COUNT(target_srs_ready) AS n_target
+    FROM fleet GROUP BY system_id ORDER BY n DESC, system_id
+"""
+
+
 def _gate_oracle() -> str:
     return """
         SELECT business_line, COUNT(*) AS total,
@@ -467,8 +540,35 @@ def oracle_sql() -> dict[str, str]:
         "scan_targets_csv": "SELECT * REPLACE (CAST(material_id AS VARCHAR) AS material_id)"
         " FROM targets",
         "ingested_adherence": _adherence_oracle("TRUE"),
-        "fleet_enriched": "SELECT * REPLACE (CAST(material_id AS VARCHAR) AS material_id)"
-        " FROM fleet",
+        "fleet_enriched": "SELECT * FROM fleet",
+        "fleet_enriched_split": "SELECT equipment_serial_number, system_id, level_of_connection,"
+        ' material_id, "mobile_system_or_fixed_system?", target_srs_ready FROM fleet',
+        "fleet_fan_out": """
+            SELECT equipment_serial_number, system_id, t.material_id,
+                   t."mobile_system_or_fixed_system?", t.target_srs_ready
+            FROM equipment LEFT JOIN (
+                SELECT * FROM targets
+                UNION ALL SELECT * FROM targets
+                WHERE "mobile_system_or_fixed_system?" = 'MOBILE SYSTEM'
+            ) t ON system_id = t.material_id
+        """,
+        "scan_targets_inferred": "SELECT * REPLACE (CAST(material_id AS INTEGER) AS material_id)"
+        " FROM targets",
+        "scan_awkward_text": """
+            SELECT CAST(doc_id AS VARCHAR) AS doc_id, text,
+                   '"' || source || '", ' || lang AS quoted,
+                   ' ' || lang || chr(9) || ' ' AS blanks,
+                   source || chr(92) || lang || chr(92) AS slashed,
+                   'a' || chr(13) || chr(10) || source || chr(10) AS broken,
+                   CASE WHEN doc_id % 2 = 0 THEN '' END AS "empty"
+            FROM documents
+        """,
+        "activation_export_this_month": f"""
+            SELECT strftime(current_date, '%Y%m') AS report_month, COUNT(*) AS n
+            FROM ({_action_oracle("level_of_connection = 'CONNECTED BUT NOT SRS READY'")})
+        """,
+        "sql_capped": f"{_PER_SYSTEM} LIMIT 20",
+        "sql_whole": _PER_SYSTEM,
         "filtered_fleet": f"SELECT * FROM equipment WHERE {_ASIA_BUILDING}",
         "filtered_fleet_all_token": "SELECT * FROM equipment WHERE business_line = 'BUILDING'",
         "filtered_fleet_by_target": "SELECT * FROM fleet WHERE service_region = 'ASIA'"
@@ -484,7 +584,7 @@ def oracle_sql() -> dict[str, str]:
         "ready_pct_verbatim_filter": f"SELECT {_pct(_count(f'{_READY} AND {_ASIA_BUILDING}'))}"
         " AS ready_pct FROM equipment",
         "ready_fraction": f"""
-            SELECT f AS ready_fraction, round_even(f, 2) AS ready_fraction_rounded
+            SELECT f AS ready_fraction, CAST(printf('%.2f', f) AS DOUBLE) AS ready_fraction_rounded
             FROM (SELECT {_count(_READY)}::DOUBLE / COUNT(*) AS f FROM equipment)
         """,
         "connected_not_ready": f"SELECT {_count(_LINK_OK)} AS connected_not_ready FROM equipment",

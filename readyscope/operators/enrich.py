@@ -19,9 +19,10 @@ from readyscope.model import MATERIAL_ID, SYSTEM_ID, TARGET_ATTRIBUTES
 # A target table measured below this is broadcast. A task holds it in memory.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
-# Beyond it, this many of the most frequent system ids take their own route;
-# any other id then holds less than 1/1000 of the rows.
-HOT_KEYS = 1000
+# Beyond it, a system id with more than one row in this many (or in as many as there are
+# shuffle partitions, if those are more) is joined by broadcast. By arithmetic, no more ids
+# than that can be so frequent.
+HOT_SHARE = 1000
 
 _ROW_OVERHEAD_BYTES = 64
 
@@ -67,85 +68,94 @@ def profile_targets(targets: DataFrame) -> TargetProfile:
     return TargetProfile(found["n_rows"] or 0, found["n_bytes"] or 0, found["repeated"])
 
 
-def hot_systems(equipment: DataFrame, limit: int = HOT_KEYS) -> DataFrame:
-    """The most frequent system ids, at most ``limit`` rows.
+def hot_systems(equipment: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """The system ids with more than one row in ``share``; fewer than ``share`` rows.
 
-    Only picks the join route of a row; no row is dropped for not being listed.
+    Only picks the join route of a row; no row is dropped for not being listed. One job
+    counts the rows.
     """
-    return (
-        equipment.where(F.col(SYSTEM_ID).isNotNull())
-        .groupBy(SYSTEM_ID)
-        .count()
-        .orderBy(F.desc("count"), SYSTEM_ID)
-        .limit(limit)
-        .select(SYSTEM_ID)
-    )
+    listed = equipment.where(F.col(SYSTEM_ID).isNotNull())
+    total = listed.count()
+    counts = listed.groupBy(SYSTEM_ID).count()
+    return counts.where(F.col("count") * share > total).select(SYSTEM_ID)
 
 
 def enrich(
     equipment: DataFrame,
     targets: DataFrame,
     *,
-    profile: TargetProfile | None = None,
     on_duplicate: str = "error",
     ids_from: DataFrame | None = None,
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Equipment columns plus material, mobility class and target.
 
-    ``profile`` saves the measuring job when the table was measured before.
-    With a repeated material, ``on_duplicate="error"`` raises and ``"fan_out"``
-    repeats the equipment row per match, as any left join does.
+    One small job measures the targets while the plan is built. With a repeated
+    material, ``on_duplicate="error"`` raises and ``"fan_out"`` repeats the equipment
+    row per match, as any left join does.
 
     Targets measured under the limit are broadcast. A larger table is joined by
-    shuffle, with the hot system ids split off. Those are counted on ``ids_from``
-    if given: the same system ids from a source that is cheaper to scan.
+    shuffle, beside which hot system ids are joined by broadcast. Those are counted on
+    ``ids_from`` if given: the same system ids from a source that is cheaper to scan.
     """
     if on_duplicate not in ("error", "fan_out"):
         raise ValueError(f"on_duplicate must be 'error' or 'fan_out', not {on_duplicate!r}")
-    profile = profile or profile_targets(targets)
+    profile = profile_targets(targets)
     if not profile.unique and on_duplicate == "error":
         raise DuplicateTargetError(
             f"{profile.duplicate_keys} value(s) of {MATERIAL_ID} occur more than once"
         )
 
     attributes = _attributes(targets)
-    if profile.unique:
-        # Removes nothing here, but tells the optimizer that the key is unique:
-        # a query that uses no target column then skips the join altogether.
-        attributes = attributes.dropDuplicates([MATERIAL_ID])
     if profile.bytes <= broadcast_limit_bytes:
+        if profile.unique:
+            # Removes nothing here, but tells the optimizer that the key is unique:
+            # a query that uses no target column then skips the join altogether.
+            attributes = attributes.dropDuplicates([MATERIAL_ID])
         return _left_join(equipment, F.broadcast(attributes))
     if not profile.unique:
         # the matches of a hot id are not bounded here; AQE splits its partition
-        return _left_join(equipment, attributes)
-    return _split_join(equipment, attributes, hot_systems(equipment if ids_from is None else ids_from))
+        return _spread_join(equipment, attributes, None)
+    partitions = int(equipment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = equipment if ids_from is None else ids_from
+    return _spread_join(equipment, attributes, hot_systems(ids, max(HOT_SHARE, partitions)))
 
 
-def _split_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame) -> DataFrame:
-    """Shuffle join in which neither a hot id nor a null id is shuffled.
+def _spread_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Shuffle join in one pass, in which hot and null ids are spread evenly.
 
-    The hot list and its targets are at most HOT_KEYS rows, as the key is
-    unique, so both can be broadcast. Hot rows take their target from there.
-    Null ids match nothing. All other rows go through the shuffle join.
+    Hot rows find their target in a broadcast table of fewer rows than the hot share.
+    In the shuffle they match nothing: beside the id they are dealt out by a hash of the
+    row, all others by a hash of the id, which a target has too.
     """
-    hot_ids = hot.select(F.col(SYSTEM_ID).alias("hot_id"))
-    hot_targets = attributes.join(
-        F.broadcast(hot_ids), F.col(MATERIAL_ID) == F.col("hot_id"), "left_semi"
-    )
-    key = F.col(SYSTEM_ID)
-    is_hot = equipment.join(F.broadcast(hot_ids), key == F.col("hot_id"), "left_semi")
-    is_cold = equipment.where(key.isNotNull()).join(
-        F.broadcast(hot_ids), key == F.col("hot_id"), "left_anti"
-    )
-    no_key = equipment.where(key.isNull()).select(
-        "*", *[F.lit(None).cast(attributes.schema[c].dataType).alias(c) for c in attributes.columns]
-    )
-    return (
-        _left_join(is_hot, F.broadcast(hot_targets))
-        .unionByName(_left_join(is_cold, attributes))
-        .unionByName(no_key)
+    columns, key = equipment.columns, F.col(SYSTEM_ID)
+    alone = key.isNull()
+    if hot is not None:
+        ids = hot.select(F.col(SYSTEM_ID).alias("hot_id"))
+        known = _left_join(
+            ids.withColumnRenamed("hot_id", SYSTEM_ID),
+            F.broadcast(
+                attributes.join(F.broadcast(ids), F.col(MATERIAL_ID) == F.col("hot_id"), "left_semi")
+            ),
+        )
+        names = {SYSTEM_ID: "hot_id"} | {c: f"hot {c}" for c in attributes.columns}
+        known = known.withColumnsRenamed(names)
+        equipment = equipment.join(F.broadcast(known), key == F.col("hot_id"), "left")
+        alone = alone | F.col("hot_id").isNotNull()
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    id_hash = F.xxhash64(key.cast("string"))
+    salted = equipment.withColumn("row salt", F.when(alone, row_hash).otherwise(id_hash))
+    targets = attributes.withColumn("salt", F.xxhash64(F.col(MATERIAL_ID).cast("string")))
+    joined = salted.join(
+        targets,
+        (salted[SYSTEM_ID] == targets[MATERIAL_ID]) & (F.col("row salt") == F.col("salt")),
+        "left",
     )
+    found = [
+        F.coalesce(F.col(f"`{c}`"), F.col(f"`hot {c}`")).alias(c) if hot is not None else F.col(f"`{c}`")
+        for c in attributes.columns
+    ]
+    return joined.select(*[F.col(f"`{c}`") for c in columns], *found)
 
 
 def _left_join(equipment: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -114,11 +114,22 @@ def adherence_by_business_line(
 
 
 def adherence_by_system(
-    equipment: DataFrame, targets: DataFrame, filters: Filters | None = None
+    equipment: DataFrame,
+    targets: DataFrame,
+    filters: Filters | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Unrounded ready share per system beside its target; 1 where the target is reached."""
+    """Unrounded ready share per system beside its target; 1 where the target is reached.
+
+    With ``names``, a table of one name per system, rows are counted by id alone and the
+    names joined to the counts; otherwise equipment has them.
+    """
     groups = [SYSTEM_ID, SYSTEM_NAME]
-    counts = _counts_per_target(equipment, targets, groups, filters)
+    if names is None:
+        counts = _counts_per_target(equipment, targets, groups, filters)
+    else:
+        counts = _counts_per_target(equipment, targets, [SYSTEM_ID], filters)
+        counts = counts.join(names, SYSTEM_ID, "left")
     report = counts.select(
         *groups,
         F.col("total").alias("total_equipment"),
@@ -132,9 +143,19 @@ def adherence_by_system(
     return ranked(report, "srs_ready_pct_display", [*groups, "target_srs_ready_pct"])
 
 
-def not_connected_by_system(equipment: DataFrame) -> DataFrame:
+def not_connected_by_system(equipment: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Not-connected share per system; for ``names`` see ``adherence_by_system``."""
     groups = [SYSTEM_ID, SYSTEM_NAME]
-    return status_share(equipment, groups, is_not_connected(), NOT_CONNECTED_SHARE)
+    if names is None:
+        return status_share(equipment, groups, is_not_connected(), NOT_CONNECTED_SHARE)
+    shares = status_share(equipment, [SYSTEM_ID], is_not_connected(), NOT_CONNECTED_SHARE)
+    named = shares.join(names, SYSTEM_ID, "left")
+    return ranked(named.select(*groups, *NOT_CONNECTED_SHARE), NOT_CONNECTED_SHARE[2], groups)
+
+
+def counts_by_target(equipment: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows per target: total, ready and problems. Counts are joined, not rows."""
+    return _counts_per_target(equipment, targets, [], None)
 
 
 def not_connected_by_business_line(equipment: DataFrame) -> DataFrame:
@@ -162,7 +183,7 @@ def _counts_per_target(
     groups: Sequence[str],
     filters: Filters | None,
 ) -> DataFrame:
-    """Total and ready rows per group and target.
+    """Total, ready and problem rows per group and target.
 
     Rows are counted per group and system before the join. That equals joining
     the rows first: each row of a group meets the same targets, also where a
@@ -172,7 +193,11 @@ def _counts_per_target(
     counts = (
         apply_filters(equipment, row_filters)
         .groupBy(*dict.fromkeys([*groups, SYSTEM_ID]))
-        .agg(F.count("*").alias("total"), F.count_if(is_ready()).alias("ready"))
+        .agg(
+            F.count("*").alias("total"),
+            F.count_if(is_ready()).alias("ready"),
+            F.count_if(has_problem()).alias("problems"),
+        )
     )
     wanted = dict.fromkeys([MATERIAL_ID, TARGET, *target_filters])
     dimension = targets.select(*[F.col(f"`{name}`") for name in wanted])
@@ -180,5 +205,5 @@ def _counts_per_target(
     return (
         apply_filters(joined, target_filters)
         .groupBy(*groups, TARGET)
-        .agg(F.sum("total").alias("total"), F.sum("ready").alias("ready"))
+        .agg(*[F.sum(c).alias(c) for c in ("total", "ready", "problems")])
     )

@@ -26,8 +26,13 @@ def describe_table(df: DataFrame) -> DataFrame:
     if not fields:
         return df.describe()
     names = [_quoted(field.name) for field in fields]
-    measured = df.agg(
-        *[F.expr(f"array({', '.join(_statistics(field))}) AS {_quoted(field.name)}") for field in fields]
+    # the number in a text is parsed once, below the aggregates that share it
+    parsed = [f"{_number(field)} AS {_number_name(i)}" for i, field in enumerate(fields)]
+    measured = df.selectExpr(*names, *parsed).agg(
+        *[
+            F.expr(f"array({', '.join(_statistics(names[i], _number_name(i)))}) AS {names[i]}")
+            for i in range(len(fields))
+        ]
     )
     rows = [
         f"struct('{statistic}' AS summary, {', '.join(f'{n}[{i}] AS {n}' for n in names)})"
@@ -36,12 +41,20 @@ def describe_table(df: DataFrame) -> DataFrame:
     return measured.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _statistics(field: T.StructField) -> list[str]:
+def _number_name(i: int) -> str:
+    return _quoted(f"number of column {i}")
+
+
+def _number(field: T.StructField) -> str:
+    values = _quoted(field.name)
+    if not isinstance(field.dataType, T.StringType):
+        return values
+    number_like = f"({_FIRST_CHARACTER.format(values)}) AND {values} RLIKE r'{_NUMBER_START}'"
+    return f"try_cast(CASE WHEN {number_like} THEN {values} END AS DOUBLE)"
+
+
+def _statistics(values: str, numbers: str) -> list[str]:
     """The aggregates of one column as SQL text, in the order of STATISTICS."""
-    values = numbers = _quoted(field.name)
-    if isinstance(field.dataType, T.StringType):
-        number_like = f"({_FIRST_CHARACTER.format(values)}) AND {values} RLIKE r'{_NUMBER_START}'"
-        numbers = f"try_cast(CASE WHEN {number_like} THEN {values} END AS DOUBLE)"
     aggregates = [
         f"count({values})", f"avg({numbers})", f"stddev({numbers})", f"min({values})", f"max({values})"
     ]

@@ -12,8 +12,6 @@ from readyscope.plans.sqlgate import SqlGate
 from readyscope.sources.extracts import load_fleet
 from readyscope.sources.reports import export_month
 
-MAX_CHOICES = 10_000
-
 
 class ReadinessBoard:
     """Equipment and targets, joined only where a query needs both."""
@@ -30,7 +28,7 @@ class ReadinessBoard:
 
     @cached_property
     def fleet(self) -> DataFrame:
-        """The enriched rows. The target table is measured once per board."""
+        """The enriched rows."""
         return enrich.enrich(self.equipment, self.targets)
 
     @cached_property
@@ -54,11 +52,9 @@ class ReadinessBoard:
         return kpis.kpi_panel(self._rows(filters), filters).first().asDict()
 
     def choices(self, column: str) -> list[str]:
-        """The filter list of a column. Refuses a column that is no category."""
-        rows = categories.category_list(self._rows({column: []}), column).take(MAX_CHOICES + 1)
-        if len(rows) > MAX_CHOICES:
-            raise ValueError(f"{column} has more than {MAX_CHOICES} values: use category_list")
-        return [row["category"] for row in rows]
+        """The whole filter list of a column; for long ones see ``category_list``."""
+        rows = categories.category_list(self._rows({column: []}), column)
+        return [row["category"] for row in rows.toLocalIterator()]
 
     def service_distribution(self, filters: Filters | None = None) -> DataFrame:
         return rollups.service_distribution(self._rows(filters), filters)

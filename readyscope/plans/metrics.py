@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readyscope.functions.predicates import has_problem, is_ready
 from readyscope.functions.rates import scaled_percent
 from readyscope.model import BUSINESS_LINE, CITY, REGION, STATE, TARGET
-from readyscope.operators.rollups import ranked
+from readyscope.operators.rollups import counts_by_target, ranked
 
 DIMENSIONS = {
     "region": REGION,
@@ -78,9 +78,23 @@ def dimension(name_or_term: str) -> str:
 
 
 def metric_by(
-    fleet: DataFrame, metric_name: str, dimension_name: str, k: int | None = None
+    fleet: DataFrame,
+    metric_name: str,
+    dimension_name: str,
+    k: int | None = None,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
-    """One metric per value of one dimension, highest first; with ``k``, the top k."""
+    """One metric per value of one dimension, highest first; with ``k``, the top k.
+
+    By target, ``fleet`` may be plain equipment if ``targets`` are given: rows are then
+    counted per system, and the counts joined to the targets.
+    """
     name, column = registered_name(metric_name), dimension(dimension_name)
+    if targets is not None and column == TARGET:
+        metric(name)  # known, or an error
+        counts = counts_by_target(fleet, targets)
+        part = {"ready_rate": "ready", "problem_rate": "problems"}.get(name)
+        value = F.round(scaled_percent(F.col(part), F.col("total")), 2) if part else F.col(name)
+        return ranked(counts.select(column, value.alias(name)), name, [column], k)
     report = fleet.groupBy(column).agg(metric(name).alias(name))
     return ranked(report, name, [column], k)

@@ -1,12 +1,13 @@
-"""Guarded ad-hoc SQL: one SELECT over registered views, at most 20 rows."""
+"""Guarded ad-hoc SQL: one SELECT over registered views, by default at most 20 rows."""
 
 from __future__ import annotations
 
-import re
+import logging
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,38 +20,126 @@ ONE_STATEMENT = "ERRO: múltiplas instruções SQL não são permitidas."
 NO_ROWS = "Nenhum dado encontrado."
 SQL_ERROR_PREFIX = "SQL_ERROR: "
 
-# Functions that call arbitrary Java methods, and the clause that spells out names
-_REFUSED_WORDS = re.compile(r"\b(reflect|try_reflect|java_method|identifier)\b", re.IGNORECASE)
+# Functions that call arbitrary Java methods
+_JAVA_CALLS = {"reflect", "try_reflect", "java_method"}
+
+# What may stand above the select list of a query, besides the list itself
+_ABOVE_SELECT = {
+    "GlobalLimit", "LocalLimit", "Offset", "Sort", "Distinct", "UnresolvedHaving",
+    "WithWindowDefinition", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedHint",
+    "RepartitionByExpression", "Repartition", "UnresolvedSubqueryColumnAliases",
+}
+_SELECT_LISTS = {"Project", "Aggregate"}
+
+# Parsed nodes that run commands, or whose meaning is computed from text
+_REFUSED_NODES = {
+    "ScriptTransformation": "TRANSFORM",
+    "ExpressionWithUnresolvedIdentifier": "IDENTIFIER",
+    "PlanWithUnresolvedIdentifier": "IDENTIFIER",
+}
 
 
 class QueryRefused(ValueError):
     """The guard did not let a query through."""
 
 
-def guard(query: str) -> None:
-    """Raise unless the text is one SELECT statement without refused functions."""
-    text = query.strip().lower()
-    if not text.startswith("select"):
+def guard(spark: SparkSession, query: str, views: Iterable[str]) -> None:
+    """Raise unless the text is one SELECT over the given views.
+
+    Decided on what Spark's parser makes of the text, before anything is looked up or
+    run. Words within literals and names do not matter. Refused are commands, script
+    transformations, calls of Java methods, computed identifiers, and every relation
+    but the views and the query's own WITH clauses (below the top, where a WITH is no
+    SELECT).
+    """
+    plan = _parsed(spark, query)
+    while _kind(plan) in _ABOVE_SELECT:
+        plan = plan.children().apply(0)
+    if _kind(plan) == "ScriptTransformation":
+        raise QueryRefused(f"{SQL_ERROR_PREFIX}TRANSFORM is not allowed")
+    if _kind(plan) not in _SELECT_LISTS:
         raise QueryRefused(ONLY_SELECT)
-    if ";" in text[:-1]:
-        raise QueryRefused(ONE_STATEMENT)
-    refused = _REFUSED_WORDS.search(text)
-    if refused:
-        raise QueryRefused(f"{SQL_ERROR_PREFIX}{refused.group(0)} is not allowed")
+    _check(_parsed(spark, query), {name.lower() for name in views})
+
+
+def _parsed(spark: SparkSession, query: str):
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    try:
+        return parser.parsePlan(query)
+    except ParseException:
+        starts = [i for i, c in enumerate(query) if c == ";" and query[i + 1 :].strip()]
+        if any(_parses(parser, query[:i]) for i in starts):
+            raise QueryRefused(ONE_STATEMENT) from None
+        if not query.strip():
+            raise QueryRefused(ONLY_SELECT) from None
+        raise
+
+
+def _parses(parser, text: str) -> bool:
+    try:
+        parser.parsePlan(text)
+        return True
+    except ParseException:
+        return False
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _is_plan(node) -> bool:
+    plans = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+    loader = node.getClass().getClassLoader()
+    return loader.loadClass(plans).isInstance(node)
+
+
+def _items(sequence) -> Iterator:
+    for i in range(sequence.size()):
+        yield sequence.apply(i)
+
+
+def _check(node, views: set[str]) -> None:
+    """Walk a parsed plan with its subqueries and expressions."""
+    kind = _kind(node)
+    if kind in _REFUSED_NODES:
+        raise QueryRefused(f"{SQL_ERROR_PREFIX}{_REFUSED_NODES[kind]} is not allowed")
+    if kind == "UnresolvedWith":
+        for relation in _items(node.cteRelations()):
+            _check(relation._2(), views)
+            views = views | {relation._1().lower()}
+        _check(node.child(), views)
+        return
+    if kind == "UnresolvedRelation":
+        parts = list(_items(node.multipartIdentifier()))
+        if len(parts) != 1 or parts[0].lower() not in views:
+            raise QueryRefused(f"{SQL_ERROR_PREFIX}there is no view {'.'.join(parts)}")
+    if kind == "UnresolvedFunction":
+        name = list(_items(node.nameParts()))[-1].lower()
+        if name in _JAVA_CALLS:
+            raise QueryRefused(f"{SQL_ERROR_PREFIX}{name} is not allowed")
+    for child in _items(node.children()):
+        _check(child, views)
+    if _is_plan(node):
+        for inner in [*_items(node.innerChildren()), *_items(node.expressions())]:
+            _check(inner, views)
 
 
 class SqlGate:
     """Runs guarded queries in a session of its own.
 
-    The session sees only the given views of the caller's data, and cannot read
-    files by path. It takes over the caller's SQL settings as they are now.
+    Queries may name only the given views; other tables, global views and files are
+    refused. The session takes over the caller's SQL settings as they are now.
+
+    At most ``row_cap`` rows come back, all of them with None. ``is_cut`` tells whether
+    rows of a query were left out, and ``answer`` logs it.
     """
 
-    def __init__(self, views: Mapping[str, DataFrame] | DataFrame, row_cap: int = ROW_CAP):
+    def __init__(self, views: Mapping[str, DataFrame] | DataFrame, row_cap: int | None = ROW_CAP):
         if isinstance(views, DataFrame):
             views = {DEFAULT_VIEW: views}
         parent = next(iter(views.values())).sparkSession
         self.row_cap = row_cap
+        self._views = list(views)
         self._session = parent.newSession()
         for key, value in parent.conf.getAll.items():
             if key.startswith("spark.sql.") and parent.conf.isModifiable(key):
@@ -60,24 +149,40 @@ class SqlGate:
             self._hand_over(parent, name, df)
 
     def query(self, query: str) -> DataFrame:
-        """The capped result. Without an ORDER BY, any 20 rows may come back."""
-        guard(query)
-        return self._session.sql(query).limit(self.row_cap)
+        """The capped result. Without an ORDER BY, any rows may be those that come back."""
+        rows = self._rows(query)
+        return rows if self.row_cap is None else rows.limit(self.row_cap)
+
+    def is_cut(self, query: str) -> bool:
+        """Whether the query has more rows than the cap lets through."""
+        if self.row_cap is None:
+            return False
+        return self._rows(query).limit(self.row_cap + 1).count() > self.row_cap
 
     def records(self, query: str) -> DataFrame:
         """The capped result as one JSON object per row."""
         return json_records(self.query(query))
 
     def answer(self, query: str) -> str:
-        """A JSON array of records, or a message; never raises. Collects at most the cap."""
+        """A JSON array of records, or a message; never raises. Collects the capped rows."""
         try:
-            rows = [row["record"] for row in self.records(query).collect()]
+            records = json_records(self._rows(query))
+            if self.row_cap is not None:
+                records = records.limit(self.row_cap + 1)
+            rows = [row["record"] for row in records.collect()]
         except QueryRefused as refusal:
             return str(refusal)
         except Exception as error:  # every failure of the query is its answer
             return f"{SQL_ERROR_PREFIX}{error}"
+        if self.row_cap is not None and len(rows) > self.row_cap:
+            logging.getLogger(__name__).warning("only %d rows are returned", self.row_cap)
+            rows = rows[: self.row_cap]
         return f"[{','.join(rows)}]" if rows else NO_ROWS
 
+    def _rows(self, query: str) -> DataFrame:
+        guard(self._session, query, self._views)
+        return self._session.sql(query)
+
     def _hand_over(self, parent, name: str, df: DataFrame) -> None:
         # temp views belong to one session; a global one carries the plan across
         carrier = f"handover_{uuid.uuid4().hex}"

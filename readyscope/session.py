@@ -9,24 +9,31 @@ from pyspark.sql import SparkSession
 ADVISORY_PARTITION_BYTES = 64 * 1024 * 1024
 SCAN_PARTITION_BYTES = 128 * 1024 * 1024
 
-# Every map task writes a block per partition, so their number cannot grow without
-# end. Partitions beyond the advisory size still work: sorts and aggregates spill.
-MAX_SHUFFLE_PARTITIONS = 40_000
+# Every map task writes a block per partition. From this many partitions on, their size
+# grows with the data instead of their number.
+MANY_PARTITIONS = 40_000
 
 
-def shuffle_partitions_for(shuffle_bytes: int, cores: int) -> int:
-    """Partitions that keep one shuffle partition near the advisory size.
+def partition_bytes_for(shuffle_bytes: int, many: int = MANY_PARTITIONS) -> int:
+    """The size of a shuffle partition: the advisory size, or more where that would make
+    more than ``many`` of them."""
+    return max(ADVISORY_PARTITION_BYTES, math.ceil(shuffle_bytes / many))
 
-    Never fewer than the cores. AQE merges partitions that turn out small, so
-    an over-estimate of ``shuffle_bytes`` costs little.
+
+def shuffle_partitions_for(shuffle_bytes: int, cores: int, many: int = MANY_PARTITIONS) -> int:
+    """Partitions of that size, never fewer than the cores.
+
+    AQE merges partitions that turn out small, so an over-estimate of
+    ``shuffle_bytes`` costs little.
     """
-    wanted = math.ceil(shuffle_bytes / ADVISORY_PARTITION_BYTES)
-    return max(cores, min(wanted, MAX_SHUFFLE_PARTITIONS))
+    return max(cores, math.ceil(shuffle_bytes / partition_bytes_for(shuffle_bytes, many)))
 
 
-def recommended_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
+def recommended_conf(
+    shuffle_bytes: int, cores: int, many: int = MANY_PARTITIONS
+) -> dict[str, str]:
     """SQL settings for a job that shuffles about ``shuffle_bytes``."""
-    advisory = str(ADVISORY_PARTITION_BYTES)
+    advisory = str(partition_bytes_for(shuffle_bytes, many))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -35,8 +42,8 @@ def recommended_conf(shuffle_bytes: int, cores: int) -> dict[str, str]:
         # split a hot join key even where the split costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # hash instead of sort where every build partition is measured this small
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": advisory,
-        "spark.sql.shuffle.partitions": str(shuffle_partitions_for(shuffle_bytes, cores)),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(ADVISORY_PARTITION_BYTES),
+        "spark.sql.shuffle.partitions": str(shuffle_partitions_for(shuffle_bytes, cores, many)),
         "spark.sql.files.maxPartitionBytes": str(SCAN_PARTITION_BYTES),
         "spark.sql.session.timeZone": "UTC",
     }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readyscope.model import BUSINESS_LINE, COLUMN_TYPES, REGION
@@ -13,6 +14,14 @@ from readyscope.model import BUSINESS_LINE, COLUMN_TYPES, REGION
 SPECIAL_HEADERS = {"TARGET (SRS READY)": "target_srs_ready"}
 
 
+# The common dialect: quotes are doubled, nothing is trimmed
+_DIALECT = {
+    "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+# What a quoted empty text is read as; a control character that texts do not hold
+_EMPTY = "\x00"
+
+
 def canonical_name(header: str) -> str:
     return SPECIAL_HEADERS.get(header, header.replace(" ", "_").lower())
 
@@ -28,6 +37,7 @@ def read_extract(
     types: Mapping[str, T.DataType] = COLUMN_TYPES,
     infer: bool = False,
     mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Scan a CSV extract with a header line and normalise its column names.
 
@@ -35,22 +45,39 @@ def read_extract(
     normalised name (string where unknown), so the data is read once, by the
     query. ``infer=True`` scans the data for types instead. A value that does
     not fit its type stops the read rather than turn into null.
+
+    Values are read as they were written: blanks around them stay, a doubled quote is a
+    quote, an empty text in quotes is empty and one without is null. Line breaks within
+    quotes need ``multi_line``; such a file is read by one task, so large data should
+    come as Parquet.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(header=True, multiLine=multi_line, emptyValue=_EMPTY, **_DIALECT)
     if infer:
-        return normalise_headers(reader.option("inferSchema", True).csv(path))
+        return _with_empty_texts(normalise_headers(reader.option("inferSchema", True).csv(path)))
     headers = reader.csv(path).columns
     schema = T.StructType(
         [T.StructField(h, types.get(canonical_name(h), T.StringType())) for h in headers]
     )
     # enforceSchema=False: every file's own header must agree with the schema
     scan = reader.schema(schema).option("enforceSchema", False).option("mode", mode)
-    return normalise_headers(scan.csv(path))
+    return _with_empty_texts(normalise_headers(scan.csv(path)))
+
+
+def _with_empty_texts(df: DataFrame) -> DataFrame:
+    """Quoted empty texts, which the reader marks to tell them from nulls."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+
+    def value(name: str) -> Column:
+        column = F.col("`{}`".format(name.replace("`", "``")))
+        return F.when(column == _EMPTY, "").otherwise(column).alias(name)
+
+    quoted = {n: "`{}`".format(n.replace("`", "``")) for n in df.columns}
+    return df.select(*[value(n) if n in texts else F.col(quoted[n]) for n in df.columns])
 
 
 def write_extract(df: DataFrame, path: str) -> None:
     """Write a CSV extract with a header line, replacing an earlier one."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, emptyValue='""', **_DIALECT).csv(path)
 
 
 def to_parquet(df: DataFrame, path: str, cluster_by=(BUSINESS_LINE, REGION)) -> None:

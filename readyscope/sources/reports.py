@@ -15,19 +15,22 @@ def current_month() -> str:
     return date.today().strftime("%Y%m")
 
 
-def export_month(report: DataFrame, base_path: str, month: str | None = None) -> str:
+def export_month(
+    report: DataFrame, base_path: str, month: str | None = None, rebalance: bool = False
+) -> str:
     """Write a report under its month and return the directory.
 
     A re-run replaces that month only, also when it has no rows; run it again
-    after a failure, which leaves the month without its success marker. Rows are
-    rebalanced into files of the advisory size: the list is a narrow part of a
-    large scan and would otherwise leave a small file per input split.
+    after a failure, which leaves the month without its success marker. With
+    ``rebalance``, one shuffle of the list makes files of the advisory size;
+    otherwise there is a file per task.
     """
     month = month or current_month()
     if not re.fullmatch(r"\d{4}(0[1-9]|1[0-2])", month):
         raise ValueError(f"report month must be YYYYMM, not {month!r}")
     path = f"{base_path.rstrip('/')}/{MONTH_COLUMN}={month}"
-    report.hint("rebalance").write.mode("overwrite").parquet(path)
+    rows = report.hint("rebalance") if rebalance else report
+    rows.write.mode("overwrite").parquet(path)
     return path
 
 

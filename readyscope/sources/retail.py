@@ -46,7 +46,7 @@ _SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
-    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+    "part": "p_partkey bigint, p_name string, p_type string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int,"
     " l_returnflag string, l_shipdate timestamp_ntz",
 }
@@ -59,13 +59,19 @@ _CUSTOMER_COLUMNS = {BUSINESS_LINE} | _NATION_COLUMNS
 _ORDER_COLUMNS = {LEVEL} | _CUSTOMER_COLUMNS
 
 
+def _system_id() -> Column:
+    """The part of a line; every seventh line of an order is of a model that no part is."""
+    part = F.col("l_partkey")
+    return F.when(F.col("l_linenumber") == 7, -part - 1).otherwise(part)
+
+
 def _expressions() -> dict[str, Column]:
     return {
         SERIAL: F.col("l_orderkey") * 10 + F.col("l_linenumber"),
         LEVEL: F.when(F.col("o_orderstatus") == "F", READY)
         .when(F.col("o_orderstatus") == "P", CONNECTED_NOT_READY)
         .otherwise(NOT_CONNECTED),
-        SYSTEM_ID: F.col("l_partkey"),
+        SYSTEM_ID: _system_id(),
         SYSTEM_NAME: F.col("p_name"),
         BUSINESS_LINE: F.col("c_mktsegment"),
         CITY: F.col("n_name"),
@@ -88,9 +94,6 @@ def equipment(
 
     wanted = set(columns)
     rows = table("lineitem")
-    if wanted & _PART_COLUMNS:
-        # before the orders, so that a shuffle follows and AQE may split a hot part
-        rows = _lookup(rows, "l_partkey", table("part"), "p_partkey")
     if wanted & _ORDER_COLUMNS:
         # order-level lookups first: there are fewer orders than lines
         orders = table("orders")
@@ -103,16 +106,26 @@ def equipment(
                 customers = _lookup(customers, "c_nationkey", nations, "n_nationkey")
             orders = _lookup(orders, "o_custkey", customers, "c_custkey")
         rows = _lookup(rows, "l_orderkey", orders, "o_orderkey")
+    if wanted & _PART_COLUMNS:
+        # last, so that filters on the order cut the lines before they meet the parts
+        part = table("part")
+        rows = rows.join(part, _system_id() == part["p_partkey"], "left")
     expressions = _expressions()
     return rows.select(*[expressions[name].alias(name) for name in columns])
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each system."""
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias(SYSTEM_ID), F.col("p_name").alias(SYSTEM_NAME)
+    )
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One target per part up to size 40; about a fifth of the equipment has none."""
+    """One target per part. Equipment of an order's seventh line has none."""
     mobile = F.col("p_type").isin("SMALL", "ECONOMY")
     return (
         _table(spark, sf_dir, "part")
-        .where(F.col("p_size") <= 40)
         .select(
             F.col("p_partkey").alias(MATERIAL_ID),
             F.col("p_name").alias(SYSTEM_NAME),

@@ -1,6 +1,7 @@
 import fleets
 import pytest
 from plan_text import plan
+from pyspark.sql import functions as F
 
 from readyscope.model import BUSINESS_LINE, LEVEL, MATERIAL_ID, MOBILITY, SYSTEM_ID, TARGET
 from readyscope.operators.enrich import (
@@ -84,11 +85,23 @@ def test_split_route_on_a_skewed_fleet(spark, targets):
         "'SRS READY' AS level_of_connection",
         "CASE id % 3 WHEN 0 THEN 'M2' WHEN 1 THEN NULL ELSE concat('M', id % 50) END AS system_id",
     )
-    assert [r[0] for r in hot_systems(skewed, 1).collect()] == ["M2"]
+    assert [r[0] for r in hot_systems(skewed, 4).collect()] == ["M2"]
     fleet = enrich(skewed, targets, broadcast_limit_bytes=0)
     assert rows(fleet) == expected_rows(skewed, targets)
     text = plan(fleet)
-    assert "LeftSemi" in text and "LeftAnti" in text
+    # one pass over the equipment beside the count of its ids
+    assert text.count("SortMergeJoin") + text.count("ShuffledHashJoin") <= 1
+    assert "Union" not in text and "TakeOrdered" not in text
+    # of 2000 hot and null rows, no shuffle partition gets more than its share
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = enrich(skewed, targets, broadcast_limit_bytes=0)
+        parts = dealt.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in parts) < 2 * 3000 / len(parts)
 
 
 def test_route_follows_the_measured_size(spark, equipment, targets):

@@ -1,7 +1,11 @@
+import random
+
 import fleets
 import pytest
+from pyspark.sql import functions as F
 
 from readyscope import ReadinessBoard, kpi_panel, ready_fraction, ready_pct
+from readyscope.functions.rates import fraction, kpi_round, percent
 from readyscope.model import BUSINESS_LINE, LEVEL, MOBILITY, REGION
 
 INNER = {REGION: ["SÃO PAULO INTERIOR"], BUSINESS_LINE: ["AXA"]}
@@ -31,6 +35,22 @@ def test_golden_ready_pct(golden):
     assert golden.ready_pct(RIO_OFFLINE) == 0.0
 
 
+def test_rates_round_like_python(spark):
+    """All pairs of small counts, and many large ones."""
+    rng = random.Random(4)
+    pairs = [(a, b) for b in range(1, 130) for a in range(b + 1)]
+    pairs += [(rng.randint(0, b), b) for b in rng.choices(range(130, 40_001), k=20_000)]
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(pairs, "a long, b long")
+    rounded = df.select(a, b, kpi_round(percent(a, b)).alias("p"), kpi_round(fraction(a, b)).alias("f"))
+    for row in rounded.collect():
+        assert row["p"] == round(row["a"] / row["b"] * 100, 2)
+        assert row["f"] == round(row["a"] / row["b"], 2)
+    special = spark.createDataFrame([(x,) for x in (None, 0.125, 2.675, -0.125, -2.675, 0.025)], "x double")
+    found = [r[0] for r in special.select(kpi_round(F.col("x"))).collect()]
+    assert found == [None, 0.12, 2.67, -0.12, -2.67, 0.03]
+
+
 def test_golden_connected_not_ready(golden):
     assert golden.connected_not_ready(INNER) == 1
     assert golden.connected_not_ready({}) == 68

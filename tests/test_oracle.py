@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
 # The training-data queries have tests of their own
 QUERIES = {k: v for k, v in entry_module.queries().items() if k not in entry_module.TEXT_QUERIES}

@@ -10,6 +10,7 @@ from readyscope import (
     activation_list,
     adherence_by_business_line,
     category_lists,
+    export_month,
     kpi_panel,
     problem_share_by_business_line,
     ready_pct,
@@ -55,6 +56,55 @@ def test_fleet_denominator_does_not_filter_the_scan(board):
     assert "PushedFilters" not in plan(ready_pct(board.equipment, AXA), "formatted")
 
 
+RETAIL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["filtered_fleet", "filtered_fleet_all_token", "activation_list", "activation_list_filtered"],
+)
+def test_parts_are_looked_up_last(spark, name):
+    """Filters on the order cut the lines before they are shuffled by part."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(entry_module.queries()[name](spark, RETAIL)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in lines if "SortMergeJoin" in line]
+    assert "p_partkey" in joins[0] and not any("p_partkey" in j for j in joins[1:])
+
+
+@pytest.mark.parametrize("name", ["adherence_by_system", "not_connected_by_system", "metric_by_target"])
+def test_system_reports_join_counts(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(entry_module.queries()[name](spark, RETAIL)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    part_join = max(i for i, line in enumerate(lines) if "Join" in line and ("material_id" in line or "system_id" in line))
+    partial = next(i for i, line in enumerate(lines) if "partial_count(1)" in line)
+    assert part_join < partial
+
+
+def test_split_route_is_one_pass(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(entry_module.queries()["fleet_enriched_split"](spark, RETAIL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the lines themselves, and the two uses of the count of their ids
+    assert text.count("l_returnflag") == 0 and "Union" not in text and "TakeOrdered" not in text
+    assert text.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_export_has_no_shuffle_unless_asked(board, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda w, p, **o: seen.append(plan(w._df)))
+    for rebalance in (False, True):
+        export_month(activation_list(board.equipment), str(tmp_path), "202501", rebalance)
+    assert "Exchange" not in seen[0] and "REBALANCE" in seen[1]
+
+
 def test_action_list_has_no_shuffle(board):
     assert "Exchange" not in plan(activation_list(board.equipment, AXA))
 
@@ -82,7 +132,9 @@ def test_adherence_joins_counts_not_rows(board, spark):
     assert "partial_count" in between and "HashAggregate(keys=[business_line" in between
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize(
+    "name", [n for n in entry_module.queries() if n not in entry_module.TEXT_QUERIES]
+)
 def test_registered_plans_stay_in_the_engine(spark, name):
     text = plan(entry_module.queries()[name](spark, "/root/testdata/sf0.001"))
     for unwanted in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -50,7 +50,19 @@ def test_documented_columns(gate):
 def test_row_cap(gate, fleet):
     assert len(json.loads(gate.answer("SELECT * FROM df_merged"))) == 20
     assert gate.query("SELECT * FROM df_merged LIMIT 3").count() == 3
-    assert SqlGate({"t": fleet}, row_cap=5).query("SELECT * FROM t").count() == 5
+    small = SqlGate({"t": fleet}, row_cap=5)
+    assert small.query("SELECT * FROM t").count() == 5
+    assert small.is_cut("SELECT * FROM t") and not small.is_cut("SELECT * FROM t LIMIT 5")
+    whole = SqlGate({"t": fleet}, row_cap=None)
+    assert whole.query("SELECT * FROM t").count() == 2286
+    assert len(json.loads(whole.answer("SELECT system_id FROM t"))) == 2286
+
+
+def test_an_answer_tells_when_rows_are_left_out(gate, caplog):
+    gate.answer("SELECT * FROM df_merged LIMIT 20")
+    assert not caplog.records
+    gate.answer("SELECT * FROM df_merged")
+    assert "only 20 rows" in caplog.text
 
 
 @pytest.mark.parametrize(
@@ -60,7 +72,14 @@ def test_row_cap(gate, fleet):
         ("drop view df_merged", "ERRO: somente consultas SELECT são permitidas."),
         ("", "ERRO: somente consultas SELECT são permitidas."),
         ("SELECT 1; SELECT 2", "ERRO: múltiplas instruções SQL não são permitidas."),
-        ("SELECT ';' AS x", "ERRO: múltiplas instruções SQL não são permitidas."),
+        ("SELECT ';' AS x", '[{"x":";"}]'),
+        ("SELECT 'reflect identifier transform' AS x", '[{"x":"reflect identifier transform"}]'),
+        ("SELECT 1 AS x UNION ALL SELECT 1", '[{"x":1},{"x":1}]'),
+        ("(SELECT 1 AS x LIMIT 1)", '[{"x":1}]'),
+        ("VALUES (1)", "ERRO: somente consultas SELECT são permitidas."),
+        ("TABLE df_merged", "ERRO: somente consultas SELECT são permitidas."),
+        ("SET x = 1", "ERRO: somente consultas SELECT são permitidas."),
+        ("INSERT INTO df_merged SELECT * FROM df_merged", "ERRO: somente consultas SELECT são permitidas."),
         ("SELECT * FROM df_merged WHERE city = 'nowhere'", "Nenhum dado encontrado."),
         ("  select 1 as x;  ", '[{"x":1}]'),
     ],
@@ -82,11 +101,16 @@ def test_failures_are_answers(gate):
         "SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir')",
         "SELECT try_reflect /* */ ('java.lang.System', 'getProperty', 'user.dir')",
         "SELECT IDENTIFIER('java_' || 'method')('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT TRANSFORM(system_id) USING 'cat' AS (x) FROM df_merged",
+        "SELECT * FROM (SELECT TRANSFORM(system_id) USING 'cat' AS (x) FROM df_merged)",
+        "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.System', 'nanoTime'))",
+        "SELECT * FROM (WITH t AS (SELECT java_method('java.lang.System', 'nanoTime')) SELECT * FROM t)",
+        "SELECT * FROM IDENTIFIER('df_' || 'merged')",
     ],
 )
-def test_java_calls_are_refused(gate, query):
+def test_java_calls_are_refused(spark, gate, query):
     with pytest.raises(QueryRefused):
-        guard(query)
+        guard(spark, query, ["df_merged"])
     assert gate.answer(query).startswith("SQL_ERROR: ")
 
 
@@ -100,6 +124,18 @@ def test_files_cannot_be_read_by_path(spark, gate, tmp_path):
 def test_gate_sees_only_its_views_and_leaves_none_behind(spark, gate):
     spark.range(1).createOrReplaceTempView("private_view")
     assert gate.answer("SELECT * FROM private_view").startswith("SQL_ERROR: ")
+    spark.range(1).createOrReplaceGlobalTempView("shared_view")
+    try:
+        for name in ("global_temp.shared_view", "default.df_merged", "information_schema.tables"):
+            assert gate.answer(f"SELECT * FROM {name}").startswith("SQL_ERROR: there is no view")
+            inner = f"SELECT 1 AS x WHERE 1 IN (SELECT 1 FROM {name})"
+            assert gate.answer(inner).startswith("SQL_ERROR: there is no view")
+    finally:
+        spark.catalog.dropGlobalTempView("shared_view")
+    own = "SELECT * FROM (WITH t AS (SELECT 1 AS x) SELECT * FROM t)"
+    assert gate.answer(own) == '[{"x":1}]'
+    outside = "SELECT * FROM (WITH t AS (SELECT 1 AS x) SELECT * FROM t) JOIN t"
+    assert gate.answer(outside).startswith("SQL_ERROR: there is no view t")
     assert [t.name for t in spark.catalog.listTables("global_temp")] == ["private_view"]
     assert not spark.catalog.tableExists("df_merged")
 
