@@ -41,6 +41,7 @@ WINDOW_WORDS = 25
 _END = re.compile(r"[.!?]\s+|\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = (1 << 63) - 1
+_SLICE = 2000  # texts at a time, which bounds what a worker holds
 WINDOWS = "array<struct<key:bigint,start:int,end:int>>"
 
 
@@ -105,7 +106,8 @@ def fingerprints(docs: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame
     schema = f"fp long, doc_id long, tag int, windows {WINDOWS}"
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        slices = (b.slice(at, _SLICE) for b in batches for at in range(0, b.num_rows, _SLICE))
+        for batch in slices:
             lines = _Lines(batch.column("text").to_pylist())
             first, stop, selected, key = windows(lines, window_words)
             if not len(first):

@@ -41,7 +41,7 @@ from readyscope.llm.common import stored, whole
 CAPACITY = 2048
 END_ID = 0
 EFFORT = 4000
-REMEMBERED_CHUNKS = 500_000
+REMEMBERED_CHUNKS = 300_000
 LONGEST_CHUNK = 256
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
@@ -149,20 +149,26 @@ def token_pieces(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
-        for batch in batches:
-            out = []
-            for key, one in zip(batch["doc_id"], batch["text"], strict=True):
-                octets = own.encode(one) + end
-                for piece, (start, length) in enumerate(pieces_of(len(octets) // 4, capacity)):
-                    part = octets[4 * start : 4 * (start + length)]
-                    row = (key, piece, start, length, zlib.crc32(part))
-                    if with_ids:
-                        row += (np.frombuffer(part, "<u4").astype(np.int32),)
-                    out.append(row)
-            found = pd.DataFrame(out, columns=wanted)
-            # a nullable id column arrives as float or object; back to whole numbers
-            found["doc_id"] = found["doc_id"].astype(batch["doc_id"].convert_dtypes().dtype)
-            yield found
+        try:
+            for batch in batches:
+                yield pieces_in(own, batch)
+        finally:
+            own.known.clear()  # an idle worker holds no memory
+
+    def pieces_in(own: ChunkedTokenizer, batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, one in zip(batch["doc_id"], batch["text"], strict=True):
+            octets = own.encode(one) + end
+            for piece, (start, length) in enumerate(pieces_of(len(octets) // 4, capacity)):
+                part = octets[4 * start : 4 * (start + length)]
+                row = (key, piece, start, length, zlib.crc32(part))
+                if with_ids:
+                    row += (np.frombuffer(part, "<u4").astype(np.int32),)
+                out.append(row)
+        found = pd.DataFrame(out, columns=wanted)
+        # a nullable id column arrives as float or object; back to whole numbers
+        found["doc_id"] = found["doc_id"].astype(batch["doc_id"].convert_dtypes().dtype)
+        return found
 
     return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).mapInPandas(
         cut, schema

@@ -41,7 +41,8 @@ GRADES = 4
 PREFIXES = (4, 5)
 MIN_RATE = 8
 _STRIPPED = ".,;:!?\"'()[]{}<>«»“”…-*#$%&|"
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
+_SLICE = 2500  # texts counted at a time, which bounds what a worker holds
 
 
 def words_of(text: str) -> list[str]:
@@ -85,7 +86,8 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     """How many toxic and how many other documents of the sample have each feature."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        slices = (b[at : at + _SLICE] for b in batches for at in range(0, len(b), _SLICE))
+        for batch in slices:
             counts = {True: Counter(), False: Counter()}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 words = set(words_of(text))
