@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -70,4 +71,7 @@ def _as_list(values) -> list:
 
 
 def _quoted(column: str) -> str:
-    return column if "." in column else f"`{column}`"
+    """Plain dotted names are paths into a struct; all others are taken as they are."""
+    if re.fullmatch(r"\w+(\.\w+)+", column):
+        return column
+    return "`{}`".format(column.replace("`", "``"))

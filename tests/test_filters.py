@@ -75,3 +75,9 @@ def test_split_filters():
     assert split_filters(entries, [MOBILITY]) == (
         {MOBILITY: ["MOBILE SYSTEM"]}, {REGION: ["SUL"]}
     )
+
+
+def test_names_with_points_and_signs(spark):
+    df = spark.createDataFrame([("X", "Y", ("Z",))], "`a.b?` string, `c``d` string, s struct<t:string>")
+    assert apply_filters(df, {"a.b?": ["x"], "c`d": ["y"], "s.t": ["z"]}).count() == 1
+    assert apply_filters(df, {"a.b?": ["y"]}).count() == 0
