@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readyscope.llm.bpe import byte_characters
 from readyscope.llm.common import stored, whole
 
 CAPACITY = 2048
@@ -69,9 +70,7 @@ class ChunkedTokenizer:
 
         self.library = Tokenizer.from_file(path)
         vocab = self.library.get_vocab(with_added_tokens=False)
-        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        others = iter(range(256, 512))
-        octet = {chr(b) if b in printable else chr(next(others)): b for b in range(256)}
+        octet = {character: b for b, character in enumerate(byte_characters())}
         ranks = {bytes(octet[c] for c in token): i for token, i in vocab.items()}
         # Fixed value: the pattern of byte-level pre-tokens
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -54,7 +54,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-_AT = re.compile(r"\S*[^\s@]@[^\s@]\S*|\b\w+[\x20]?[\[(]?\x20?\bat\b\x20?[\])]?[\x20]?\w+\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w+")
+# An "@" within a word, or spelled out, in brackets or not, with a point or a "dot" after
+_AT = re.compile(
+    r"\S*[^\s@]@[^\s@]\S*"
+    r"|\b\w+\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?\w+\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w+"
+)
 _NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[\x20().:/-]{0,2}[0-9])+")
 _CONTEXT = re.compile(r"\w+")
 # Fixed value: words that announce personal data

@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readyscope.llm.common import stored
@@ -165,8 +165,6 @@ def top_k(
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     """The k best of each query among the lists of one part."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
     ranked = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked

@@ -171,3 +171,18 @@ def record_bytes(records: DataFrame) -> DataFrame:
     )
     end = F.lit(CRLF * 2).cast("binary")
     return records.withColumn("record", F.concat(F.col("header").cast("binary"), block, end))
+
+
+# Groups pages by the payload itself and spells out base 32 from the hexadecimal digest
+ORACLE = f"""
+    WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    keeper AS (SELECT payload, max(page_id) AS keeper FROM page GROUP BY payload)
+    SELECT page_id,
+           CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('{BASE32}', 1 + ((CAST(
+               '0x' || substr(sha1(payload), CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER
+           ) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM page JOIN keeper USING (payload)
+"""

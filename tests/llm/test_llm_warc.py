@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ def test_query_equals_plain_version(spark, sf_dir):
     assert {tuple(r) for r in rows} == wanted and len(rows) == len(pages)
 
 
+def test_query_equals_sql(spark, sf_dir):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_dir}/pages.parquet')")
+    wanted = duck.execute(warc.ORACLE).fetchall()
+    rows = registry.queries()["op3_warc"](spark, sf_dir).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, wanted)) and rows
+
+
 @pytest.fixture(scope="module")
 def odd_pages(spark):
     rows = [
