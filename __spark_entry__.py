@@ -28,7 +28,6 @@ from readyscope.model import (  # noqa: E402
     STATE,
     SYSTEM_ID,
     SYSTEM_NAME,
-    TARGET,
 )
 from readyscope.operators import action_list, categories, kpis, rollups, summary  # noqa: E402
 from readyscope.operators.enrich import enrich  # noqa: E402

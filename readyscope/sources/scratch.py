@@ -32,3 +32,10 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     path = shared_directory(spark, purpose)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has stored, once no result that reads it is needed."""
+    folder = shared_directory(spark, "any").rpartition("/")[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
