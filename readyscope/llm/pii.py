@@ -182,11 +182,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         out = []
         for one in texts:
             base, found = base_spans(one), []
+            known_spans = S.Overlaps(base)
             for kind, a, b in candidates(one):
-                if any(s <= a and b <= e and b - a >= MOST * (e - s) for _, s, e in base):
+                near = list(known_spans.at(a, b))
+                if any(s <= a and b <= e and b - a >= MOST * (e - s) for _, s, e in near):
                     known = 1
                 else:
-                    known = None if S.covers(base, a, b) else 0
+                    known = None if near else 0
                 found.append((kind, a, b, known, features(one, a, b)))
             out.append((base, found))
         return pd.DataFrame(out, columns=["base", "candidates"])
@@ -249,7 +251,7 @@ def find_pii(
     def selected(bases: pd.Series, proposals: pd.Series) -> pd.Series:
         out = []
         for base, found in zip(bases, proposals, strict=True):
-            kept = [(s["kind"], s["start"], s["end"]) for s in base]
+            kept, taken = [(s["kind"], s["start"], s["end"]) for s in base], S.Taken()
             # candidates that a known span touches are settled
             free = [c for c in found if c["known"] == 0]
             if free:
@@ -259,7 +261,7 @@ def find_pii(
                     for p, c in zip(chances, free, strict=True) if p >= chance
                 )
                 for _, start, end, kind in ranked:
-                    if not S.covers(kept, start, -end):
+                    if taken.take(start, -end):
                         kept.append((kind, start, -end))
             out.append(S.in_order(kept, KINDS))
         return pd.Series(out, dtype="object")

@@ -169,20 +169,24 @@ def judge(token: str) -> float | None:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base`` spans and ``candidates`` with the rounded -log10 of their p-values."""
-    schema = f"base {S.SPANS}, candidates array<struct<start:int,end:int,level:int>>"
+    """Add ``base`` spans and ``candidates`` with the rounded -log10 of their p-values and
+    whether they lie free of the base spans."""
+    candidate = "struct<start:int,end:int,level:int,free:boolean>"
+    schema = f"base {S.SPANS}, candidates array<{candidate}>"
 
     @F.pandas_udf(schema)
     def scanned(texts: pd.Series) -> pd.DataFrame:
         out = []
         for one in texts:
-            found = []
+            base, found = base_spans(one), []
+            known = S.Overlaps(base)
             for start, end in candidates(one):
                 p = judge(one[start:end])
                 if p is not None:
                     # rounded towards less evidence, in hundredths
-                    found.append((start, end, int(-100 * math.log10(max(p, 1e-300)))))
-            out.append((base_spans(one), found))
+                    level = int(-100 * math.log10(max(p, 1e-300)))
+                    found.append((start, end, level, not any(known.at(start, end))))
+            out.append((base, found))
         return pd.DataFrame(out, columns=["base", "candidates"])
 
     own = unused(docs, "_found")
@@ -216,11 +220,7 @@ def _all_spans(least: int | None) -> Column:
     base = F.col("base")
     if least is None:
         return base
-    found = F.filter(
-        F.col("candidates"),
-        lambda c: (c["level"] >= least)
-        & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    found = F.filter(F.col("candidates"), lambda c: (c["level"] >= least) & c["free"])
     added = F.transform(
         found,
         lambda c: F.struct(

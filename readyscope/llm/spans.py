@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +27,38 @@ def in_order(spans: Iterable[Span], kinds: list[str]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
 
 
-def covers(spans: list[Span], start: int, end: int) -> bool:
-    """Whether some span overlaps start:end."""
-    return any(s < end and start < e for _, s, e in spans)
+class Overlaps:
+    """The spans that overlap a place, without a look at all of them."""
+
+    def __init__(self, spans: Iterable[Span] = ()):
+        self.spans = sorted(spans, key=lambda s: (s[1], s[2]))
+        self.starts = [s for _, s, _ in self.spans]
+        # the farthest end of a span and all before it
+        self.reach = list(accumulate((e for _, _, e in self.spans), max))
+
+    def at(self, start: int, end: int) -> Iterator[Span]:
+        i = bisect_left(self.starts, end) - 1
+        while i >= 0 and self.reach[i] > start:
+            if self.spans[i][2] > start:
+                yield self.spans[i]
+            i -= 1
+
+
+class Taken:
+    """Places that do not overlap each other, kept in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Take a place unless it overlaps a taken one."""
+        i = bisect_left(self.starts, end)
+        if i and self.ends[i - 1] > start:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
 
 
 def redact(text: str, spans: Iterable[tuple[str, int, int]]) -> str:

@@ -112,6 +112,22 @@ def test_odd_rows(odd, empty, odd_rows):
     assert all(r["spans"] == "x" for r in kept.collect())
 
 
+def test_overlaps_and_taken():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [("x", a, a + rng.randint(1, 9)) for a in rng.choices(range(50), k=rng.randint(0, 12))]
+        index, taken, plain = spans.Overlaps(found), spans.Taken(), []
+        for _ in range(20):
+            a = rng.randrange(60)
+            b = a + rng.randint(1, 9)
+            wanted = sorted(s for s in found if s[1] < b and a < s[2])
+            assert sorted(index.at(a, b)) == wanted
+            free = not any(s < b and a < e for s, e in plain)
+            assert taken.take(a, b) == free
+            if free:
+                plain.append((a, b))
+
+
 def test_redact():
     assert spans.redact("ab cd ef", [("x", 3, 5), ("y", 4, 7)]) == "ab [X]f"
     assert spans.redact("ab", []) == "ab"
