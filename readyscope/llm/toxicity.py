@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import whole
+from readyscope.llm.common import stored, whole
 
 SAMPLE = 40_000
 FEATURES = 4096
@@ -205,7 +205,8 @@ def fit(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES,
     grades: int = GRADES,
 ) -> SeverityModel:
-    rows = labelled_sample(docs, labels, sample)
+    # bounded, and read three times
+    rows = stored(labelled_sample(docs, labels, sample), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, others = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic:
