@@ -41,8 +41,8 @@ GRADES = 4
 PREFIXES = (4, 5)
 MIN_RATE = 8
 _STRIPPED = ".,;:!?\"'()[]{}<>«»“”…-*#$%&|"
-_REMEMBERED = 200_000
-_SLICE = 2500  # texts counted at a time, which bounds what a worker holds
+_REMEMBERED = 100_000
+_SLICE = 1000  # texts counted at a time, which bounds what a worker holds
 
 
 def words_of(text: str) -> list[str]:
