@@ -2,7 +2,7 @@
 
 A line ends at a line break or at the end of a sentence, so that a passage pasted into a
 paragraph is made of whole lines too. A window is the least number of lines from some
-line on that have ``WINDOW_WORDS`` words. From each window the line of least hash is
+line on, or up to some line, that have ``WINDOW_WORDS`` words. From each window the line of least hash is
 selected as its fingerprint (the last of several). Equal windows select the same line, so
 every repeated run of that many words holds a fingerprint that is selected in both places,
 and no run of that length can be missed.
@@ -10,8 +10,9 @@ and no run of that length can be missed.
 Positions are joined by fingerprint: only windows around a fingerprint that occurs more
 than once can be repeated. From each such position the match is extended both ways, by
 the windows that hold it, as far as they are the same in both places: a window is a
-repetition if it occurs earlier, and overlapping repetitions make one run. Earlier is by
-document id, then by place. The first occurrence stays; the runs that come later are cut.
+repetition if it occurs earlier, and overlapping repetitions make one run. As windows go
+on from every line and back from every line, those within a run of that many words hold
+all of its lines, the last ones too. Earlier is by document id, then by place. The first occurrence stays; the runs that come later are cut.
 A repetition that overlaps its own first occurrence is cut only behind that.
 
 Only selected lines are shuffled, the texts once, to be cut. A fingerprint or passage of
@@ -76,16 +77,21 @@ class _Lines:
         self.total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
         self.text = np.repeat(np.arange(len(texts)), counts)
         self.limit = np.repeat(np.cumsum(counts), counts)  # the end of each line's text
+        self.begin = self.limit - np.repeat(counts, counts)
 
 
 @np.errstate(over="ignore")
 def windows(lines: _Lines, window_words: int):
-    """(first line, last line + 1, selected line, key) of every window."""
+    """(first line, last line + 1, selected line, key) of every window, forward from each
+    line and back from each, in order. Neither end ever goes back, so selected lines do not."""
     n = len(lines.hashes)
-    first = np.arange(n)
+    line = np.arange(n)
     stop = np.searchsorted(lines.total, lines.total[:-1] + window_words, "left")
-    whole_ = stop <= lines.limit
-    first, stop = first[whole_], stop[whole_]
+    first = np.searchsorted(lines.total, lines.total[1:] - window_words, "right") - 1
+    ahead, back = stop <= lines.limit, first >= lines.begin
+    forward = line[ahead] * (n + 1) + stop[ahead]
+    backward = first[back] * (n + 1) + line[back] + 1
+    first, stop = np.divmod(np.unique(np.concatenate([forward, backward])), n + 1)
     least, key = lines.hashes[first], lines.hashes[first].copy()
     selected, factor = first.copy(), _BASE  # 64-bit arithmetic wraps
     # one step per line of the longest window, over all windows at once

@@ -113,3 +113,38 @@ def test_copies_go_and_repeated_rows_stay(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = sorted(((r["doc_id"], r["text"]) for r in linededup.drop_repeats(df, window_words=5).collect()), key=repr)
     assert found == [(1, text), (1, text), (3, "And more.")]
+
+
+def every_run_cut(docs, window_words):
+    """Every run of whole lines with that many words, however long, by its words."""
+    first, runs = {}, []
+    for key, text in sorted(docs):
+        lines = list(linededup.lines_of(text))
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                words = tuple(tuple(line[2]) for line in lines[a:b])
+                if sum(map(len, words)) >= window_words:
+                    place = (key, lines[a][0], lines[b - 1][1])
+                    runs.append((first.setdefault(words, place), place))
+    keep = {key: [True] * len(text) for key, text in docs}
+    for (source, _, end), (key, start, stop) in runs:
+        if (source, end) != (key, stop):
+            for i in range(max(start, end) if source == key else start, stop):
+                keep[key][i] = False
+    return {key: "".join(c for c, k in zip(text, keep[key], strict=True) if k) for key, text in docs}
+
+
+@pytest.mark.parametrize("window_words", [3, 8, 25])
+def test_whole_runs_of_mixed_sentences_are_cut(spark, window_words):
+    rng = random.Random(window_words)
+    lines = [" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate([1, 2, 3, 5, 8, 13, 14, 20, 30])]
+    docs = [(i, " ".join(rng.choices(lines, k=rng.randint(0, 9)))) for i in range(80)]
+    docs += [(90, f"{lines[0]} " * 40), (91, f"{lines[1]} " * 40)]
+    found = linededup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), window_words=window_words)
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == every_run_cut(docs, window_words)
+
+
+def test_exact_copies_with_a_short_end_go(spark):
+    text = " ".join(" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate([14, 13, 8]))
+    df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
+    assert [(r["doc_id"], r["text"]) for r in linededup.drop_repeats(df).collect()] == [(0, text)]
