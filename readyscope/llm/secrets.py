@@ -1,7 +1,9 @@
 """Secrets: known formats, and strings too random to be text.
 
 Known formats are patterns, whose matches are always reported. Beside them, every token
-with a digit is a candidate. Its encoding is the smallest alphabet that holds it, and its
+with a digit is a candidate, and so is each of its parts between signs, whichever of them
+are taken as glue: a key may hang on a name or a path by a sign that keys hold as well. An
+"=" is always glue, as it only pads. The encoding of a candidate is the smallest alphabet that holds it, and its
 symbols go through a battery of tests for randomness: chi-squared for a uniform alphabet,
 a runs test, and the serial correlation of neighbours. A candidate must pass all three.
 
@@ -11,6 +13,7 @@ text of its length fits its alphabet so evenly (a noncentral chi-squared, whose
 grows with the length). These p-values go through the Benjamini-Hochberg procedure over
 all candidates of the corpus, which bounds the share of false discoveries at ``RATE``.
 It needs only the number of candidates per rounded p-value, a table of bounded size.
+Discoveries that overlap are reported as one span.
 
 Defined results: a null text counts as empty and has no spans; offsets count code points;
 repeated rows are judged alike, each counts among the candidates.
@@ -22,7 +25,8 @@ import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,8 +49,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # a run of 32 or more, which a run of any length would match as a whole
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-_TOKEN_CHARACTERS = frozenset(string.ascii_letters + string.digits + "+/_=-")
+_SIGNS = "+/_-"
 _DIGIT = re.compile(r"[0-9]")
 
 # Alphabets by size; the first that holds a token is its encoding
@@ -76,22 +79,29 @@ def base_spans(text: str) -> list[S.Span]:
 
 
 def candidates(text: str, min_length: int = MIN_LENGTH) -> Iterator[tuple[int, int]]:
-    """Maximal runs of token characters that hold a digit, without padding around them."""
-    at = 0
-    for digit in _DIGIT.finditer(text):
-        start = digit.start()
-        if start < at:
-            continue
-        end = _TOKEN.match(text, start).end()
-        while start > at and text[start - 1] in _TOKEN_CHARACTERS:
-            start -= 1
-        at = end
-        while text[start] in "=-_+/":
-            start += 1
-        while text[end - 1] in "=-_+/":
-            end -= 1
-        if end - start >= min_length:
-            yield start, end
+    """Maximal runs of token characters and their parts between signs that hold a digit,
+    without the signs around them. Parts may overlap."""
+    run = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{min_length},}}"
+    for found in re.finditer(run, text):
+        for start, end in sorted(_parts(found[0], min_length)):
+            if _DIGIT.search(found[0], start, end):
+                yield found.start() + start, found.start() + end
+
+
+def _parts(run: str, min_length: int) -> set[tuple[int, int]]:
+    """The run and its parts, with every choice of its signs as the glue between them."""
+    signs = [sign for sign in _SIGNS if sign in run]
+    parts = set()
+    for size in range(len(signs) + 1):
+        for glue in combinations(signs, size):
+            start = 0
+            for part in re.split(f"[{''.join(glue)}]", run) if glue else [run]:
+                bare = part.strip(_SIGNS)
+                if len(bare) >= min_length:
+                    at = start + len(part) - len(part.lstrip(_SIGNS))
+                    parts.add((at, at + len(bare)))
+                start += len(part) + 1
+    return parts
 
 
 def _class(character: str) -> str:
@@ -216,17 +226,30 @@ def find_secrets(docs: DataFrame, text: str = "text", rate: float = RATE, keep_t
     return rows.withColumn("spans", _all_spans(least)).drop("candidates")
 
 
+def _merge(places: Iterable[tuple[int, int]]) -> list[S.Span]:
+    """The places in order, those that overlap as one."""
+    out: list[S.Span] = []
+    for start, end in sorted(places):
+        if out and start < out[-1][2]:
+            out[-1] = ("random", out[-1][1], max(out[-1][2], end))
+        else:
+            out.append(("random", start, end))
+    return out
+
+
 def _all_spans(least: int | None) -> Column:
     base = F.col("base")
     if least is None:
         return base
     found = F.filter(F.col("candidates"), lambda c: (c["level"] >= least) & c["free"])
-    added = F.transform(
-        found,
-        lambda c: F.struct(
-            F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")
-        ),
-    )
+
+    @F.pandas_udf(S.SPANS)
+    def merged(discoveries: pd.Series) -> pd.Series:
+        rows = [None if d is None else _merge((c["start"], c["end"]) for c in d) for d in discoveries]
+        return pd.Series(rows, dtype="object")
+
+    # only rows with discoveries go to the workers
+    added = F.coalesce(merged(F.when(F.size(found) > 0, found)), F.array().cast(S.SPANS))
     # none of the added overlaps another or a base span, so starts decide; base spans that
     # start together are already in the order of their kinds
     order = {kind: i for i, kind in enumerate(KINDS)}

@@ -151,6 +151,29 @@ def test_random_strings_are_told_from_text(spark):
     assert not any(found[1000 + i] for i in range(40))
 
 
+def test_keys_glued_to_names_and_paths(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(secrets.ENCODINGS["alphanumeric"]) for _ in range(40)) for _ in range(60)]
+    slashed = ["wJalrXUtnFEMI/K7MDENG/bPxRfi1" + k[:11] for k in keys]
+    glued = ["AWS_SECRET_ACCESS_KEY={}", "auth={} x", "https://host.com/a-b/{}", "see x.y?a=1&sig={}==", "my-long_name/{}"]
+    rows = [(g * 100 + i, glue.format(k)) for g, glue in enumerate(glued) for i, k in enumerate(keys)]
+    rows += [(1000 + i, f"AWS_ACCESS_KEY={k}") for i, k in enumerate(slashed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in secrets.without_secrets(docs).collect()}
+    for g in range(len(glued)):
+        assert sum(k in left[g * 100 + i] for i, k in enumerate(keys)) <= 6
+    assert left[0] == "AWS_SECRET_ACCESS_KEY=[RANDOM]"
+    assert sum(k in left[1000 + i] for i, k in enumerate(slashed)) <= 6
+
+
+def test_parts_and_discoveries_that_overlap():
+    text = "ab-abcdefghijklmno1/abcdefghijklmnop2_=="
+    assert sorted(text[a:b] for a, b in secrets.candidates(text)) == sorted(
+        [text[:-3], "ab-abcdefghijklmno1", text[3:-3], "abcdefghijklmno1", "abcdefghijklmnop2"]
+    )
+    assert secrets._merge([(5, 9), (0, 4), (3, 4), (8, 12)]) == [("random", 0, 4), ("random", 5, 12)]
+
+
 def test_battery_p_values():
     rng = random.Random(3)
     hexadecimal = secrets.ENCODINGS["hex"]
