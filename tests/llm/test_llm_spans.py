@@ -166,6 +166,20 @@ def test_keys_glued_to_names_and_paths(spark):
     assert sum(k in left[1000 + i] for i, k in enumerate(slashed)) <= 6
 
 
+def test_keys_without_digits(spark):
+    rng = random.Random(6)
+    alphabet = secrets.ENCODINGS["letters"]
+    keys = ["".join(rng.choice(alphabet) for _ in range(n)) for n in [24, 40] * 30]
+    words = ["Rechtsschutzversicherungsgesellschaften", "getElementsByTagNameFromDocument",
+             "internationalization", "INTERNATIONALISATION", "the-quick-brown-fox-jumps"]
+    rows = [(i, f"see {k} here") for i, k in enumerate(keys)]
+    rows += [(1000 + i, f"see {w} here") for i, w in enumerate(words * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
+    assert sum(found[i] == ["random"] for i in range(60)) >= 50
+    assert not any(found[1000 + i] for i in range(50))
+
+
 def test_parts_and_discoveries_that_overlap():
     text = "ab-abcdefghijklmno1/abcdefghijklmnop2_=="
     assert sorted(text[a:b] for a, b in secrets.candidates(text)) == sorted(
