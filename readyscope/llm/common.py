@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readyscope.sources.scratch import stored
 
-__all__ = ["attach", "columns_of", "read_table", "stored", "unused", "whole"]
+__all__ = ["attach", "columns_of", "lean", "read_table", "stored", "unused", "whole"]
+
+# What a worker gets at a time, in rows and bytes
+BATCH_ROWS = 2000
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(docs: DataFrame) -> DataFrame:
+    """The same table; its session sends rows to Python workers in batches of bounded size.
+
+    Spark's own batches of 10,000 rows are made for numbers. With whole texts each is
+    copied several times over on both sides, outside the heap. A session that already
+    asks for less keeps that. No result depends on it.
+    """
+    conf, prefix = docs.sparkSession.conf, "spark.sql.execution.arrow.max"
+    for name, most in (("RecordsPerBatch", BATCH_ROWS), ("BytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(prefix + name))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(prefix + name, str(most))
+    return docs
+
+
 def whole(text: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -36,7 +57,7 @@ def columns_of(df: DataFrame, *but: str) -> list[Column]:
 
 
 def attach(
-    rows: DataFrame, facts: DataFrame, key: list[str], hot_share: int = 1000
+    rows: DataFrame, facts: DataFrame, key: list[str], hot_share: int | None = None
 ) -> DataFrame:
     """Inner join with a table of one row per key, however hot a key is.
 
@@ -44,8 +65,11 @@ def attach(
     ``hot_share`` gets its facts by broadcast: at most ``hot_share`` keys can be that
     frequent, whatever the size of the input. All others are joined by shuffle, where
     none is larger than that share. Both inputs should be stored tables, as they are
-    read twice.
+    read twice. The share is a thousandth, or that of a shuffle partition if that is less.
     """
+    if hot_share is None:
+        partitions = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        hot_share = max(1000, int(partitions))
     total = facts.agg(F.sum("key_rows")).first()[0] or 0
     is_hot = F.col("key_rows") * hot_share > total
     hot = F.broadcast(facts.where(is_hot).drop("key_rows"))

@@ -5,18 +5,29 @@ import pytest
 from readyscope.llm import linededup, registry
 
 
+def plain_windows(lines, window_words):
+    """(first, end) of the least runs of lines with that many words, from a line on or up to it."""
+    found, n = set(), len(lines)
+    for at in range(n):
+        for step in (1, -1):
+            words, b = 0, at
+            while 0 <= b < n and words < window_words:
+                words += len(lines[b][2])
+                b += step
+            if words >= window_words:
+                found.add((at, b) if step == 1 else (b + 1, at + 1))
+    return sorted(found)
+
+
 def plain_cut(docs, window_words):
-    """Every window by its words; what came earlier in (id, place) is cut, by characters."""
+    """Every window by its words; what came earlier in (id, place) is cut, by characters.
+
+    ``every_run_cut`` below, which tries runs of every length, comes to the same.
+    """
     first, cuts = {}, {}
     for key, text in sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0)):
         lines = list(linededup.lines_of(text or ""))
-        for a in range(len(lines)):
-            words, b = 0, a
-            while b < len(lines) and words < window_words:
-                words += len(lines[b][2])
-                b += 1
-            if words < window_words:
-                break
+        for a, b in plain_windows(lines, window_words):
             window = tuple(tuple(line[2]) for line in lines[a:b])
             place = (key, text, lines[a][0], lines[b - 1][1])
             source = first.setdefault(window, place)
@@ -27,8 +38,7 @@ def plain_cut(docs, window_words):
     for key, text in docs:
         keep = [True] * len(text or "")
         for start, end in cuts.get((key, text), []):
-            for i in range(start, end):
-                keep[i] = False
+            keep[start:end] = [False] * max(0, end - start)
         out.append((key, text and "".join(c for c, k in zip(text, keep, strict=True) if k)))
     return out
 
