@@ -8,6 +8,15 @@ Toxicity drops the documents that it rejects. Line dedup cuts repeated passages
 documents of which nothing else is left. SimHash near-dedup keeps the document of the
 least id of each group. The secret scan puts the kind of a secret in its place. Packing
 turns the rest into sequences of tokens: a row per piece with its place.
+
+Defined results, each stage as its operator has it: a null text stays null through the
+text stages and is one end token in a sequence; empty texts and very long ones are
+treated whole; of rows that repeat an id with equal text one stays; rows without an id
+stay; equal texts under several ids leave the one of least id; an empty table gives an
+empty table; extra columns pass through all stages but the last, which has none of them.
+
+Whole texts go to the workers in small batches (``common.lean``), for an executor that
+runs all five stages one after the other keeps the largest buffers that any of them took.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readyscope.llm import linededup, packing, secrets, simhash, toxicity
-from readyscope.llm.common import columns_of, read_table, stored, unused
+from readyscope.llm.common import columns_of, lean, read_table, stored, unused
 from readyscope.llm.registry import tokenizer_path, with_workers
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,26 +42,26 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    model = toxicity.fit(lean(docs), read_table(spark, sf_dir, "labels"))
     severity = unused(docs, "severity")
     rated = toxicity.with_severity(docs, model, column=severity)
     return rated.where(F.col(severity) < model.rejected_from).select(*columns_of(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(linededup.drop_repeats(docs))
+    return _counted(linededup.drop_repeats(lean(docs)))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return simhash.first_of_each(lean(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(secrets.without_secrets(docs))
+    return _counted(secrets.without_secrets(lean(docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(lean(docs), tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
