@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readyscope.llm import (
+    balltree,
     bpe,
     linededup,
     packing,
+    phrases,
     pii,
     quality,
     secrets,
@@ -20,6 +22,7 @@ from readyscope.llm import (
     spans,
     topk,
     toxicity,
+    urlrules,
     warc,
 )
 from readyscope.llm.common import read_table
@@ -130,10 +133,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlrules.judge_urls(pages, urlrules.rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return balltree.rank(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_bpe, op3_warc, op4_pii, op5_packing, op6_secrets, op7_quality, op8_toxicity, op9_exact_topk, op10_simhash]
+    own = [
+        op1_line_dedup, op2_bpe, op3_warc, op4_pii, op5_packing, op6_secrets, op7_quality, op8_toxicity,
+        op9_exact_topk, op10_simhash, op11_url_rules, op12_ranked_search, op13_collocations,
+    ]
     return {query.__name__: with_workers(query) for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op9_exact_topk": topk.ORACLE}
+    return {
+        "op3_warc": warc.ORACLE, "op9_exact_topk": topk.ORACLE, "op11_url_rules": urlrules.ORACLE,
+        "op12_ranked_search": balltree.ORACLE, "op13_collocations": phrases.ORACLE,
+    }
