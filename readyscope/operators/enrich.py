@@ -80,6 +80,26 @@ def hot_systems(equipment: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     return counts.where(F.col("count") * share > total).select(SYSTEM_ID)
 
 
+def hot_matches(ids: DataFrame, targets: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """hot_id and salts of the ids that make more than one joined row in ``share``.
+
+    Counted are the rows that a left join gives: each row of an id meets every target row
+    of it. An id gets as many salts as it has such shares, but no more than it has rows.
+    Fewer than ``share`` ids come out, with fewer than twice as many salts in all.
+    """
+    rows = ids.where(F.col(SYSTEM_ID).isNotNull()).groupBy(F.col(SYSTEM_ID).alias("hot_id"))
+    listed = targets.where(F.col(MATERIAL_ID).isNotNull()).groupBy(F.col(MATERIAL_ID).alias("hot_id"))
+    both = rows.agg(F.count("*").alias("n")).join(
+        listed.agg(F.count("*").alias("matches")), "hot_id", "left"
+    )
+    made = F.col("n").cast("double") * F.coalesce("matches", F.lit(1))
+    both = both.select("hot_id", "n", made.alias("made"))
+    total = both.agg(F.sum("made")).first()[0] or 1.0
+    shares = F.ceil(F.col("made") * share / total)
+    salts = F.least(F.col("n"), shares).cast("int").alias("salts")
+    return both.where(F.col("made") * share > total).select("hot_id", salts)
+
+
 def enrich(
     equipment: DataFrame,
     targets: DataFrame,
@@ -87,6 +107,7 @@ def enrich(
     on_duplicate: str = "error",
     ids_from: DataFrame | None = None,
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    hot_share: int | None = None,
 ) -> DataFrame:
     """Equipment columns plus material, mobility class and target.
 
@@ -97,6 +118,11 @@ def enrich(
     Targets measured under the limit are broadcast. A larger table is joined by
     shuffle, beside which hot system ids are joined by broadcast. Those are counted on
     ``ids_from`` if given: the same system ids from a source that is cheaper to scan.
+    Where materials repeat, the matches of a hot id are not bounded; its target rows are
+    repeated over salts instead, and its equipment is dealt over the same.
+
+    An id is hot with more than one row in ``hot_share``; unless given, that is a
+    thousandth, or the share of a shuffle partition if that is less.
     """
     if on_duplicate not in ("error", "fan_out"):
         raise ValueError(f"on_duplicate must be 'error' or 'fan_out', not {on_duplicate!r}")
@@ -113,15 +139,42 @@ def enrich(
             # a query that uses no target column then skips the join altogether.
             attributes = attributes.dropDuplicates([MATERIAL_ID])
         return _left_join(equipment, F.broadcast(attributes))
-    if not profile.unique:
-        # the matches of a hot id are not bounded here; AQE splits its partition
-        return _spread_join(equipment, attributes, None)
     partitions = int(equipment.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = hot_share or max(HOT_SHARE, partitions)
     ids = equipment if ids_from is None else ids_from
-    return _spread_join(equipment, attributes, hot_systems(ids, max(HOT_SHARE, partitions)))
+    if not profile.unique:
+        return _salted_join(equipment, attributes, hot_matches(ids, targets, share))
+    return _spread_join(equipment, attributes, hot_systems(ids, share))
+
+
+def _salted_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Shuffle join in which the rows of a hot id are dealt over salts.
+
+    Every target row of a hot id is there once per salt, so each equipment row, whatever
+    its salt, meets all of them. Null ids match nothing and are dealt out by row.
+    """
+    columns, key = equipment.columns, F.col(SYSTEM_ID)
+    hot = F.broadcast(hot)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    dealt = equipment.join(hot, key == F.col("hot_id"), "left").withColumn(
+        "row salt",
+        F.when(key.isNull(), F.hash(row_hash))
+        .when(F.col("salts").isNotNull(), F.pmod(row_hash, F.col("salts")).cast("int"))
+        .otherwise(0),
+    )
+    every_salt = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    repeated = attributes.join(hot, F.col(MATERIAL_ID) == F.col("hot_id"), "left").select(
+        *[F.col(f"`{c}`") for c in attributes.columns], F.explode(every_salt).alias("salt")
+    )
+    joined = dealt.join(
+        repeated,
+        (dealt[SYSTEM_ID] == repeated[MATERIAL_ID]) & (F.col("row salt") == F.col("salt")),
+        "left",
+    )
+    return joined.select(*[F.col(f"`{c}`") for c in [*columns, *attributes.columns]])
 
 
-def _spread_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _spread_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame) -> DataFrame:
     """Shuffle join in one pass, in which hot and null ids are spread evenly.
 
     Hot rows find their target in a broadcast table of fewer rows than the hot share.
@@ -129,19 +182,17 @@ def _spread_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame | N
     row, all others by a hash of the id, which a target has too.
     """
     columns, key = equipment.columns, F.col(SYSTEM_ID)
-    alone = key.isNull()
-    if hot is not None:
-        ids = hot.select(F.col(SYSTEM_ID).alias("hot_id"))
-        known = _left_join(
-            ids.withColumnRenamed("hot_id", SYSTEM_ID),
-            F.broadcast(
-                attributes.join(F.broadcast(ids), F.col(MATERIAL_ID) == F.col("hot_id"), "left_semi")
-            ),
-        )
-        names = {SYSTEM_ID: "hot_id"} | {c: f"hot {c}" for c in attributes.columns}
-        known = known.withColumnsRenamed(names)
-        equipment = equipment.join(F.broadcast(known), key == F.col("hot_id"), "left")
-        alone = alone | F.col("hot_id").isNotNull()
+    ids = hot.select(F.col(SYSTEM_ID).alias("hot_id"))
+    known = _left_join(
+        ids.withColumnRenamed("hot_id", SYSTEM_ID),
+        F.broadcast(
+            attributes.join(F.broadcast(ids), F.col(MATERIAL_ID) == F.col("hot_id"), "left_semi")
+        ),
+    )
+    names = {SYSTEM_ID: "hot_id"} | {c: f"hot {c}" for c in attributes.columns}
+    known = known.withColumnsRenamed(names)
+    equipment = equipment.join(F.broadcast(known), key == F.col("hot_id"), "left")
+    alone = key.isNull() | F.col("hot_id").isNotNull()
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     id_hash = F.xxhash64(key.cast("string"))
     salted = equipment.withColumn("row salt", F.when(alone, row_hash).otherwise(id_hash))
@@ -152,8 +203,7 @@ def _spread_join(equipment: DataFrame, attributes: DataFrame, hot: DataFrame | N
         "left",
     )
     found = [
-        F.coalesce(F.col(f"`{c}`"), F.col(f"`hot {c}`")).alias(c) if hot is not None else F.col(f"`{c}`")
-        for c in attributes.columns
+        F.coalesce(F.col(f"`{c}`"), F.col(f"`hot {c}`")).alias(c) for c in attributes.columns
     ]
     return joined.select(*[F.col(f"`{c}`") for c in columns], *found)
 

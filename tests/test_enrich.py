@@ -7,6 +7,7 @@ from readyscope.model import BUSINESS_LINE, LEVEL, MATERIAL_ID, MOBILITY, SYSTEM
 from readyscope.operators.enrich import (
     DuplicateTargetError,
     enrich,
+    hot_matches,
     hot_systems,
     profile_targets,
 )
@@ -121,3 +122,46 @@ def test_unique_targets_let_counts_skip_the_join(equipment, targets):
     assert "Join" not in plan(fleet.groupBy(BUSINESS_LINE).count())
     assert "Join" not in plan(fleet.where(f"{LEVEL} = 'SRS READY'").groupBy().count())
     assert "Join" in plan(fleet.groupBy(TARGET).count())
+
+
+def repeated(targets, times):
+    again = targets
+    for _ in range(times - 1):
+        again = again.union(targets)
+    return again
+
+
+def test_hot_ids_with_repeated_targets_are_salted(spark, targets):
+    """A third of the rows on an id with three target rows, a third without an id."""
+    skewed = spark.range(3000).selectExpr(
+        "cast(id as string) AS equipment_serial_number",
+        "CASE id % 3 WHEN 0 THEN 'M2' WHEN 1 THEN NULL ELSE concat('M', id % 50) END AS system_id",
+    )
+    thrice = targets.union(repeated(targets.where(f"{MATERIAL_ID} = 'M2'"), 2))
+    hot = {r["hot_id"]: r["salts"] for r in hot_matches(skewed, thrice, 20).collect()}
+    # 1000 rows meet 3 targets each, of some 4000 joined rows in all
+    assert set(hot) == {"M2"} and 14 <= hot["M2"] <= 20
+    fleet = enrich(skewed, thrice, on_duplicate="fan_out", broadcast_limit_bytes=0, hot_share=20)
+    assert rows(fleet) == expected_rows(skewed, thrice)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        dealt = enrich(skewed, thrice, on_duplicate="fan_out", broadcast_limit_bytes=0, hot_share=200)
+        assert "SortMergeJoin" in plan(dealt) or "ShuffledHashJoin" in plan(dealt)
+        parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    total = len(expected_rows(skewed, thrice))
+    assert sum(parts) == total and max(parts) < 2 * total / len(parts)
+
+
+def test_salts_never_exceed_the_rows_of_an_id(spark, targets):
+    one = spark.createDataFrame([("1", "M2"), ("2", "M1")], "equipment_serial_number string, system_id string")
+    many = repeated(targets.where(f"{MATERIAL_ID} = 'M2'"), 50).union(targets)
+    assert {r["hot_id"]: r["salts"] for r in hot_matches(one, many, 10).collect()} == {"M2": 1}
+    fleet = enrich(one, many, on_duplicate="fan_out", broadcast_limit_bytes=0, hot_share=10)
+    assert rows(fleet) == expected_rows(one, many)
+    empty = enrich(one.limit(0), many, on_duplicate="fan_out", broadcast_limit_bytes=0)
+    assert empty.columns == ["equipment_serial_number", *COLUMNS[2:3], *COLUMNS[-3:]] and empty.count() == 0
