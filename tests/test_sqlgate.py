@@ -183,3 +183,93 @@ def test_board_answers(spark):
         "SELECT equipment_installation_date AS d FROM df_merged"
         " WHERE equipment_serial_number = '1'"
     )) == [{"d": int(pd.Timestamp("2024-03-15").timestamp() * 1000)}]
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT * FROM range(5)",
+        "SELECT count(*) FROM df_merged, range(100000000000)",
+        "SELECT * FROM VALUES (1), (2)",
+        "SELECT * FROM sql_keywords()",
+        "SELECT * FROM LATERAL explode(sequence(1, 1000000000))",
+        "SELECT * FROM df_merged LATERAL VIEW explode(sequence(1, 1000000000)) t AS x",
+        "SELECT * FROM df_merged, LATERAL (SELECT system_id)",
+        "SELECT 1 WHERE 1 IN (SELECT id FROM range(3))",
+        "SELECT (SELECT max(id) FROM range(3)) AS x",
+        "FROM df_merged |> SELECT 1",
+        "FROM df_merged SELECT city",
+        "SELECT input_file_name() FROM df_merged",
+        "SELECT city FROM df_merged WHERE input_file_block_start() > 0",
+        "SELECT _metadata.file_path FROM df_merged",
+        "SELECT df_merged._metadata FROM df_merged",
+        "SELECT * FROM (SELECT * FROM (VALUES (1)))",
+    ],
+)
+def test_other_relations_and_paths_are_refused(spark, gate, query):
+    with pytest.raises(QueryRefused):
+        guard(spark, query, ["df_merged"])
+    assert gate.answer(query).startswith(("SQL_ERROR: ", "ERRO: "))
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT collect_list(city) AS x FROM df_merged",
+        "SELECT business_line, array_agg(DISTINCT city) AS x FROM df_merged GROUP BY 1",
+        "SELECT size(collect_set(city)) AS x FROM df_merged",
+        "SELECT listagg(city, ',') AS x FROM df_merged",
+        "SELECT 1 AS x WHERE 5 < (SELECT size(collect_list(city)) FROM df_merged)",
+        "SELECT explode(sequence(1, 1000000000)) AS x",
+        "SELECT stack(2, city, state) AS x FROM df_merged",
+        "SELECT city, collect_list(state) OVER (PARTITION BY city) AS x FROM df_merged",
+        "SELECT count(*) AS n FROM df_merged a, df_merged b",
+        "SELECT count(*) AS n FROM df_merged a JOIN df_merged b ON a.target_srs_ready < b.target_srs_ready",
+        "SELECT count(*) AS n FROM df_merged WHERE EXISTS (SELECT 1 FROM df_merged b JOIN df_merged c)",
+    ],
+)
+def test_queries_without_a_bound_are_refused(gate, fleet, query):
+    with pytest.raises(QueryRefused):
+        gate.query(query)
+    assert gate.answer(query).startswith("SQL_ERROR: ")
+
+
+def test_bounds_can_be_lifted(fleet):
+    free = SqlGate(fleet, bounded=False)
+    lines = json.loads(free.answer("SELECT sort_array(collect_set(level_of_connection)) AS x FROM df_merged"))
+    assert len(lines[0]["x"]) == 3
+
+
+def test_bounded_queries_pass(gate):
+    for query in (
+        "SELECT a.system_id, count(*) AS n FROM df_merged a JOIN df_merged b"
+        " ON a.equipment_serial_number = b.equipment_serial_number GROUP BY 1",
+        "SELECT /* c */ city, count(*) AS n FROM df_merged TABLESAMPLE (100 PERCENT) GROUP BY city",
+        "-- all lines\nSELECT business_line, max(target_srs_ready) AS t FROM df_merged GROUP BY ALL",
+        "SELECT * FROM (SELECT business_line, level_of_connection FROM df_merged)"
+        " PIVOT (count(*) FOR level_of_connection IN ('SRS READY' AS ready))",
+        "SELECT city FROM df_merged WHERE target_srs_ready > (SELECT avg(target_srs_ready) FROM df_merged)",
+        "SELECT city FROM df_merged WHERE city IN (SELECT city FROM df_merged WHERE state = 'SP')",
+        "SELECT 'input_file_name _metadata' AS x",
+    ):
+        assert not gate.answer(query).startswith(("SQL_ERROR: ", "ERRO: ")), gate.answer(query)
+
+
+def test_a_wide_record_fails_in_its_task(fleet):
+    gate = SqlGate(fleet, value_limit=200)
+    assert json.loads(gate.answer("SELECT repeat('x', 150) AS x")) == [{"x": "x" * 150}]
+    assert "more than 200 bytes" in gate.answer("SELECT repeat('x', 300) AS x")
+
+
+def test_window_and_set_operations(gate):
+    best = json.loads(gate.answer(
+        "SELECT service_region, business_line, n FROM ("
+        " SELECT service_region, business_line, count(*) AS n, row_number() OVER (PARTITION BY service_region"
+        " ORDER BY count(*) DESC, business_line) AS place FROM df_merged GROUP BY 1, 2)"
+        " WHERE place <= 2 ORDER BY service_region, n DESC, business_line"
+    ))
+    assert len(best) == 12
+    both = "SELECT business_line FROM df_merged WHERE level_of_connection = 'SRS READY' {} " \
+        "SELECT business_line FROM df_merged WHERE business_line <> 'AXA' ORDER BY 1"
+    assert {"business_line": "AXA"} not in json.loads(gate.answer(both.format("INTERSECT")))
+    assert json.loads(gate.answer(both.format("EXCEPT"))) == [{"business_line": "AXA"}]
