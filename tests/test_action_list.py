@@ -2,11 +2,13 @@ import re
 
 import fleets
 import pytest
+from plan_text import plan
+from pyspark.sql import functions as F
 
 from readyscope import ReadinessBoard, activation_list, export_month, read_months
 from readyscope.model import BUSINESS_LINE
 from readyscope.operators.enrich import enrich
-from readyscope.sources.reports import current_month
+from readyscope.sources.reports import KEPT_VERSIONS, current_month, published_months
 from readyscope.sources.scratch import shared_directory
 
 TITLES = ["Serial Number", "System", "Business Line", "City/State", "Service Region", "Status"]
@@ -55,6 +57,50 @@ def test_export_replaces_only_its_month(spark, tmp_path):
     assert dict(read_months(spark, base).groupBy("report_month").count().collect()) == {"202501": 3}
 
 
+def test_a_failed_export_leaves_the_old_month(spark, tmp_path):
+    """Rows fail midway: some tasks have written, nothing is published."""
+    base = str(tmp_path / "report")
+    good = spark.range(40).selectExpr("id", "cast(id as string) AS note")
+    export_month(good, base, "202501")
+    broken = spark.range(0, 4000, 1, 8).selectExpr(
+        "id", "if(id = 3999, raise_error('lost'), cast(id as string)) AS note"
+    )
+    with pytest.raises(Exception, match="lost"):
+        export_month(broken, base, "202501")
+    assert as_tuples(read_months(spark, base).select("id", "note")) == as_tuples(good)
+    # a first export that fails publishes no month
+    with pytest.raises(Exception, match="lost"):
+        export_month(broken, base, "202502")
+    assert list(published_months(spark, base)) == ["202501"]
+    export_month(good.limit(3), base, "202501")
+    assert read_months(spark, base).count() == 3
+
+
+def test_a_reader_finishes_on_the_version_it_began_with(spark, tmp_path):
+    base = str(tmp_path / "report")
+    for n in range(1, 6):
+        path = export_month(spark.range(n), base, "202501")
+        if n > 1:
+            assert began.count() == n - 1
+        began = read_months(spark, base)
+        assert published_months(spark, base) == {"202501": path}
+    assert len(list((tmp_path / "report" / "_versions").iterdir())) == KEPT_VERSIONS
+
+
+def test_a_month_is_read_alone_and_plain_directories_count(spark, tmp_path):
+    base = str(tmp_path / "report")
+    spark.range(7).write.parquet(f"{base}/report_month=202412")
+    export_month(spark.range(2), base, "202501")
+    export_month(spark.range(3).withColumn("more", F.lit("x")), base, "202502")
+    months = read_months(spark, base)
+    assert dict(months.groupBy("report_month").count().collect()) == {"202412": 7, "202501": 2, "202502": 3}
+    assert plan(months.where("report_month = '202501'")).count("FileScan") == 1
+    export_month(spark.range(1), base, "202412")
+    assert read_months(spark, base).where("report_month = '202412'").count() == 1
+    with pytest.raises(FileNotFoundError):
+        read_months(spark, str(tmp_path / "none"))
+
+
 def test_month_defaults_to_the_current_one(spark, tmp_path):
     path = export_month(activation_list(fleets.edge_equipment(spark)), str(tmp_path / "r"))
     assert path.endswith(f"report_month={current_month()}")
