@@ -15,7 +15,7 @@ from readyscope.model import (
     TARGET,
     TARGET_SCHEMA,
 )
-from readyscope.sources.extracts import canonical_name, normalise_headers
+from readyscope.sources.extracts import canonical_name, ingest_extract, normalise_headers
 from readyscope.sources.retail import equipment
 
 TARGET_HEADERS = [
@@ -73,7 +73,7 @@ def test_awkward_texts_survive(spark, tmp_path):
     rows = [
         (1, " lead", "trail "), (2, "", None), (3, 'say "hi"', "a,b"), (4, "back\\slash", 'q\\"x'),
         (5, "line\nbreak", "cr\r\nlf \r x"), (6, '"', '""'), (7, None, ""), (8, "\t", "\\"),
-        (9, "é", "#x"), (10, " ", 'a"b"'), (11, "\n", "\r"),
+        (9, "é", "#x"), (10, " ", 'a"b"'), (11, "\n", "\r"), (12, "\x00", "a\x00b"), (13, "\x00\x00", "\x00"),
     ]
     df = spark.createDataFrame(rows, "id long, a string, b string")
     write_extract(df, str(tmp_path / "x"))
@@ -102,6 +102,36 @@ def test_a_value_of_the_wrong_type_stops_the_read(spark, tmp_path):
         read_extract(spark, str(path)).collect()
 
 
+def test_records_that_do_not_fit_are_set_apart(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    header = "Material ID,SYSTEM NAME,TARGET (SRS READY)\n"
+    (source / "a.csv").write_text(
+        header + 'A,"say ""hi"", twice",0.25\nB,x,high\nC,x\nD,"",\n"E",x,0.5,more\n\nF, lead ,0.87\n', encoding="utf-8"
+    )
+    (source / "b.csv").write_text(header + "G,é,\nH,x,0,5\n,,\n", encoding="utf-8")
+    found = ingest_extract(spark, str(source), str(tmp_path / "out"))
+    assert found.rows.dtypes == [("material_id", "string"), ("system_name", "string"), (TARGET, "double")]
+    assert as_tuples(found.rows) == sorted([
+        ("A", 'say "hi", twice', 0.25), ("D", "", None), ("F", " lead ", 0.87), ("G", "é", None), (None, None, None),
+    ], key=repr)
+    bad = {(r["file"].rpartition("/")[2], r["record"]) for r in found.quarantine.collect()}
+    assert bad == {("a.csv", "B,x,high"), ("a.csv", "C,x"), ("a.csv", '"E",x,0.5,more'), ("b.csv", "H,x,0,5")}
+    # the good rows are those of a strict read of a file that has no others
+    (tmp_path / "good.csv").write_text(header + 'A,"say ""hi"", twice",0.25\nD,"",\n', encoding="utf-8")
+    strict = read_extract(spark, str(tmp_path / "good.csv"))
+    again = ingest_extract(spark, str(tmp_path / "good.csv"), str(tmp_path / "out"))
+    assert as_tuples(again.rows) == as_tuples(strict) and again.quarantine.isEmpty()
+
+
+def test_headers_that_become_one_are_an_error(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("A B,a_b\n1,2\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="a_b"):
+        read_extract(spark, str(tmp_path / "x.csv"))
+    with pytest.raises(ValueError, match="repeat"):
+        ingest_extract(spark, str(tmp_path / "x.csv"), str(tmp_path / "out"))
+
+
 def test_files_must_share_their_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Material ID,SYSTEM NAME\nA,1\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("SYSTEM NAME,Material ID\n2,B\n", encoding="utf-8")
