@@ -8,6 +8,8 @@ system ids, and no broadcast is needed.
 
 Each report has a total order (metric, then group columns), so equal metrics
 never leave the order, or the cut of a top-k, to chance.
+
+In place of the equipment table, every report takes a cube of it (``operators.cube``).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readyscope.functions.counting import count_where, row_count
 from readyscope.functions.labels import relabel
 from readyscope.functions.predicates import has_problem, is_not_connected, is_ready
 from readyscope.functions.rates import fraction, percent, scaled_percent
@@ -63,7 +66,7 @@ def status_share(
     """
     total, part, rate = names
     counts = equipment.groupBy(*groups).agg(
-        F.count("*").alias(total), F.count_if(predicate).alias(part)
+        row_count(equipment).alias(total), count_where(equipment, predicate).alias(part)
     )
     report = counts.withColumn(rate, F.round(rate_of(F.col(part), F.col(total)), digits))
     return ranked(report, rate, groups, k)
@@ -71,7 +74,7 @@ def status_share(
 
 def status_counts(equipment: DataFrame) -> DataFrame:
     """Row count per connection level."""
-    return equipment.groupBy(LEVEL).agg(F.count("*").alias("equipment_count"))
+    return equipment.groupBy(LEVEL).agg(row_count(equipment).alias("equipment_count"))
 
 
 def service_distribution(
@@ -87,7 +90,7 @@ def service_distribution(
     counts = (
         apply_filters(equipment, filters)
         .groupBy(LEVEL, REGION)
-        .agg(F.count("*").alias("equipment_count"))
+        .agg(row_count(equipment).alias("equipment_count"))
         .withColumn(REGION, relabel(F.col(REGION), dict(labels)))
     )
     return ranked(counts, "equipment_count", [LEVEL, REGION])
@@ -109,7 +112,7 @@ def adherence_by_business_line(
         F.col("total").alias("total_count"),
         F.col("ready").alias("srs_ready_count"),
         F.round(percent(F.col("ready"), F.col("total"))).alias("adherence_pct"),
-    ).withColumn("meets_target", F.coalesce(F.col("adherence_pct") >= F.col(TARGET), F.lit(False)))
+    ).withColumn("meets_target", _meets("adherence_pct", TARGET))
     return ranked(report, "adherence_pct", [BUSINESS_LINE, TARGET])
 
 
@@ -136,13 +139,15 @@ def adherence_by_system(
         F.col("ready").alias("srs_ready_equipment"),
         percent(F.col("ready"), F.col("total")).alias("srs_ready_pct_display"),
         (F.col(TARGET) * 100).alias("target_srs_ready_pct"),
-    ).withColumn(
-        "on_target",
-        F.when(F.col("srs_ready_pct_display") >= F.col("target_srs_ready_pct"), 1).otherwise(0),
-    )
+    ).withColumn("on_target", _meets("srs_ready_pct_display", "target_srs_ready_pct").cast("int"))
     return ranked(report, "srs_ready_pct_display", [*groups, "target_srs_ready_pct"])
 
 
+def _meets(actual: str, target: str) -> Column:
+    """Whether a rate reaches its target; nothing reaches a target that is not there."""
+    return F.coalesce(F.col(actual) >= F.col(target), F.lit(False))
+
+
 def not_connected_by_system(equipment: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Not-connected share per system; for ``names`` see ``adherence_by_system``."""
     groups = [SYSTEM_ID, SYSTEM_NAME]
@@ -194,9 +199,9 @@ def _counts_per_target(
         apply_filters(equipment, row_filters)
         .groupBy(*dict.fromkeys([*groups, SYSTEM_ID]))
         .agg(
-            F.count("*").alias("total"),
-            F.count_if(is_ready()).alias("ready"),
-            F.count_if(has_problem()).alias("problems"),
+            row_count(equipment).alias("total"),
+            count_where(equipment, is_ready()).alias("ready"),
+            count_where(equipment, has_problem()).alias("problems"),
         )
     )
     wanted = dict.fromkeys([MATERIAL_ID, TARGET, *target_filters])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readyscope.functions.counting import count_where, row_count
 from readyscope.functions.predicates import has_problem, is_ready
 from readyscope.functions.rates import scaled_percent
 from readyscope.model import BUSINESS_LINE, CITY, REGION, STATE, TARGET
@@ -41,9 +42,12 @@ TERMS = {
 _NAME_OF_TERM = {term.lower(): name for name, terms in TERMS.items() for term in terms}
 
 
-def _metrics() -> dict[str, Column]:
-    total = F.count("*")
-    ready, problems = F.count_if(is_ready()), F.count_if(has_problem())
+def _metrics(table: DataFrame | None) -> dict[str, Column]:
+    if table is None:
+        total, ready, problems = F.count("*"), F.count_if(is_ready()), F.count_if(has_problem())
+    else:
+        total = row_count(table)
+        ready, problems = count_where(table, is_ready()), count_where(table, has_problem())
     return {
         "total": total,
         "ready": ready,
@@ -61,12 +65,12 @@ def registered_name(name_or_term: str) -> str:
     return _NAME_OF_TERM.get(name_or_term.strip().lower(), name_or_term)
 
 
-def metric(name_or_term: str) -> Column:
-    """The aggregate expression of a metric."""
+def metric(name_or_term: str, table: DataFrame | None = None) -> Column:
+    """The aggregate expression of a metric, on rows or on what ``table`` is, rows or a cube."""
     name = registered_name(name_or_term)
     if name not in METRICS:
         raise KeyError(f"unknown metric {name_or_term!r}; known: {', '.join(METRICS)}")
-    return _metrics()[name]
+    return _metrics(table)[name]
 
 
 def dimension(name_or_term: str) -> str:
@@ -96,5 +100,5 @@ def metric_by(
         part = {"ready_rate": "ready", "problem_rate": "problems"}.get(name)
         value = F.round(scaled_percent(F.col(part), F.col("total")), 2) if part else F.col(name)
         return ranked(counts.select(column, value.alias(name)), name, [column], k)
-    report = fleet.groupBy(column).agg(metric(name).alias(name))
+    report = fleet.groupBy(column).agg(metric(name, fleet).alias(name))
     return ranked(report, name, [column], k)
