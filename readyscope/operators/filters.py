@@ -8,9 +8,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readyscope.model import ALL_TOKENS
 
+# Values of a filter that a plan carries as they are; more of them become a table
+LONGEST_LIST = 1000
+# A value table of more characters than this is not broadcast
+BROADCAST_CHARACTERS = 16 * 1024 * 1024
+_VALUE = "value of a filter"
+
 Filters = Mapping[str, "str | Sequence[str]"]
 
 
@@ -50,8 +57,30 @@ def filter_predicate(filters: Filters | None, upper_values: bool = True) -> Colu
 def apply_filters(
     df: DataFrame, filters: Filters | None, upper_values: bool = True
 ) -> DataFrame:
-    predicate = filter_predicate(filters, upper_values)
-    return df if predicate is None else df.where(predicate)
+    """The rows that pass every filter.
+
+    A text column's list of more than ``LONGEST_LIST`` values becomes a table of distinct
+    values that the rows are semi-joined with: by broadcast while it is small, else by
+    shuffle. As with ``IN``, a null matches nothing.
+    """
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    long = {
+        column: _as_list(values) for column, values in (filters or {}).items()
+        if column in texts and _is_long(_as_list(values))
+    }
+    predicate = filter_predicate({c: v for c, v in (filters or {}).items() if c not in long}, upper_values)
+    kept = df if predicate is None else df.where(predicate)
+    for column, values in long.items():
+        wanted = sorted({v.upper() if upper_values else v for v in values if v is not None})
+        table = df.sparkSession.createDataFrame([(v,) for v in wanted], T.StructType([T.StructField(_VALUE, T.StringType())]))
+        if sum(map(len, wanted)) <= BROADCAST_CHARACTERS:
+            table = F.broadcast(table)
+        kept = kept.join(table, F.col(_quoted(column)) == F.col(f"`{_VALUE}`"), "left_semi")
+    return kept
+
+
+def _is_long(values: list) -> bool:
+    return len(values) > LONGEST_LIST and all(v is None or isinstance(v, str) for v in values)
 
 
 def split_filters(filters: Filters | None, columns: Iterable[str]) -> tuple[dict, dict]:

@@ -1,8 +1,10 @@
 import fleets
 import pytest
+from plan_text import plan
 from pyspark.errors import AnalysisException
 
 from readyscope.model import BUSINESS_LINE, LEVEL, MOBILITY, REGION
+from readyscope.operators import filters
 from readyscope.operators.enrich import enrich
 from readyscope.operators.filters import (
     apply_filters,
@@ -81,3 +83,32 @@ def test_names_with_points_and_signs(spark):
     df = spark.createDataFrame([("X", "Y", ("Z",))], "`a.b?` string, `c``d` string, s struct<t:string>")
     assert apply_filters(df, {"a.b?": ["x"], "c`d": ["y"], "s.t": ["z"]}).count() == 1
     assert apply_filters(df, {"a.b?": ["y"]}).count() == 0
+
+
+def test_long_lists_become_a_table(spark):
+    """Both routes keep the same rows; nulls in the list or the column match nothing."""
+    golden = fleets.golden_equipment(spark)
+    lines = ["axa", "CT", None, "Mr"]
+    short = {BUSINESS_LINE: lines, LEVEL: ["SRS READY"]}
+    long = {BUSINESS_LINE: [*lines, *[f"none {i}" for i in range(5000)]], LEVEL: ["SRS READY"]}
+    for upper in (True, False):
+        found, wanted = apply_filters(golden, long, upper), apply_filters(golden, short, upper)
+        assert sorted(found.collect(), key=repr) == sorted(wanted.collect(), key=repr)
+        assert found.columns == golden.columns
+    text = plan(apply_filters(golden, long))
+    assert "LeftSemi" in text and "none 4999" not in text and "BroadcastHashJoin" in text
+    assert "LeftSemi" not in plan(apply_filters(golden, short))
+    edge = fleets.edge_equipment(spark)
+    assert apply_filters(edge, {"city": [None] * 2000}).count() == 0
+    assert apply_filters(edge, {"city": []}).count() == edge.count()
+
+
+def test_a_value_table_too_large_to_broadcast_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BROADCAST_CHARACTERS", 10)
+    golden = fleets.golden_equipment(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = apply_filters(golden, {BUSINESS_LINE: ["AXA", *map(str, range(2000))]})
+        assert "BroadcastHashJoin" not in plan(found) and found.count() == 183
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
