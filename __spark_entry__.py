@@ -22,20 +22,23 @@ from readyscope.model import (  # noqa: E402
     EQUIPMENT_COLUMNS,
     LEVEL,
     LINK_STATUS,
+    MATERIAL_ID,
     MOBILITY,
     REGION,
     SERIAL,
     STATE,
     SYSTEM_ID,
     SYSTEM_NAME,
+    TARGET,
 )
-from readyscope.operators import action_list, categories, kpis, rollups, summary  # noqa: E402
+from readyscope.operators import action_list, categories, cube, kpis, rollups, summary  # noqa: E402
 from readyscope.operators.enrich import enrich  # noqa: E402
 from readyscope.operators.filters import apply_filters, selections_to_filters  # noqa: E402
 from readyscope.plans.metrics import metric_by  # noqa: E402
 from readyscope.plans.sqlgate import SqlGate  # noqa: E402
 from readyscope.sources import retail  # noqa: E402
 from readyscope.sources.extracts import (  # noqa: E402
+    ingest_extract,
     load_fleet,
     normalise_headers,
     read_extract,
@@ -80,6 +83,28 @@ PER_SYSTEM_SQL = """
     FROM df_merged GROUP BY system_id ORDER BY n DESC, system_id
 """
 
+# The two most frequent business lines of every region
+BEST_LINES_SQL = """
+    SELECT service_region, business_line, n
+    FROM (SELECT service_region, business_line, COUNT(*) AS n,
+                 ROW_NUMBER() OVER (PARTITION BY service_region
+                                    ORDER BY COUNT(*) DESC, business_line) AS place
+          FROM df_merged GROUP BY service_region, business_line)
+    WHERE place <= 2
+    ORDER BY service_region, n DESC, business_line
+"""
+
+# Cities of ready equipment that have none of the first business line
+SET_OPERATION_SQL = """
+    (SELECT city, state FROM df_merged WHERE level_of_connection = 'SRS READY'
+     INTERSECT SELECT city, state FROM df_merged WHERE level_of_connection = 'NOT CONNECTED')
+    EXCEPT SELECT city, state FROM df_merged WHERE service_region = 'ASIA'
+    ORDER BY city, state
+"""
+
+# More cities than a plan should carry one by one
+LONG_CITY_LIST = ["Nation_2", "NATION_12", "nation_7", *[f"no city {i}" for i in range(20_000)]]
+
 
 def _fleet(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = EQUIPMENT_COLUMNS
@@ -140,6 +165,55 @@ def _fleet_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(rows, targets.unionByName(again), on_duplicate="fan_out")
 
 
+def _fan_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the route for targets that are too large to broadcast, with salts for
+    every system of more than one row in a hundred."""
+    targets = retail.targets(spark, sf_dir)
+    again = targets.where(F.col(f"`{MOBILITY}`") == "MOBILE SYSTEM")
+    rows = retail.equipment(spark, sf_dir, [SERIAL, SYSTEM_ID])
+    return enrich(
+        rows, targets.unionByName(again), on_duplicate="fan_out",
+        ids_from=retail.equipment(spark, sf_dir, [SYSTEM_ID]), broadcast_limit_bytes=0, hot_share=100,
+    )
+
+
+def _quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an extract with bad lines, and those lines as they are."""
+    key, target = F.col(MATERIAL_ID), F.col(TARGET).cast("string")
+    line = F.when(key % 10 == 3, F.concat(key, F.lit(",high")))
+    line = line.when(key % 10 == 5, F.concat(key, F.lit(",0.5,0.5"))).when(key % 10 == 7, key.cast("string"))
+    lines = retail.targets(spark, sf_dir).select(line.otherwise(F.concat(key, F.lit(","), target)).alias("line"))
+    path = shared_directory(spark, "extract")
+    # one column whose name and values are whole lines, without quotes: any line can be made
+    whole_lines = lines.toDF("Material ID,TARGET (SRS READY)")
+    whole_lines.write.options(header=True, sep="\x01", quote="").csv(path)
+    found = ingest_extract(spark, path, shared_directory(spark, "ingest"))
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in found.rows.dtypes]
+    bad = found.quarantine.select(*nothing, "record")
+    return found.rows.withColumn("record", F.lit(None).cast("string")).unionByName(bad)
+
+
+def _from_cube(report: Callable[..., DataFrame], *args, targets: bool = False, **kwargs):
+    """A query that stores a cube of the fleet and reports on it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = shared_directory(spark, "cube")
+        cube.store_cube(retail.equipment(spark, sf_dir, cube.CUBE_COLUMNS), base, EXPORT_MONTH)
+        counts = cube.read_cube(spark, base)
+        if targets:
+            return report(counts, retail.targets(spark, sf_dir), *args, **kwargs)
+        return report(counts, *args, **kwargs)
+
+    return query
+
+
+def _sql_query(text: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return SqlGate(_fleet(spark, sf_dir), row_cap=None).query(text)
+
+    return query
+
+
 def _targets_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_directory(spark, "extract")
     write_extract(_raw_targets(spark, sf_dir), path)
@@ -272,12 +346,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fleet_enriched": _fleet,
         "fleet_enriched_split": _fleet_split,
         "fleet_fan_out": _fleet_fan_out,
+        "fleet_fan_out_split": _fan_out_split,
         "scan_targets_inferred": _targets_inferred,
         "scan_awkward_text": _awkward_text,
+        "scan_quarantine": _quarantined,
         # filters
         "filtered_fleet": _on_equipment(EQUIPMENT_COLUMNS, apply_filters, ASIA_BUILDING),
         "filtered_fleet_all_token": _all_token,
         "filtered_fleet_by_target": _filtered_by_target,
+        "filtered_fleet_long_list": _on_equipment(
+            EQUIPMENT_COLUMNS, apply_filters, {CITY: LONG_CITY_LIST, BUSINESS_LINE: ["Building"]}
+        ),
         # KPIs
         "total_equipment": _on_equipment([SERIAL], kpis.total_equipment),
         "total_equipment_filtered": _on_equipment(
@@ -357,12 +436,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "activation_export": _activation_export,
         "activation_export_this_month": _export_this_month,
+        # the same reports from a stored cube of counts
+        "cube_kpi_panel": _from_cube(kpis.kpi_panel, ASIA_BUILDING),
+        "cube_service_distribution": _from_cube(
+            rollups.service_distribution, labels=retail.RETAIL_REGION_LABELS
+        ),
+        "cube_adherence_by_business_line": _from_cube(rollups.adherence_by_business_line, targets=True),
+        "cube_adherence_by_system": _from_cube(rollups.adherence_by_system, targets=True),
+        "cube_not_connected_by_system": _from_cube(rollups.not_connected_by_system),
+        "cube_top_region_by_ready_rate": _from_cube(rollups.top_regions_by_ready_rate),
+        "cube_problem_share_by_business_line": _from_cube(rollups.problem_share_by_business_line),
+        "cube_metric_by_city": _from_cube(metric_by, "problemas SRS", "cidade"),
         # SQL
         "sql_where_count": _sql_where_count,
         "sql_guarded": _sql_guarded,
         "sql_records_json": _sql_records_json,
         "sql_capped": _sql_capped,
         "sql_whole": _sql_whole,
+        "sql_ranked_window": _sql_query(BEST_LINES_SQL),
+        "sql_set_operation": _sql_query(SET_OPERATION_SQL),
     } | TEXT_QUERIES
 
 
@@ -566,6 +658,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT strftime(current_date, '%Y%m') AS report_month, COUNT(*) AS n
             FROM ({_action_oracle("level_of_connection = 'CONNECTED BUT NOT SRS READY'")})
         """,
+        "scan_quarantine": """
+            SELECT CASE WHEN m NOT IN (3, 5, 7) THEN k END AS material_id,
+                   CASE WHEN m NOT IN (3, 5, 7) THEN target_srs_ready END AS target_srs_ready,
+                   CASE m WHEN 3 THEN k || ',high' WHEN 5 THEN k || ',0.5,0.5' WHEN 7 THEN k END
+                       AS record
+            FROM (SELECT CAST(material_id AS VARCHAR) AS k, material_id % 10 AS m, target_srs_ready
+                  FROM targets)
+        """,
+        "filtered_fleet_long_list": "SELECT * FROM equipment"
+        " WHERE city IN ('NATION_2', 'NATION_12', 'NATION_7') AND business_line = 'BUILDING'",
+        "sql_ranked_window": BEST_LINES_SQL.replace("df_merged", "fleet"),
+        "sql_set_operation": SET_OPERATION_SQL.replace("df_merged", "fleet"),
         "sql_capped": f"{_PER_SYSTEM} LIMIT 20",
         "sql_whole": _PER_SYSTEM,
         "filtered_fleet": f"SELECT * FROM equipment WHERE {_ASIA_BUILDING}",
@@ -685,4 +789,8 @@ def oracle_sql() -> dict[str, str]:
             FROM ({_gate_oracle()})
         """,
     }
+    # other routes to the same rows
+    same = {name: name.removeprefix("cube_") for name in queries() if name.startswith("cube_")}
+    same |= {"cube_kpi_panel": "kpi_panel_filtered", "fleet_fan_out_split": "fleet_fan_out"}
+    bodies |= {name: bodies[other] for name, other in same.items()}
     return {name: f"{_EQUIPMENT_CTE}{body.strip()}" for name, body in bodies.items()} | TEXT_ORACLES

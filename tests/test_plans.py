@@ -142,7 +142,7 @@ def test_registered_plans_stay_in_the_engine(spark, name):
 
 
 def test_a_hot_key_in_a_shuffle_join_is_split(spark, tmp_path):
-    """Beyond the split route (repeated materials) AQE splits the hot partition."""
+    """Beyond the salts (repeated materials) AQE splits the hot partition."""
     path = str(tmp_path / "skewed")
     spark.range(0, 300_000, 1, 8).selectExpr(
         "cast(id AS string) AS equipment_serial_number",
@@ -162,8 +162,9 @@ def test_a_hot_key_in_a_shuffle_join_is_split(spark, tmp_path):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
+        # with a share of 1 no id is dealt over salts
         fleet = enrich(equipment, targets.union(targets), on_duplicate="fan_out",
-                       broadcast_limit_bytes=0)
+                       broadcast_limit_bytes=0, hot_share=1)
         assert fleet.count() == 300_000 + 100_000
         per_system = fleet.groupBy("system_id").count()
         rows = dict(per_system.collect())
