@@ -8,11 +8,16 @@ corpus; the items themselves are never gathered.
 The search is branch-and-bound. The largest open item must go somewhere, so each node
 completes a sequence around it. The fillings tried are those of least waste that no other
 filling dominates (none that a larger single item in place of one or two of theirs would
-fill as well or better), and each is used as often as the counts allow. A branch is cut
+fill as well or better). A branch is cut
 when its waste so far exceeds what a better packing than the incumbent may waste in all.
-The first incumbent packs best-fit: into each sequence the largest item that fits. The
-search ends at a packing that meets the lower bound, which nothing can beat, or after
-``effort`` nodes with the best packing found.
+How often a filling is used is a branch too: as often as the counts allow, half as often,
+and so on down to once. The first incumbent packs best-fit: into each sequence the largest
+item that fits. Where it misses the simple bounds, the fractional packing (column
+generation over fillings) gives a sharper bound, and its whole parts, with the rest packed
+by bin completion, another incumbent. The search ends at a packing that meets the bound,
+which nothing can beat, or with the best packing that its effort finds; the effort grows
+with the number of lengths. ``gap`` tells the sequences beyond the proved bound. A node
+holds no more than its filling, so the search needs little memory at any depth.
 
 Placing the items is relational: each gets its rank among those of its length, and the
 plan says which ranks go to which sequence and offset. Ranks are counted within salted
@@ -30,6 +35,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,7 +47,14 @@ from readyscope.llm.common import stored, whole
 
 CAPACITY = 2048
 END_ID = 0
-EFFORT = 4000
+# Of a search: nodes for each length, and fillings that the fractional packing may try for
+# each length, as long as these stay below so many cells of the knapsack
+NODES_PER_LENGTH = 2
+ROUNDS_PER_LENGTH = 8
+KNAPSACK_CELLS = 1_500_000_000
+# Closer to the bound than this share, the search alone tries to better a packing
+NARROW = 0.002
+_KEPT_CHOICES = 16  # nodes whose choices are not made anew on the way back
 REMEMBERED_CHUNKS = 300_000
 LONGEST_CHUNK = 256
 
@@ -194,6 +207,99 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def share_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences by rounded shares: for each k, an item counts k-ths of a sequence, as many
+    as (k + 1)-ths it fills, or its exact size where those come out even."""
+    best = 0
+    for k in range(1, 101):
+        total = 0  # in units of 1 / (k * capacity)
+        for length, n in counts.items():
+            whole_parts, rest = divmod((k + 1) * length, capacity)
+            total += n * (whole_parts * capacity if rest else k * length)
+        best = max(best, -(-total // (k * capacity)))
+    return best
+
+
+def _fullest(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room, the greatest value of a filling with any number of copies, and the
+    place of a length in it (-1: the same as with one token less)."""
+    best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    # lengths ascend, so those that fit are the first ones
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fits[room]
+        reached = best[room - lengths[:n]] + values[:n]
+        at = reached.argmax()
+        if reached[at] > best[room - 1]:
+            best[room], chosen[room] = reached[at], at
+        else:
+            best[room] = best[room - 1]
+    return best, chosen
+
+
+def _filling(chosen: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each length in the fullest filling."""
+    copies, room = np.zeros(len(lengths)), capacity
+    while room > 0:
+        if chosen[room] < 0:
+            room -= 1
+        else:
+            copies[chosen[room]] += 1
+            room -= int(lengths[chosen[room]])
+    return copies
+
+
+def slope_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences by worths that rise with a slope around 1 / (k + 1) and end at 1 / k.
+
+    Whatever items are worth, a packing needs their worth by that of the fullest filling.
+    """
+    lengths = np.array(sorted(counts))
+    wanted = np.array([counts[x] for x in lengths.tolist()], np.float64)
+    best = 0
+    for k in (1, 2, 3, 4, 5):
+        for slope in (1, 1.25, 1.5, 2, 3, 5, 9):
+            worth = np.clip(1 / (k + 1) + slope * (lengths / capacity - 1 / (k + 1)), 0, 1 / k)
+            worth = np.where(lengths * 2 > capacity, np.maximum(worth, 1 - worth.max()), worth)
+            most = _fullest(worth, lengths, capacity)[0][capacity]
+            if most > 0:
+                best = max(best, math.ceil(float(wanted @ worth) / most * (1 - 1e-9) - 1e-6))
+    return best
+
+
+def fractional(counts: dict[int, int], capacity: int) -> tuple[int, list[tuple[np.ndarray, float]]]:
+    """A proved bound and the fillings (copies of each length, ascending) of a packing that
+    may use fillings in part, with how often each is used: column generation."""
+    lengths = np.array(sorted(counts))
+    wanted = np.array([counts[x] for x in lengths.tolist()], np.float64)
+    n = len(lengths)
+    copies = np.maximum(1, capacity // lengths)
+    fillings = [np.eye(n)[i] * copies[i] for i in range(n)]
+    used, inverse = wanted / copies, np.diag(1.0 / copies)
+    bound = 0
+    for _ in range(min(ROUNDS_PER_LENGTH * n, KNAPSACK_CELLS // (capacity * n))):
+        worth = inverse.sum(axis=0)  # of an item of each length
+        best, chosen = _fullest(worth, lengths, capacity)
+        # no filling is worth more than the fullest, so every packing needs this many
+        bound = max(bound, math.ceil(used.sum() / max(1.0, best[capacity]) - 1e-6))
+        if best[capacity] <= 1 + 1e-9 or bound >= math.ceil(used.sum() - 1e-6):
+            break
+        filling = _filling(chosen, lengths, capacity)
+        change = inverse @ filling
+        growing = change > 1e-12
+        ratios = np.where(growing, used / np.where(growing, change, 1.0), np.inf)
+        out = int(ratios.argmin())
+        step = ratios[out]
+        used = np.maximum(used - step * change, 0.0)
+        used[out] = step
+        row = inverse[out] / change[out]
+        change[out] = 0.0
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        fillings[out] = filling
+    return bound, list(zip(fillings, used.tolist(), strict=True))
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Fill each sequence with the largest item that fits, again and again."""
     left, plan = dict(counts), []
@@ -208,9 +314,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def _use(left: dict[int, int], filling: Filling) -> tuple[Filling, int]:
-    """Take a filling as often as the counts allow."""
-    times = min(left[length] // n for length, n in filling)
+def _use(left: dict[int, int], filling: Filling, times: int | None = None) -> tuple[Filling, int]:
+    """Take a filling so many times, or as often as the counts allow."""
+    if times is None:
+        times = min(left[length] // n for length, n in filling)
     for length, n in filling:
         left[length] -= n * times
         if not left[length]:
@@ -287,36 +394,101 @@ def _dominated(chosen, available: list[int], rest: dict[int, int], waste: int) -
     return False
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> Plan:
-    """Fillings with their numbers of sequences, as few sequences as the search finds."""
-    counts = {length: n for length, n in counts.items() if n}
-    bound, volume = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    best = best_fit(counts, capacity)
-    fewest = sum(times for _, times in best)
-    # a node: open items, plan so far, its sequences and waste, fillings left to try
-    def node(left, plan, used, waste):
-        return left, plan, used, waste, completions(left, max(left), capacity)
-
-    stack = [node(counts, [], 0, 0)] if counts else []
-    while stack and fewest > bound and effort > 0:
-        left, plan, used, waste, choices = stack[-1]
-        choice = next(choices, None)
+def _choices(left: dict[int, int], capacity: int) -> Iterator[tuple[Filling, int, int]]:
+    """(filling, times, waste of each), least waste first, each from most to fewest times."""
+    for filling, waste in completions(left, max(left), capacity):
+        times = min(left[length] // n for length, n in filling)
+        while times:
+            yield filling, times, waste
+            times //= 2
+
+
+def search(counts: dict[int, int], capacity: int, fewest: int, bound: int, nodes: int) -> Plan | None:
+    """The best packing of fewer than ``fewest`` sequences that is found, if any.
+
+    Depth first. A node is what was chosen there and how many choices went before; open
+    items are put back on the way up. The choices of the last nodes are kept, those of
+    others made anew.
+    """
+    left, volume, found = dict(counts), sum(x * n for x, n in counts.items()), None
+    path: list[tuple[Filling, int, int]] = []  # filling, times, waste in all
+    tried, kept = [0], {0: _choices(left, capacity)}
+    used = waste = 0
+    while tried and fewest > bound and nodes > 0:
+        depth = len(tried) - 1
+        if depth not in kept:
+            kept[depth] = islice(_choices(left, capacity), tried[depth], None)
+            kept.pop(depth + _KEPT_CHOICES, None)
+        choice = next(kept[depth], None) if left else None
         allowed = (fewest - 1) * capacity - volume
-        if choice is None or waste + choice[1] > allowed:
-            stack.pop()  # further fillings waste at least as much
+        if choice is None or waste + choice[2] > allowed:
+            # further fillings waste at least as much
+            tried.pop()
+            kept.pop(depth, None)
+            if path:
+                filling, times, lost = path.pop()
+                used, waste = used - times, waste - lost
+                for length, n in filling:
+                    left[length] = left.get(length, 0) + n * times
             continue
-        effort -= 1
-        after = dict(left)
-        filling, times = _use(after, choice[0])
-        times_waste = waste + times * choice[1]
-        if times_waste > allowed:
+        tried[depth] += 1
+        filling, times, lost = choice
+        if waste + times * lost > allowed:
             continue
-        longer = [*plan, (filling, times)]
-        if after:
-            stack.append(node(after, longer, used + times, times_waste))
-        elif used + times < fewest:
-            best, fewest = longer, used + times
-    return best
+        nodes -= 1
+        _use(left, filling, times)
+        path.append((filling, times, times * lost))
+        used, waste = used + times, waste + times * lost
+        if not left and used < fewest:
+            found, fewest = [(f, t) for f, t, _ in path], used
+        tried.append(0)
+        if left:
+            kept[depth + 1] = _choices(left, capacity)
+            kept.pop(depth + 1 - _KEPT_CHOICES, None)
+    return found
+
+
+def _rounded(counts: dict[int, int], parts: list[tuple[np.ndarray, float]], capacity: int, nodes: int) -> Plan:
+    """The whole parts of a fractional packing, and bin completion for the rest."""
+    lengths, left, plan = sorted(counts), dict(counts), []
+    for copies, used in sorted(parts, key=lambda p: -p[1]):
+        filling = tuple((lengths[i], int(copies[i])) for i in np.flatnonzero(copies)[::-1])
+        times = min([int(used + 1e-6), *[left.get(x, 0) // n for x, n in filling]])
+        if times:
+            plan.append(_use(left, filling, times))
+    if not left:
+        return plan
+    rest = best_fit(left, capacity)
+    fewest = sum(t for _, t in rest)
+    bound = max(lower_bound(left, capacity), share_bound(left, capacity))
+    return plan + (search(left, capacity, fewest, bound, nodes) or rest)
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, effort: int | None = None) -> tuple[Plan, int]:
+    """Fillings with their numbers of sequences, and sequences that no packing can do without."""
+    counts = {length: n for length, n in counts.items() if n}
+    bound = max(lower_bound(counts, capacity), share_bound(counts, capacity))
+    nodes = NODES_PER_LENGTH * len(counts) if effort is None else effort
+    best = best_fit(counts, capacity)
+    fewest = sum(times for _, times in best)
+    if fewest > bound * (1 + NARROW):
+        sharper, parts = fractional(counts, capacity)
+        bound = max(bound, sharper, slope_bound(counts, capacity))
+        other = _rounded(counts, parts, capacity, nodes)
+        if sum(times for _, times in other) < fewest:
+            best, fewest = other, sum(times for _, times in other)
+    return search(counts, capacity, fewest, bound, nodes) or best, bound
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, effort: int | None = None) -> Plan:
+    """Fillings with their numbers of sequences, as few sequences as the search finds."""
+    return solve(counts, capacity, effort)[0]
+
+
+def gap(counts: dict[int, int], capacity: int = CAPACITY, effort: int | None = None) -> tuple[int, int]:
+    """(sequences of the packing, sequences that any packing needs)."""
+    plan, bound = solve(counts, capacity, effort)
+    return sum(times for _, times in plan), bound
 
 
 # --- placing the items --------------------------------------------------------------------
@@ -335,7 +507,7 @@ def _slots(plan: Plan) -> Iterator[tuple[int, int, int, int, int, int]]:
         sequence += times
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, effort: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of a stored table of
     pieces; ids too, if the table has them."""
     spark = pieces.sparkSession
@@ -387,7 +559,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, effort: int = EFFORT) -> D
 
 
 def pack_documents(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, effort: int = EFFORT, **options
+    docs: DataFrame, path: str, capacity: int = CAPACITY, effort: int | None = None, **options
 ) -> DataFrame:
     """Tokenise, cut and pack: a row per piece with its place."""
     pieces = stored(token_pieces(docs, path, capacity=capacity, **options), "packing-pieces")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,6 +87,43 @@ def test_large_plan_meets_the_bound():
     assert sequences_of(plan) <= packing.lower_bound(counts, 2048) + 2
 
 
+def test_bounds_are_proved():
+    """No bound exceeds what exhaustive search needs."""
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = rng.randint(8, 30)
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        counts, need = Counter(items), fewest(items, capacity)
+        for bound in (packing.share_bound, packing.slope_bound, lambda c, n: packing.fractional(c, n)[0]):
+            assert bound(counts, capacity) <= need
+        found, proved = packing.gap(counts, capacity)
+        assert proved <= need <= found
+
+
+@pytest.mark.parametrize("capacity, lengths", [
+    (2048, [341, 342, 512, 513, 683, 684, 1024, 1025]), (256, range(75, 113)), (300, [99, 100, 101, 149, 150, 151]),
+])
+def test_skewed_lengths_end_near_the_bound(capacity, lengths):
+    """Where best-fit is 3 to 6 % off, the packing is within one."""
+    rng = random.Random(1)
+    counts = Counter(rng.choices(list(lengths), k=5000))
+    plan, bound = packing.solve(counts, capacity)
+    check_plan(plan, counts, capacity)
+    assert bound <= sequences_of(plan) <= 1.01 * bound
+    assert sequences_of(packing.best_fit(counts, capacity)) > 1.02 * bound
+
+
+def test_a_deep_search_needs_little_memory():
+    rng = random.Random(2)
+    counts = Counter(rng.randint(300, 1100) for _ in range(4000))
+    need = packing.lower_bound(counts, 2048)
+    tracemalloc.start()
+    packing.search(counts, 2048, sequences_of(packing.best_fit(counts, 2048)), need, 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
 def test_dominated_fillings_are_left_out():
     found = [f for f, _ in packing.completions({6: 1, 4: 1, 3: 1, 1: 1}, 6, 10)]
     assert found[0] == ((6, 1), (4, 1))
