@@ -2,24 +2,27 @@
 
 A phrase is a run of 1 to ``max_words`` words within a piece of a text. No phrase is more
 frequent than the phrases it is made of, so a phrase of n words can only be frequent if
-its first and its last n - 1 words are. A sample of the documents is mined level by level
-with a lowered threshold. What it finds frequent is proposed; its negative border are the
-phrases that are not proposed, but whose first and last n - 1 words are, and every single
-word. One full pass counts exactly the proposed phrases and the border as they occur. If
-no phrase of the border turns out frequent, every frequent phrase has been counted. If
-some do, they join the proposed ones, and a further pass counts what that lets in and
-has not been counted yet, until no more phrase fails. Each pass can only fail on longer
-phrases than the one before, so there are at most ``max_words`` passes.
-
-Proposed phrases reach the workers as a bitmap over their hashes, of ``BITMAP_BITS`` bits
-however many they are. Two phrases may share a bit: then a few more phrases are counted
-than need be, by every task alike, and their exact counts are dropped for being low. No
-result depends on the sample or the hashes. Within a slice of text phrases are numbered
-by (number of all words but the last, number of the last word), which is exact too.
-
-Counts of slices are summed by Spark, phrase by phrase. Everything after that works on
-the frequent phrases: the parts of a phrase are looked up with ``attach``, since
-one word may be part of a large share of all phrases.
+its first and its last n - 1 words are. A sample of blocks of text, from every document,
+is mined level by level with a lowered threshold. What it finds frequent is proposed; its
+negative border are the phrases that are not proposed, but whose first and last n - 1 words
+are, and every single word. One full pass counts the proposed phrases and the border as
+they occur. If no phrase of the border turns out frequent, every frequent phrase has been
+counted. If some do, they join the proposed ones, and a further pass counts what that lets
+in and has not been counted yet, until no more phrase fails. Each pass can only fail on
+longer phrases than the one before, so there are at most ``max_words`` passes.
+
+These passes count by 64-bit hash, which is a third of the phrases' bytes. Two phrases of
+one hash can only make a count too high, never too low, so what is frequent is among the
+frequent hashes. A last pass counts just those by their words, exactly.
+
+Sets of hashes reach the workers as a bitmap of ``BITMAP_BITS`` bits however many they
+are. Two phrases may share a bit: then a few more phrases are counted than need be, by
+every task alike, and their exact counts are dropped for being low. No result depends on
+the sample or the hashes.
+
+Counts of slices are summed by Spark. Everything after that works on the frequent phrases:
+the parts of a phrase are looked up with ``attach``, since one word may be part of a
+large share of all phrases.
 
 Defined results: a null text is empty; a null language is ``und``; words and pieces are
 divided at the characters of the contract only; repeated rows count as often as they
@@ -28,6 +31,7 @@ occur; extra columns are not read; without a frequent phrase there are no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +48,11 @@ MIN_COUNT = 100
 TOP = 2000
 SHARE = 100  # a phrase goes if a longer one has this many hundredths of its count
 UNKNOWN_LANG = "und"
-# One document in this many is in the sample; a phrase is proposed from this part of its
-# expected count there
+# One block of text in this many is in the sample, and blocks have about so many bytes; a
+# phrase is proposed from this part of its expected count there
 SAMPLE_EVERY = 8
-CAUTION = 0.5
+BLOCK = 400
+CAUTION = 0.4
 BITMAP_BITS = 1 << 26
 SLICE = 3_000_000  # bytes of text that are worked on at a time
 
@@ -56,8 +61,10 @@ _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)
 )
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-# from a slice to Spark: the null phrase holds the number of all words
-COUNTED = "lang string, n_words int, phrase string, hash long, n long"
+# The lowest bits of a hash hold the number of words
+_LEVEL_BITS = 3
+# From a slice to Spark; in the exact counts, the null phrase holds the number of all words
+HASHED, EXACT = "hash long, n long", "lang string, n_words int, phrase string, n long"
 
 
 class _Numbers(dict):
@@ -82,14 +89,15 @@ class Bitmap:
         return Bitmap(self.words | other.words)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes & np.uint64(64 * len(self.words) - 1)
+        bit = hashes >> np.uint64(_LEVEL_BITS) & np.uint64(64 * len(self.words) - 1)
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def bitmap_of(hashes: DataFrame) -> Bitmap:
     """Of the column ``hash``. At most ``BITMAP_BITS`` / 64 rows come to the driver."""
-    bit = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    word, flag = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(hash & 63L as int))")
+    bit = F.shiftrightunsigned("hash", _LEVEL_BITS).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    hashes = hashes.select(bit.alias("bit"))
+    word, flag = F.shiftright("bit", 6), F.expr("shiftleft(1L, cast(bit & 63L as int))")
     rows = hashes.groupBy(word.alias("word")).agg(F.bit_or(flag).alias("bits")).toPandas()
     found = Bitmap.empty()
     found.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
@@ -97,10 +105,14 @@ def bitmap_of(hashes: DataFrame) -> Bitmap:
 
 
 @np.errstate(over="ignore")
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _mixed(a: np.ndarray, b: np.ndarray, n_words: int) -> np.ndarray:
     x = (a ^ (a >> np.uint64(31))) * _MIX + b
     x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
+    return _marked(x ^ (x >> np.uint64(32)), n_words)
+
+
+def _marked(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    return hashes & ~np.uint64((1 << _LEVEL_BITS) - 1) | np.uint64(n_words)
 
 
 def word_lists(texts: list[bytes], max_words: int, size: int = SLICE) -> Iterator[tuple[list[bytes], int]]:
@@ -130,73 +142,101 @@ def word_lists(texts: list[bytes], max_words: int, size: int = SLICE) -> Iterato
         yield b" \xff ".join(held).split(), 0
 
 
-def phrase_counts(
-    words: list[bytes], carried: int, lang: str, max_words: int, proposed: Bitmap, before: Bitmap | None = None,
-    levels: tuple[int, ...] | None = None, counted: bool = True,
-) -> Iterator[tuple[int, list[bytes] | None, np.ndarray, np.ndarray]]:
-    """(words in a phrase, phrases, hashes, counts) of a list of words.
+class Words:
+    """A list of words and marks as numbers, with the hash of each place's word."""
 
-    Counted are the phrases whose first and last words but one are proposed, without those
-    for which that was so ``before``. With ``counted`` false the phrases are left out.
-    """
-    numbers = _Numbers()
-    numbers[_MARK] = 0
-    at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    vocabulary = list(numbers)
-    seed = xxhash.xxh64_intdigest(lang)
-    own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
-    place = np.flatnonzero(at > 0)  # where phrases of the level begin
-    numbered = np.where(at > 0, at, -1)  # the number of the phrase that begins there
-    code, hashes = at[place], own
-    # of every phrase: whether an earlier pass has counted it
-    done = np.full(len(vocabulary), before is not None)
+    def __init__(self, words: list[bytes], lang: str):
+        numbers = _Numbers()
+        numbers[_MARK] = 0
+        self.words = words
+        self.at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        seed = xxhash.xxh64_intdigest(lang)
+        own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
+        self.hashes = _marked(own, 1)[self.at]
+
+
+def phrases_in(
+    words: Words, max_words: int, proposed: Bitmap, before: Bitmap | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of words, places, hashes) of the phrases whose first and last words but one
+    are proposed, without those for which that was so ``before``, all words included."""
+    hashes = words.hashes
+    place = np.flatnonzero(words.at > 0)
+    seen = np.full(len(place), before is not None)
     for n in range(1, max_words + 1):
         if n > 1:
-            follows = place[numbered[np.minimum(place + 1, len(at) - 1)] >= 0]
-            follows = follows[follows + n <= len(at)]
-            first, last = numbered[follows], numbered[follows + 1]
-            chosen = ready[first] & ready[last]
-            place, first, last = follows[chosen], first[chosen], last[chosen]
-            code, keys = pd.factorize(first << 32 | at[place + n - 1])
-            seen = was_ready[first] & was_ready[last]
-            done = np.zeros(len(keys), bool)
-            done[code] = seen
-            numbered = np.full(len(at), -1, np.int64)
-            numbered[place] = code
-            hashes = _mixed(hashes[keys >> 32], own[keys & 0xFFFFFFFF])
+            starts = ready[:-1] & ready[1:]
+            place = np.flatnonzero(starts[: max(0, len(words.at) - n + 1)])
+            if before is not None:
+                seen = was_ready[place] & was_ready[place + 1]
+            else:
+                seen = np.zeros(len(place), bool)
+            longer = np.zeros_like(hashes)
+            longer[place] = _mixed(hashes[place], words.hashes[place + n - 1], n)
+            hashes = longer
         if not len(place):
             return
-        # whether longer phrases may be made of it, now and in the pass before
-        ready = proposed.has(hashes)
-        was_ready = done & before.has(hashes) if before is not None else done
-        if levels is None or n in levels:
-            fresh = (place + n > carried) & ~done[code]
-            counts = np.bincount(code[fresh], minlength=len(hashes))
-            some = np.flatnonzero(counts)
-            begins = np.zeros(len(hashes), np.int64)
-            begins[code[::-1]] = place[::-1]
-            texts = [b" ".join(words[b : b + n]) for b in begins[some].tolist()] if counted else None
-            yield n, texts, hashes[some], counts[some]
-
-
-def count_phrases(
+        own = hashes[place]
+        yield n, place[~seen], own[~seen]
+        # whether longer phrases may be made of it, now and in the passes before
+        ready = np.zeros(len(words.at), bool)
+        ready[place] = proposed.has(own)
+        if before is not None:
+            was_ready = np.zeros(len(words.at), bool)
+            was_ready[place[seen]] = before.has(own[seen])
+
+
+def count_hashes(
     docs: DataFrame, max_words: int, proposed: Bitmap, before: Bitmap | None = None,
-    levels: tuple[int, ...] | None = None, counted: bool = True, size: int = SLICE,
+    levels: tuple[int, ...] | None = None, size: int = SLICE,
 ) -> DataFrame:
-    """``COUNTED`` rows of (lang, text as bytes), not yet summed over slices."""
+    """``HASHED`` rows of (lang, text as bytes), not yet summed over slices."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches, size):
+            for words, carried in word_lists(texts, max_words, size):
+                for n, place, hashes in phrases_in(Words(words, lang), max_words, proposed, before):
+                    if levels is None or n in levels:
+                        code, keys = pd.factorize(hashes[place + n > carried])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys.view(np.int64)), pa.array(np.bincount(code, minlength=len(keys)))],
+                            ["hash", "n"],
+                        )
+
+    return docs.mapInArrow(read, HASHED)
+
+
+def exact_counts(
+    words: list[bytes], carried: int, lang: str, max_words: int, wanted: Bitmap
+) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(number of words, phrases, counts) of the phrases that are wanted with all their parts."""
+    own = Words(words, lang)
+    for n, place, hashes in phrases_in(own, max_words, wanted):
+        counted = (place + n > carried) & wanted.has(hashes)
+        place = place[counted]
+        code, keys = pd.factorize(hashes[counted])
+        begins = np.zeros(len(keys), np.int64)
+        begins[code[::-1]] = place[::-1]
+        if any(np.any(own.at[place + k] != own.at[begins[code] + k]) for k in range(n)):
+            # two phrases of one hash in a slice: by their words instead
+            found = Counter(b" ".join(words[p : p + n]) for p in place.tolist())
+            yield n, list(found), np.array(list(found.values()))
+        else:
+            yield n, [b" ".join(words[b : b + n]) for b in begins.tolist()], np.bincount(code, minlength=len(keys))
+
+
+def count_phrases(docs: DataFrame, max_words: int, wanted: Bitmap, size: int = SLICE) -> DataFrame:
+    """``EXACT`` rows of (lang, text as bytes), not yet summed over slices."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches, size):
             for words, carried in word_lists(texts, max_words, size):
-                if before is None and counted:
-                    total = len(words) - carried - words[carried:].count(_MARK)
-                    yield _rows(lang, 0, [None], np.zeros(1, np.uint64), np.array([total]))
-                for n, found, hashes, counts in phrase_counts(
-                    words, carried, lang, max_words, proposed, before, levels, counted
-                ):
-                    yield _rows(lang, n, found, hashes, counts)
+                total = len(words) - carried - words[carried:].count(_MARK)
+                yield _rows(lang, 0, [None], np.array([total]))
+                for n, found, counts in exact_counts(words, carried, lang, max_words, wanted):
+                    yield _rows(lang, n, found, counts)
 
-    return docs.mapInArrow(read, COUNTED)
+    return docs.mapInArrow(read, EXACT)
 
 
 def _by_lang(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -215,27 +255,46 @@ def _by_lang(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str
     yield from held.items()
 
 
-def _rows(lang: str, n: int, phrases: list[bytes] | None, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: str, n: int, phrases: list[bytes | None], counts: np.ndarray) -> pa.RecordBatch:
     k = len(counts)
-    texts = pa.nulls(k, pa.string()) if phrases is None else pa.array(phrases, pa.binary()).view(pa.string())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([lang] * k, pa.string()), pa.array(np.full(k, n, np.int32)), texts,
-            pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64)),
+            pa.array([lang] * k, pa.string()), pa.array(np.full(k, n, np.int32)),
+            pa.array(phrases, pa.binary()).view(pa.string()), pa.array(counts.astype(np.int64)),
         ],
-        ["lang", "n_words", "phrase", "hash", "n"],
+        ["lang", "n_words", "phrase", "n"],
     )
 
 
+def sample_blocks(docs: DataFrame, every: int, block: int = BLOCK) -> DataFrame:
+    """(lang, text) of blocks of text, cut at blanks: one in ``every``, chosen by their own
+    bytes, document and place, so that no document or group of copies is in it as a whole."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, chosen = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "doc_key")), strict=True)
+            for lang, text, key in rows:
+                at = 0
+                while at < len(text):
+                    end = text.find(b" ", at + block) + 1 or len(text)
+                    if xxhash.xxh64_intdigest(text[at:end], (key + at) % (1 << 64)) % every == 0:
+                        langs.append(lang)
+                        chosen.append(text[at:end])
+                    at = end
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chosen, pa.binary())], ["lang", "text"])
+
+    return docs.mapInArrow(read, "lang string, text binary")
+
+
 def propose(docs: DataFrame, max_words: int, min_count: int, every: int = SAMPLE_EVERY) -> Bitmap:
     """Mine a sample level by level: what is frequent there at the lowered threshold."""
-    chosen = docs.where(F.pmod(F.xxhash64("doc_key", "text"), F.lit(every)) == 0)
-    sample = stored(chosen, "phrases-sample")
+    sample = stored(sample_blocks(docs, every), "phrases-sample")
     least = max(2, int(CAUTION * min_count / every))
     found = Bitmap.empty()
     # phrases of the full length are part of no other
     for n in range(1, max_words):
-        counts = count_phrases(sample, max_words=n, proposed=found, levels=(n,), counted=False)
+        counts = count_hashes(sample, n, found, levels=(n,))
         frequent = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         found = found | bitmap_of(frequent)
     return found
@@ -246,28 +305,30 @@ def frequent_phrases(
     max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, every: int = SAMPLE_EVERY,
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, n) of every phrase that is frequent, and (lang, words)."""
+    if not 1 <= max_words < 1 << _LEVEL_BITS:
+        raise ValueError(f"phrases have from 1 to {(1 << _LEVEL_BITS) - 1} words")
     rows = lean(docs).select(
-        F.col(doc_id).alias("doc_key"), F.coalesce(F.col(lang), F.lit(UNKNOWN_LANG)).alias("lang"),
+        F.coalesce(F.col(lang), F.lit(UNKNOWN_LANG)).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        F.xxhash64(F.col(doc_id)).alias("doc_key"),
     )
-    proposed, before, passes = propose(rows, max_words, min_count, every), None, []
-    words = None
+    proposed, before = propose(rows, max_words, min_count, every), None
+    texts, frequent = rows.drop("doc_key"), Bitmap.empty()
+    level = F.col("hash").bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
     for turn in range(max_words):
-        counts = count_phrases(rows, max_words, proposed, before)
-        sums = counts.groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n"), F.max("hash").alias("hash"))
-        sums = stored(sums.where((F.col("n") >= min_count) | (F.col("n_words") == 0)), f"phrases-pass-{turn}")
-        if words is None:
-            words = sums.where("n_words = 0").select("lang", F.col("n").alias("words"))
-        passes.append(sums.where("n_words > 0"))
+        sums = count_hashes(texts, max_words, proposed, before).groupBy("hash").agg(F.sum("n").alias("n"))
+        found = stored(sums.where(F.col("n") >= min_count).select("hash"), f"phrases-pass-{turn}")
+        frequent = frequent | bitmap_of(found)
         # frequent, but not proposed: what is made of them has not been counted
-        found = bitmap_of(passes[-1].where(F.col("n_words") < max_words).select("hash"))
-        if not np.any(found.words & ~proposed.words):
+        parts = bitmap_of(found.where(level < max_words))
+        if not np.any(parts.words & ~proposed.words):
             break
-        before, proposed = proposed, proposed | found
-    every_pass = passes[0]
-    for one in passes[1:]:
-        every_pass = every_pass.unionByName(one)
-    return every_pass.drop("hash"), words
+        before, proposed = proposed, proposed | parts
+    counts = count_phrases(texts, max_words, frequent)
+    counts = counts.groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where((F.col("n") >= min_count) | (F.col("n_words") == 0)), "phrases-counts")
+    words = counts.where("n_words = 0").select("lang", F.col("n").alias("words"))
+    return counts.where("n_words > 0"), words
 
 
 def _part(first: str, last: str):

@@ -43,6 +43,14 @@ def plain_collocations(docs, min_count, top=2000, max_words=5):
     return sorted(found)
 
 
+def plain_counts(texts):
+    wanted = Counter()
+    for text in texts:
+        for piece in plain_lists(text.decode()):
+            wanted.update(" ".join(piece[i : i + n]) for n in range(1, 6) for i in range(len(piece) - n + 1))
+    return wanted
+
+
 def corpus(rng, n, words=12):
     known = [f"w{i}" for i in range(words)] + ["É", "B", "日本"]
     weights = [1 / (i + 1) for i in range(len(known))]
@@ -71,14 +79,27 @@ def test_equals_counting_everything(spark, min_count, every):
 def test_border_failures_are_made_good(spark, monkeypatch):
     """Nothing is proposed at all: each pass finds phrases one word longer, until closed."""
     passes = []
-    whole = phrases.count_phrases
+    whole = phrases.count_hashes
     monkeypatch.setattr(phrases, "propose", lambda *a, **k: phrases.Bitmap.empty())
-    monkeypatch.setattr(phrases, "count_phrases", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    monkeypatch.setattr(phrases, "count_hashes", lambda *a, **k: passes.append(1) or whole(*a, **k))
     docs = corpus(random.Random(7), 80) + [(900 + i, "one two three four five six", "en") for i in range(30)]
     assert mined(spark, docs, min_count=25) == plain_collocations(docs, 25)
     assert len(passes) == 5
 
 
+def test_hashes_that_meet_change_nothing(spark, monkeypatch):
+    """Hashes of a few bits: many phrases share one, in a slice and beyond it."""
+    monkeypatch.setattr(phrases, "_marked", lambda h, n: h & np.uint64(0x1F8) | np.uint64(n))
+    docs = corpus(random.Random(9), 60)
+    texts = [t.encode() for _, t, _ in docs]
+    every = phrases.Bitmap(np.full(phrases.BITMAP_BITS // 64, 2**64 - 1, np.uint64))
+    found = Counter()
+    for words, carried in phrases.word_lists(texts, 5):
+        for _, some, counts in phrases.exact_counts(words, carried, "en", 5, every):
+            found.update(dict(zip([s.decode() for s in some], counts.tolist(), strict=True)))
+    assert found == plain_counts(texts)
+
+
 def test_a_crowded_bitmap_changes_nothing(spark, monkeypatch):
     """Far more phrases than bits: everything is counted, results stay."""
     monkeypatch.setattr(phrases, "BITMAP_BITS", 64)
@@ -95,12 +116,9 @@ def test_slices_lose_no_phrase(size):
     found, total = Counter(), 0
     for words, carried in phrases.word_lists(texts, 5, size):
         total += sum(w != b"\xff" for w in words[carried:])
-        for _, some, _, counts in phrases.phrase_counts(words, carried, "en", 5, every):
+        for _, some, counts in phrases.exact_counts(words, carried, "en", 5, every):
             found.update(dict(zip([s.decode() for s in some], counts.tolist(), strict=True)))
-    wanted = Counter()
-    for text in texts:
-        for piece in plain_lists(text.decode()):
-            wanted.update(" ".join(piece[i : i + n]) for n in range(1, 6) for i in range(len(piece) - n + 1))
+    wanted = plain_counts(texts)
     assert found == wanted and total == sum(n for p, n in wanted.items() if " " not in p)
 
 
