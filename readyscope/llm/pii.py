@@ -49,19 +49,23 @@ KINDS = ["email", "ip", "card", "phone", "contact", "number"]
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# the leftmost match begins where a run of digits does, so no other place is tried
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 # An "@" within a word, or spelled out, in brackets or not, with a point or a "dot" after
-_AT = re.compile(
-    r"\S*[^\s@]@[^\s@]\S*"
-    r"|\b\w+\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?\w+\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w+"
+_WORD = re.compile(r"\S+")
+_AT = re.compile(r"[^\s@]@[^\s@]")
+_SPELLED = re.compile(
+    r"\b\w++\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?\w++\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w++"
 )
+# No known kind of number has fewer digits, or more
+FEWEST_DIGITS, MOST_DIGITS = 6, 19
 _NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[\x20().:/-]{0,2}[0-9])+")
 _CONTEXT = re.compile(r"\w+")
-# Fixed value: words that announce personal data
+# A feature: whether one of these words stands just before
 _ANNOUNCING = frozenset(
     "phone tel telephone mobile cell fax call text whatsapp contact email mail write reach"
     " ssn social passport iban account card visa mastercard ip address host dob born".split()
@@ -118,26 +122,57 @@ def base_spans(text: str) -> list[S.Span]:
 
 
 def candidates(text: str) -> Iterator[S.Span]:
-    """Spans that may be personal data, overlapping ones among them."""
-    if "@" in text or " at " in text or "(at)" in text or "[at]" in text:
-        for found in _AT.finditer(text):
-            start, end = found.span()
-            while end > start and text[end - 1] in ".,;:!?)]}>\"'":
-                end -= 1
-            if start < end:
-                yield "contact", start, end
-    for found in _NUMBERS.finditer(text):
-        start, end = found.span()
-        proposals = {(start, end)}
+    """Spans that may be personal data, overlapping ones among them.
+
+    Their number and length grow with the text, whatever it holds: a run of numbers of any
+    length has a bounded number of proposals for each of its groups.
+    """
+    found = []
+    if "@" in text:
+        found += [m.span() for m in _WORD.finditer(text) if "@" in m[0] and _AT.search(m[0])]
+    if " at " in text or "(at)" in text or "[at]" in text:
+        found += [m.span() for m in _SPELLED.finditer(text)]
+    for start, end in sorted(found):
+        while end > start and text[end - 1] in ".,;:!?)]}>\"'":
+            end -= 1
+        if start < end:
+            yield "contact", start, end
+    for match in _NUMBERS.finditer(text):
+        for a, b in _proposals(text, *match.span()):
+            yield "number", a, b
+
+
+def _proposals(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run of digit groups, divided at blanks.
+
+    Of a run that may be one number: all of it, without its sign, and what is before or
+    after each blank. Of a longer one: from each group on, the fewest groups that have
+    enough digits and the most that do not have too many; a group with more stands alone.
+    """
+    groups = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\x20]+", text[start:end])]
+    digits = [sum(c in string.digits for c in text[a:b]) for a, b in groups]
+    if sum(digits) <= MOST_DIGITS:
         first = start
         while text[first] not in string.digits + "(":
             first += 1
-        proposals.add((first, end))  # without the sign
-        for cut in re.finditer(r"\x20", found[0]):
-            proposals |= {(start, start + cut.start()), (start + cut.end(), end)}
-        for a, b in sorted(proposals):
-            if sum(c in string.digits for c in text[a:b]) >= 6:
-                yield "number", a, b
+        chosen = {(start, end), (first, end)}
+        chosen |= {(start, b) for _, b in groups} | {(a, end) for a, _ in groups}
+        total = {s: sum(c in string.digits for c in text[s[0] : s[1]]) for s in chosen}
+        yield from sorted(s for s, n in total.items() if n >= FEWEST_DIGITS)
+        return
+    for i, (a, b) in enumerate(groups):
+        held, last, short = 0, i, None
+        while last < len(groups) and held + digits[last] <= MOST_DIGITS:
+            held += digits[last]
+            if short is None and held >= FEWEST_DIGITS:
+                short = groups[last][1]
+            last += 1
+        if last == i:
+            yield a, b
+        elif short is not None:
+            yield a, short
+            if groups[last - 1][1] != short:
+                yield a, groups[last - 1][1]
 
 
 FEATURES = [

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -263,3 +264,31 @@ def test_trees_find_formats_beside_the_known_ones(spark):
     added = sum(len(found[i]["spans"]) == 1 and not found[i]["base"] for i in range(0, 600, 10))
     assert added > 50
     assert sum(bool(found[1000 + i]["spans"]) for i in range(600)) < 10
+
+
+@pytest.mark.parametrize("text", [
+    "x" * 1_000_000, "a@" * 500_000, "1" * 1_000_000, "1." * 500_000, "at " * 300_000, "x at y " * 140_000,
+    "+1" * 500_000, "(" * 1_000_000, "1 " * 500_000, " ".join(str(i) for i in range(100_000)),
+    "12345 " * 100_000, "a.b-c_" * 160_000, "\u00e9" * 1_000_000, "1-2-3-4 " * 120_000,
+], ids=lambda t: t[:8])
+def test_long_texts_are_scanned_in_linear_time(text):
+    began = time.process_time()
+    base, found = pii.base_spans(text), list(pii.candidates(text))
+    vectors = [pii.features(text, a, b) for _, a, b in found[:20_000]]
+    assert time.process_time() - began < 10 and len(vectors) <= len(found)
+    assert len(found) <= 4 * len(text.split()) + 4 and isinstance(base, list)
+
+
+def test_ip_pattern_is_the_contracts():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123.. a") for _ in range(rng.randint(0, 30)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_proposals_of_long_runs_cover_every_group():
+    text = " ".join(str(10**5 + i) for i in range(60))
+    spans = [(a, b) for _, a, b in pii.candidates(text)]
+    assert all(6 <= sum(c.isdigit() for c in text[a:b]) <= 19 for a, b in spans)
+    assert {a for a, _ in spans} == {7 * i for i in range(60)}
