@@ -9,7 +9,9 @@ are, and every single word. One full pass counts the proposed phrases and the bo
 they occur. If no phrase of the border turns out frequent, every frequent phrase has been
 counted. If some do, they join the proposed ones, and a further pass counts what that lets
 in and has not been counted yet, until no more phrase fails. Each pass can only fail on
-longer phrases than the one before, so there are at most ``max_words`` passes.
+longer phrases than the one before, so there are at most ``max_words`` passes. A phrase
+that owes its count to a few places, which a sample misses, is also proposed where a slice
+of text has it often, with all that it is part of there: one more pass then suffices.
 
 These passes count by 64-bit hash, which is a third of the phrases' bytes. Two phrases of
 one hash can only make a count too high, never too low, so what is frequent is among the
@@ -53,6 +55,7 @@ UNKNOWN_LANG = "und"
 SAMPLE_EVERY = 8
 BLOCK = 400
 CAUTION = 0.4
+OFTEN = 4  # times rarer than frequent, and still often in a slice
 BITMAP_BITS = 1 << 26
 SLICE = 3_000_000  # bytes of text that are worked on at a time
 
@@ -156,62 +159,76 @@ class Words:
 
 
 def phrases_in(
-    words: Words, max_words: int, proposed: Bitmap, before: Bitmap | None = None
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of words, places, hashes) of the phrases whose first and last words but one
-    are proposed, without those for which that was so ``before``, all words included."""
+    words: Words, max_words: int, proposed: Bitmap, before: Bitmap | None = None, often: int | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of words, places, hashes, hashes to propose) of the phrases whose first and
+    last words but one are proposed, without those for which that was so ``before``, all
+    words included. To propose are those that occur ``often`` here, if that is asked for,
+    whether or not their parts are proposed."""
     hashes = words.hashes
     place = np.flatnonzero(words.at > 0)
-    seen = np.full(len(place), before is not None)
+    counted, seen = np.ones(len(place), bool), np.full(len(place), before is not None)
     for n in range(1, max_words + 1):
         if n > 1:
-            starts = ready[:-1] & ready[1:]
-            place = np.flatnonzero(starts[: max(0, len(words.at) - n + 1)])
+            place = np.flatnonzero((likely[:-1] & likely[1:])[: max(0, len(words.at) - n + 1)])
+            counted = ready[place] & ready[place + 1]
+            seen = np.zeros(len(place), bool)
             if before is not None:
                 seen = was_ready[place] & was_ready[place + 1]
-            else:
-                seen = np.zeros(len(place), bool)
             longer = np.zeros_like(hashes)
             longer[place] = _mixed(hashes[place], words.hashes[place + n - 1], n)
             hashes = longer
         if not len(place):
             return
         own = hashes[place]
-        yield n, place[~seen], own[~seen]
         # whether longer phrases may be made of it, now and in the passes before
+        known = proposed.has(own)
         ready = np.zeros(len(words.at), bool)
-        ready[place] = proposed.has(own)
+        ready[place] = known & counted
         if before is not None:
             was_ready = np.zeros(len(words.at), bool)
             was_ready[place[seen]] = before.has(own[seen])
+        likely, new = ready, own[:0]
+        if often is not None:
+            code, keys = pd.factorize(own[~known])
+            many = np.bincount(code, minlength=len(keys)) >= often
+            new, likely = keys[many], ready.copy()
+            likely[place[~known]] = many[code]
+            likely[place[known]] = True
+        yield n, place[counted & ~seen], own[counted & ~seen], new
 
 
 def count_hashes(
     docs: DataFrame, max_words: int, proposed: Bitmap, before: Bitmap | None = None,
-    levels: tuple[int, ...] | None = None, size: int = SLICE,
+    levels: tuple[int, ...] | None = None, often: int | None = None, as_much: int = 0, size: int = SLICE,
 ) -> DataFrame:
-    """``HASHED`` rows of (lang, text as bytes), not yet summed over slices."""
+    """``HASHED`` rows of (lang, text as bytes), not yet summed over slices. What occurs
+    ``often`` in a slice without being proposed has a count of ``as_much`` there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches, size):
             for words, carried in word_lists(texts, max_words, size):
-                for n, place, hashes in phrases_in(Words(words, lang), max_words, proposed, before):
+                for n, place, hashes, new in phrases_in(Words(words, lang), max_words, proposed, before, often):
                     if levels is None or n in levels:
                         code, keys = pd.factorize(hashes[place + n > carried])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys.view(np.int64)), pa.array(np.bincount(code, minlength=len(keys)))],
-                            ["hash", "n"],
-                        )
+                        yield _hash_rows(keys, np.bincount(code, minlength=len(keys)))
+                        if len(new):
+                            yield _hash_rows(new, np.full(len(new), as_much))
 
     return docs.mapInArrow(read, HASHED)
 
 
+def _hash_rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["hash", "n"])
+
+
 def exact_counts(
     words: list[bytes], carried: int, lang: str, max_words: int, wanted: Bitmap
 ) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """(number of words, phrases, counts) of the phrases that are wanted with all their parts."""
     own = Words(words, lang)
-    for n, place, hashes in phrases_in(own, max_words, wanted):
+    for n, place, hashes, _ in phrases_in(own, max_words, wanted):
         counted = (place + n > carried) & wanted.has(hashes)
         place = place[counted]
         code, keys = pd.factorize(hashes[counted])
@@ -316,7 +333,10 @@ def frequent_phrases(
     texts, frequent = rows.drop("doc_key"), Bitmap.empty()
     level = F.col("hash").bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
     for turn in range(max_words):
-        sums = count_hashes(texts, max_words, proposed, before).groupBy("hash").agg(F.sum("n").alias("n"))
+        hashed = count_hashes(
+            texts, max_words, proposed, before, often=max(2, int(min_count / OFTEN)), as_much=min_count
+        )
+        sums = hashed.groupBy("hash").agg(F.sum("n").alias("n"))
         found = stored(sums.where(F.col("n") >= min_count).select("hash"), f"phrases-pass-{turn}")
         frequent = frequent | bitmap_of(found)
         # frequent, but not proposed: what is made of them has not been counted

@@ -83,8 +83,14 @@ def test_border_failures_are_made_good(spark, monkeypatch):
     monkeypatch.setattr(phrases, "propose", lambda *a, **k: phrases.Bitmap.empty())
     monkeypatch.setattr(phrases, "count_hashes", lambda *a, **k: passes.append(1) or whole(*a, **k))
     docs = corpus(random.Random(7), 80) + [(900 + i, "one two three four five six", "en") for i in range(30)]
+    monkeypatch.setattr(phrases, "OFTEN", 0.01)
     assert mined(spark, docs, min_count=25) == plain_collocations(docs, 25)
     assert len(passes) == 5
+    # with what is often in a slice proposed too, the second pass closes
+    passes.clear()
+    monkeypatch.setattr(phrases, "OFTEN", 4)
+    assert mined(spark, docs, min_count=25) == plain_collocations(docs, 25)
+    assert len(passes) == 2
 
 
 def test_hashes_that_meet_change_nothing(spark, monkeypatch):
