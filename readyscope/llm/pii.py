@@ -6,16 +6,17 @@ Beside them, high-recall generators propose spans, which may overlap: anything a
 "@" or a spelled-out one, and any run of digits and separators, whole and in parts.
 Boosted trees judge each by its format (digits, groups, separators, checksum) and its
 context (the words before it). No labels are given, so the trees learn from the known
-formats themselves: a candidate inside a reported span is an example of personal data,
-whether or not it has the full format by itself, and one that touches none is a
-counter-example. One that holds less than ``MOST`` of a reported span teaches nothing.
-What a candidate must have to be a known format is thus only partly visible to the trees,
-and similar spans elsewhere are found by what remains.
-
-Half of the sample trains the trees, the other half calibrates them (isotonic). A span
-is selected where the calibrated chance reaches ``CHANCE``: where at least that share of
-the candidates like it belongs to a known format. Of selected spans that
-overlap the likelier stays; known formats always stay.
+formats: a candidate inside a reported span is an example of personal data, and so is
+every reported address and phone rewritten, in its real context, into forms that no
+pattern knows: spelled out, without its sign, in local or identity-number groups. A
+candidate that touches no reported span is a counter-example, unless a word before it
+announces personal data; then it teaches nothing, as does one that holds less than ``MOST``
+of a reported span.
+
+Addresses and numbers have trees of their own. Half of the sample trains them, the other
+half calibrates them (isotonic) and sets the threshold of each kind: the chance that finds
+most examples for the counter-examples it takes (F1), ``CHANCE`` at least. Of selected spans
+that overlap the likelier stays; known formats always stay.
 
 The sample is bounded (``SAMPLE`` distinct feature rows with the least hash, each with its
 numbers of examples and counter-examples); every text is scanned whole and every candidate
@@ -42,7 +43,9 @@ from readyscope.llm.boosting import Trees, calibration, fit_trees
 from readyscope.llm.common import columns_of, stored, unused, whole
 
 SAMPLE = 20_000
-CHANCE = 0.5
+# Counter-examples of an unknown form may be personal data themselves, so even chances are
+# not asked of the least likely
+CHANCE = 0.25
 MOST = 0.7
 
 KINDS = ["email", "ip", "card", "phone", "contact", "number"]
@@ -59,7 +62,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"\S+")
 _AT = re.compile(r"[^\s@]@[^\s@]")
 _SPELLED = re.compile(
-    r"\b\w++\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?\w++\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w++"
+    r"\b\w++\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?\w++"
+    r"(?:\x20?(?:\.|[\[(]?\bdot\b[\])]?)\x20?\w++)+"
 )
 # No known kind of number has fewer digits, or more
 FEWEST_DIGITS, MOST_DIGITS = 6, 19
@@ -175,7 +179,29 @@ def _proposals(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 yield a, groups[last - 1][1]
 
 
+_DOT, _BRACKETED_AT = re.compile(r"\bdot\b"), re.compile(r"[\[(]\x20?at\x20?[\])]")
+
+
+def rewritten(kind: str, token: str) -> list[str]:
+    """A known span in the ways people write it where no pattern looks: an address spelled
+    out, a number without its sign, by local habits or in groups like an identity number."""
+    if kind == "email":
+        local, _, domain = token.partition("@")
+        spelled = domain.replace(".", " dot ")
+        return [
+            f"{local} at {spelled}", f"{local} (at) {domain}", f"{local}(at){domain}",
+            f"{local}[at]{domain.replace('.', '[dot]')}", f"{local} at {domain}",
+        ]
+    d = _NOT_DIGIT.sub("", token)
+    return [
+        token[1:].lstrip("("), f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}",
+        f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", f"0{d[-9:-7]} {d[-7:]}", f"(0{d[-9:-7]}) {d[-7:]}",
+        f"{d[-9:-6]}-{d[-6:-4]}-{d[-4:]}", f"{d[-10:-7]} {d[-7:-4]} {d[-4:]}",
+    ]
+
+
 FEATURES = [
+    "spelled_dot", "bracketed_at", "open_dots",
     "digits", "letters", "length", "groups", "longest_group", "shortest_group", "blanks",
     "dots", "dashes", "slashes", "brackets", "at_signs", "dotted_tail", "luhn", "largest_octet",
     "zero_first", "announced", "word_before", "word_after", "line_start",
@@ -194,6 +220,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     before = text[max(0, start - _CONTEXT_CHARACTERS) : start]
     words = [w.lower() for w in _CONTEXT.findall(before)][-4:]
     return [
+        float(bool(_DOT.search(token))), float(bool(_BRACKETED_AT.search(token))), token.count(". "),
         len(digits), sum(c.isalpha() for c in token), end - start, len(groups), max(groups),
         min(groups), token.count(" "), token.count("."), token.count("-"), token.count("/"),
         token.count("(") + token.count(")"), token.count("@"),
@@ -204,9 +231,39 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
+_ANNOUNCED = FEATURES.index("announced")
+# Of an address only the form and the context count, not what it is made of: the known
+# addresses of a corpus may all have digits, or none
+_OF_THE_FORM = np.isin(FEATURES, [
+    "spelled_dot", "bracketed_at", "open_dots", "brackets", "at_signs", "dotted_tail",
+    "announced", "word_before", "word_after", "line_start",
+])
+
+
+def seen_by(kind: str, rows: list[list[float]]) -> np.ndarray:
+    """The features that the trees of a kind look at."""
+    x = np.array([list(row) for row in rows], np.float64)
+    return x * _OF_THE_FORM if kind == "contact" else x
+
+
+def examples(text: str, base: list[S.Span]) -> Iterator[tuple[str, list[float]]]:
+    """(kind, features) of the known addresses and phones of a text, rewritten in place."""
+    for kind, start, end in base:
+        if kind in ("email", "phone"):
+            before = text[max(0, start - 2 * _CONTEXT_CHARACTERS) : start]
+            for token in rewritten(kind, text[start:end]):
+                row = features(before + token + text[end : end + 2], len(before), len(before) + len(token))
+                yield "contact" if kind == "email" else "number", row
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base`` spans and ``candidates`` with features and whether each is most of a base
-    span (1), touches one otherwise (null) or neither (0)."""
+    """Add ``base`` spans and ``candidates`` with features and what is known of each.
+
+    Known is 1 for most of a base span, and for a base span rewritten, which has no place
+    (start -1); null for what touches a base span otherwise. Of the others, those that a
+    word before announces are -1: nothing tells that they are not personal data, so they
+    are no counter-examples. The rest are 0.
+    """
     schema = (
         f"base {S.SPANS}, candidates array<struct<kind:string,start:int,end:int,"
         "known:int,features:array<float>>>"
@@ -220,11 +277,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             known_spans = S.Overlaps(base)
             for kind, a, b in candidates(one):
                 near = list(known_spans.at(a, b))
-                if any(s <= a and b <= e and b - a >= MOST * (e - s) for _, s, e in near):
-                    known = 1
-                else:
-                    known = None if near else 0
-                found.append((kind, a, b, known, features(one, a, b)))
+                known = int(any(s <= a and b <= e and b - a >= MOST * (e - s) for _, s, e in near))
+                row = features(one, a, b)
+                if not known:
+                    known = None if near else -1 if row[_ANNOUNCED] else 0
+                found.append((kind, a, b, known, row))
+            found += [(kind, -1, -1, 1, row) for kind, row in examples(one, base)]
             out.append((base, found))
         return pd.DataFrame(out, columns=["base", "candidates"])
 
@@ -239,23 +297,31 @@ class Judge:
     trees: Trees
     margins: np.ndarray
     chances: np.ndarray
+    least: float  # chance from which on a candidate of the kind is taken
 
     def chance(self, rows: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.margins, self.trees.margin(rows), "right") - 1
         return np.where(at < 0, 0.0, self.chances[np.maximum(at, 0)])
 
 
-def fit(scanned: DataFrame, sample: int = SAMPLE) -> Judge | None:
-    """Trees and calibration from the candidates of a bounded sample of feature rows."""
-    rows = scanned.select(F.explode("candidates").alias("c")).where("c.known IS NOT NULL")
-    counts = rows.groupBy("c.features").agg(
+def fit(scanned: DataFrame, sample: int = SAMPLE, chance: float = CHANCE) -> dict[str, Judge]:
+    """Trees, calibration and threshold of each kind, from the candidates of a bounded
+    sample of feature rows."""
+    rows = scanned.select(F.explode("candidates").alias("c")).where("c.known >= 0")
+    counts = rows.groupBy("c.kind", "c.features").agg(
         F.sum("c.known").alias("yes"), F.sum(1 - F.col("c.known")).alias("no")
     )
     order = [F.xxhash64("features"), F.col("features")]
-    found = counts.orderBy(*order).limit(sample).toPandas()
-    if not len(found):
-        return None
-    x = np.array(found["features"].tolist(), np.float64)
+    judges = {}
+    for kind in ("contact", "number"):
+        found = counts.where(F.col("kind") == kind).orderBy(*order).limit(sample // 2).toPandas()
+        judge = _fit_kind(seen_by(kind, found["features"].tolist()), found, chance) if len(found) else None
+        if judge is not None:
+            judges[kind] = judge
+    return judges
+
+
+def _fit_kind(x: np.ndarray, found: pd.DataFrame, chance: float) -> Judge | None:
     yes, no = found["yes"].to_numpy(np.float64), found["no"].to_numpy(np.float64)
     train = np.arange(len(x)) % 2 == 0
     if any(not side[half].sum() for side in (yes, no) for half in (train, ~train)):
@@ -269,7 +335,16 @@ def fit(scanned: DataFrame, sample: int = SAMPLE) -> Judge | None:
     trees = fit_trees(*both(train))
     held, labels, weights = both(~train)
     seen = weights > 0
-    return Judge(trees, *calibration(trees.margin(held)[seen], labels[seen], weights[seen]))
+    judge = Judge(trees, *calibration(trees.margin(held)[seen], labels[seen], weights[seen]), 1.0)
+    # the chance at which examples found and counter-examples left are in best balance (F1)
+    chance_of = judge.chance(x[~train])
+    down = np.argsort(-chance_of, kind="stable")
+    right, taken = np.cumsum(yes[~train][down]), np.cumsum((yes + no)[~train][down])
+    balance = 2 * right / (taken + right[-1])
+    # only where a chance ends: candidates of one chance are taken together
+    balance[np.diff(chance_of[down], append=-1.0) == 0] = 0
+    best = float(chance_of[down][balance.argmax()])
+    return Judge(trees, judge.margins, judge.chances, max(chance, best))
 
 
 def find_pii(
@@ -278,8 +353,8 @@ def find_pii(
     """The columns of ``docs`` without the text, with ``base`` spans and ``spans``: those
     and the selected candidates."""
     rows = stored(scan(docs, text).drop(text), "pii-scan")
-    judge = fit(rows, sample)
-    if judge is None:
+    judges = fit(rows, sample, chance)
+    if not judges:
         return rows.withColumn("spans", F.col("base")).drop("candidates")
 
     @F.pandas_udf(S.SPANS)
@@ -288,16 +363,18 @@ def find_pii(
         for base, found in zip(bases, proposals, strict=True):
             kept, taken = [(s["kind"], s["start"], s["end"]) for s in base], S.Taken()
             # candidates that a known span touches are settled
-            free = [c for c in found if c["known"] == 0]
-            if free:
-                chances = judge.chance(np.array([list(c["features"]) for c in free], np.float64))
-                ranked = sorted(
-                    (-p, c["start"], -c["end"], c["kind"])
-                    for p, c in zip(chances, free, strict=True) if p >= chance
-                )
-                for _, start, end, kind in ranked:
-                    if taken.take(start, -end):
-                        kept.append((kind, start, -end))
+            ranked = []
+            for kind, judge in judges.items():
+                free = [c for c in found if c["kind"] == kind and c["known"] in (0, -1)]
+                if free:
+                    chances = judge.chance(seen_by(kind, [c["features"] for c in free]))
+                    ranked += [
+                        (-p, c["start"], -c["end"], kind)
+                        for p, c in zip(chances, free, strict=True) if p >= judge.least
+                    ]
+            for _, start, end, kind in sorted(ranked):
+                if taken.take(start, -end):
+                    kept.append((kind, start, -end))
             out.append(S.in_order(kept, KINDS))
         return pd.Series(out, dtype="object")
 
