@@ -81,9 +81,9 @@ def _with_salts(points: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFra
     spark = points.sparkSession
     parts = _PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = points.groupBy("group").agg(F.count("*").alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    large = counts.join(total, F.col("n") * parts > F.col("total"))
-    salts = large.select("group", F.ceil(F.col("n") * parts / F.col("total")).cast("int").alias("salts"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    large = counts.where(F.col("n") * parts > total)
+    salts = large.select("group", F.ceil(F.col("n") * parts / total).cast("int").alias("salts"))
     salts = F.broadcast(stored(salts, "urls-salts"))
     n = F.coalesce("salts", F.lit(1))
     salted = points.join(salts, "group", "left").withColumn(

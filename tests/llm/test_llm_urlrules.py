@@ -89,7 +89,7 @@ def test_query_equals_its_sql(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     found = registry.queries()["op11_url_rules"](spark, sf_dir)
     plan = found._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow|ExistingRDD|CartesianProduct", plan)
+    assert not re.search("Python|Pandas|Arrow|ExistingRDD|CartesianProduct|NestedLoop", plan)
 
 
 def test_empty_tables_and_clashing_columns(spark):
