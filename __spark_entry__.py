@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib.util
 import sys
+import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -45,6 +46,8 @@ from readyscope.sources.extracts import (  # noqa: E402
     to_parquet,
     write_extract,
 )
+from readyscope.sources.bucketed import ingest_bucketed  # noqa: E402
+from readyscope.sources.footers import stored_rows  # noqa: E402
 from readyscope.sources.reports import export_month, read_months  # noqa: E402
 from readyscope.sources.scratch import shared_directory  # noqa: E402
 
@@ -214,6 +217,21 @@ def _sql_query(text: str):
     return query
 
 
+def _stored_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the ingested equipment, from the footers of its files."""
+    path = shared_directory(spark, "ingest")
+    to_parquet(retail.equipment(spark, sf_dir), path)
+    return stored_rows(spark, path)
+
+
+def _fleet_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched fleet from tables that are bucketed by system."""
+    rows = retail.equipment(spark, sf_dir, [SERIAL, SYSTEM_ID, LEVEL])
+    targets = retail.targets(spark, sf_dir)
+    path = shared_directory(spark, "bucketed")
+    return ingest_bucketed(rows, targets, f"fleet_{uuid.uuid4().hex}", path, buckets=16).enriched()
+
+
 def _targets_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_directory(spark, "extract")
     write_extract(_raw_targets(spark, sf_dir), path)
@@ -347,6 +365,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fleet_enriched_split": _fleet_split,
         "fleet_fan_out": _fleet_fan_out,
         "fleet_fan_out_split": _fan_out_split,
+        "fleet_bucketed": _fleet_bucketed,
+        "total_equipment_stored": _stored_total,
         "scan_targets_inferred": _targets_inferred,
         "scan_awkward_text": _awkward_text,
         "scan_quarantine": _quarantined,
@@ -791,6 +811,7 @@ def oracle_sql() -> dict[str, str]:
     }
     # other routes to the same rows
     same = {name: name.removeprefix("cube_") for name in queries() if name.startswith("cube_")}
+    same |= {"fleet_bucketed": "fleet_enriched_split", "total_equipment_stored": "total_equipment"}
     same |= {"cube_kpi_panel": "kpi_panel_filtered", "fleet_fan_out_split": "fleet_fan_out"}
     bodies |= {name: bodies[other] for name, other in same.items()}
     return {name: f"{_EQUIPMENT_CTE}{body.strip()}" for name, body in bodies.items()} | TEXT_ORACLES
