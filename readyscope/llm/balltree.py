@@ -10,7 +10,10 @@ The vectors are searched in shards of bounded size, each by one task. A shard be
 ball tree: a node has the mean of its documents as centre and the largest distance from
 it as radius, and is split between two documents far apart, down to leaves of a few
 documents. No inner product in a node can exceed the centre's plus the query's length
-times the radius. For every query the nodes are visited best bound first, until the best
+times the radius. One radius over all terms is far too much for a query of a few, so there
+is one for each band of terms of like weight, and the query's length in the band goes with
+it. Documents hold their terms' weights already, which makes rare terms count in distances
+as they do in scores, and queries are ones and noughts. For every query the nodes are visited best bound first, until the best
 bound left cannot reach the lists's last place; at the leaves the scores are exact, in
 64-bit integers. Bounds are in doubles and rounded up by far more than their error, so
 no document is lost to rounding. A task carries its lists on from shard to shard, and
@@ -41,7 +44,8 @@ from pyspark.sql import functions as F
 from readyscope.llm.common import lean, stored
 
 TOP = 50
-LEAF = 48
+LEAF = 32
+BANDS = 256
 SHARD_DOCS, SHARD_TERMS = 4096, 1_000_000
 BLOCK_CELLS = 4_000_000
 NO_ID = (1 << 63) - 1
@@ -112,15 +116,21 @@ class Node:
     high: int
     at: np.ndarray  # the centre, sparse
     centre: np.ndarray
-    radius: float
+    radii: np.ndarray  # by band
     children: tuple[Node, ...] = ()
 
 
 class BallTree:
     """The documents of a shard: sparse rows of whole numbers, in the order of the leaves."""
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, at: np.ndarray, values: np.ndarray, leaf: int = LEAF):
+    def __init__(
+        self, ids: np.ndarray, ends: np.ndarray, at: np.ndarray, values: np.ndarray,
+        band: np.ndarray | None = None, leaf: int = LEAF,
+    ):
+        """``band`` gives the band of every term; without it there is one."""
         self.leaf = leaf
+        self.band = np.zeros(int(at.max(initial=0)) + 1, np.int64) if band is None else band
+        self.bands = int(self.band.max(initial=0)) + 1
         self.ids, self.begins, self.sizes = ids, ends[:-1], np.diff(ends)
         self.at, self.values = at, values
         floats = values.astype(np.float64)
@@ -167,8 +177,16 @@ class BallTree:
         docs = self.order[low:high]
         cells, _ = self.cells(docs)
         at, place = np.unique(self.at[cells], return_inverse=True)
-        centre = np.bincount(place, self.values[cells].astype(np.float64), len(at)) / len(docs)
-        return Node(low, high, at, centre, math.sqrt(self._distances(docs, at, centre).max()))
+        values = self.values[cells].astype(np.float64)
+        centre = np.bincount(place, values, len(at)) / len(docs)
+        # squared distances by document and band, never too small
+        row = np.repeat(np.arange(len(docs)), self.sizes[docs]) * self.bands + self.band[self.at[cells]]
+        shape = len(docs) * self.bands
+        own = np.bincount(row, values * values, shape).reshape(-1, self.bands)
+        products = np.bincount(row, values * centre[place], shape).reshape(-1, self.bands)
+        square = np.bincount(self.band[at], centre * centre, self.bands)
+        distances = np.maximum(own - 2 * products + square, 0.0) + self.error * (own + square)
+        return Node(low, high, at, centre, np.sqrt(distances.max(axis=0)))
 
     def _row(self, doc: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.begins[doc], self.begins[doc] + self.sizes[doc])
@@ -185,7 +203,7 @@ class BallTree:
         nearer = to_first <= self._distances(docs, *self._row(second))
         n = int(nearer.sum())
         if n in (0, len(docs)):
-            if node.radius * node.radius <= 4 * self.error * self.squares[docs].max():
+            if (node.radii**2).sum() <= 4 * self.error * self.squares[docs].max():
                 return None  # all alike: one leaf, however many
             n = len(docs) // 2
             nearer = np.arange(len(docs)) < n
@@ -196,18 +214,22 @@ class BallTree:
 class Searcher:
     """The best documents of every query so far, over any number of shards."""
 
-    def __init__(self, weights: np.ndarray, k: int):
+    def __init__(self, weights: np.ndarray, k: int, band: np.ndarray | None = None):
         self.weights = weights  # terms by queries, whole numbers
         self.floats = weights.astype(np.float64)
-        self.lengths = np.sqrt((self.floats * self.floats).sum(axis=0)) * (1 + _ERROR)
+        band = np.zeros(len(weights), np.int64) if band is None else band
+        self.lengths = np.zeros((int(band.max(initial=0)) + 1, weights.shape[1]))  # bands by queries
+        np.add.at(self.lengths, band, self.floats * self.floats)
+        self.lengths = np.sqrt(self.lengths) * (1 + _ERROR)
+        self.asked = (weights > 0).any(axis=0)
         self.k = k
-        self.best: list[list[tuple[int, int]]] = [[] for _ in self.lengths]  # heaps of (score, -id)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in self.asked]  # heaps of (score, -id)
         self.scored = self.offered = 0
 
     def bounds(self, node: Node) -> np.ndarray:
         """What no document of the node can exceed, for every query."""
         inner = self.floats[node.at].T @ node.centre
-        return (inner + self.lengths * node.radius) * (1 + _ERROR) + 1
+        return (inner + node.radii @ self.lengths) * (1 + _ERROR) + 1
 
     def search(self, tree: BallTree) -> None:
         if tree.root is None:
@@ -221,7 +243,7 @@ class Searcher:
             return found[query]
 
         for query, heap in enumerate(self.best):
-            if not self.lengths[query]:
+            if not self.asked[query]:
                 continue
             self.offered += len(tree.ids)
             column = self.weights[:, query]
@@ -325,15 +347,17 @@ def _block_lists(docs: DataFrame, block, doc_id: str, text: str, k: int, id_type
     for row in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():
         df[row["at"]] = row["count"]
     place = {t: i for i, t in enumerate(terms)}
-    weights = np.zeros((len(terms), len(block)), np.int64)
+    weights = np.array([weight(n_docs, int(n)) if n else 0 for n in df], np.int64)
+    # bands of equally many terms, from the least weight to the greatest
+    band = np.argsort(np.argsort(weights, kind="stable")) * BANDS // len(terms)
+    asked = np.zeros((len(terms), len(block)), np.int64)
     for column, (_, _, own) in enumerate(block):
-        for at in map(place.get, own):
-            weights[at, column] = weight(n_docs, int(df[at])) if df[at] else 0
+        asked[[place[t] for t in own], column] = 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(weights, k)
-        for shard in shards(batches, n_docs, n_terms):
-            searcher.search(BallTree(*shard))
+        searcher = Searcher(asked, k, band)
+        for ids, ends, at, values in shards(batches, n_docs, n_terms):
+            searcher.search(BallTree(ids, ends, at, values * weights[at], band))
         for column, heap in enumerate(searcher.best):
             if heap:
                 ids = [None if -i == NO_ID else -i for _, i in heap]

@@ -75,12 +75,14 @@ def vectors(rng, n, terms=80):
     return np.arange(n), ends, at, np.array([v for r in values for v in r], np.int64), rows, values
 
 
-def test_bounds_hold_and_cut(seed=4):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("bands", [1, 7, 80])
+def test_bounds_hold_and_cut(bands):
+    rng = random.Random(4)
     ids, ends, at, values, rows, own = vectors(rng, 600)
-    tree = balltree.BallTree(ids, ends, at, values, leaf=8)
+    band = np.arange(80) * bands // 80
+    tree = balltree.BallTree(ids, ends, at, values, band, leaf=8)
     weights = np.array([[rng.randint(0, 9000) if rng.random() < 0.1 else 0 for _ in range(20)] for _ in range(80)])
-    searcher = balltree.Searcher(weights, 3)
+    searcher = balltree.Searcher(weights, 3, band)
     scores = [[sum(int(weights[t, q]) * v for t, v in zip(r, o, strict=True)) for q in range(20)] for r, o in zip(rows, own, strict=True)]
     nodes, leaves = [tree.root], 0
     while nodes:
