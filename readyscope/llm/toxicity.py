@@ -93,9 +93,11 @@ def feature_counts(sample: DataFrame) -> DataFrame:
                 words = set(words_of(text))
                 counts[bool(toxic)].update({f for w in words for f in features_of(w)})
             for toxic, found in counts.items():
-                yield pd.DataFrame(
-                    {"feature": list(found), "toxic": toxic, "n": list(found.values())}
-                )
+                # without a feature, the column of names would have a type of numbers
+                if found:
+                    yield pd.DataFrame(
+                        {"feature": list(found), "toxic": toxic, "n": list(found.values())}
+                    )
 
     rows = sample.mapInPandas(count, "feature string, toxic boolean, n long")
     return rows.groupBy("feature").agg(

@@ -66,6 +66,17 @@ def test_contradicting_labels_count_as_toxic(spark):
     assert found == {1: True, 2: False}
 
 
+def test_feature_counts_of_batches_of_one_class(spark):
+    """A batch without a toxic document, one without any other, one without words."""
+    schema = "text string, toxic boolean"
+    for rows in ([("aa bb", False), ("aa", False)], [("aa bb", True), ("aa", True)], [("", True)]):
+        sample = spark.createDataFrame(rows, schema).coalesce(1)
+        found = {tuple(r) for r in toxicity.feature_counts(sample).collect()}
+        toxic = rows[0][1]
+        wanted = [("aa", 2), ("bb", 1)] if rows[0][0] else []
+        assert found == {(f, n if toxic else 0, 0 if toxic else n) for f, n in wanted}
+
+
 def test_query(spark, sf_dir, texts):
     rows = registry.queries()["op8_toxicity"](spark, sf_dir).collect()
     assert {r["doc_id"] for r in rows} == {i for i, _ in texts}
