@@ -6,7 +6,8 @@ and one whose columns are not asked for is left out of the plan.
 
 No join carries a hint. Spark broadcasts a table only when its own size check
 passes, which the region and nation lists always do; the growing tables are
-shuffled beyond that, where AQE splits hot keys.
+shuffled beyond that, where AQE splits hot keys and merges small partitions
+only up to ``SHUFFLE_BYTES``.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ from readyscope.model import (
     TARGET,
 )
 
+# Compressed bytes of a merged shuffle partition. The lines of an order shuffle in few bytes;
+# a task that sorts them for a join holds about twenty times as many.
+SHUFFLE_BYTES = 16 * 1024 * 1024
+
 # "Middle East" plays the region with a short label
 RETAIL_REGION_LABELS = {"MIDDLE EAST": "ME"}
 
@@ -92,6 +97,7 @@ def equipment(
     def table(name: str) -> DataFrame:
         return _table(spark, sf_dir, name)
 
+    _merge_less(spark)
     wanted = set(columns)
     rows = table("lineitem")
     if wanted & _ORDER_COLUMNS:
@@ -135,6 +141,15 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _merge_less(spark: SparkSession) -> None:
+    """Merge shuffle partitions up to ``SHUFFLE_BYTES`` at most. A session that already asks
+    for less keeps that, and none gets more partitions than it set. No result depends on it.
+    """
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > SHUFFLE_BYTES:
+        spark.conf.set(key, str(SHUFFLE_BYTES))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -175,3 +175,18 @@ def test_mapping_reads_only_the_tables_it_needs(spark):
         assert as_tuples(alone) == as_tuples(full.select(column))
     assert plan(equipment(spark, sf, [SERIAL])).count("FileScan") == 1
     assert plan(equipment(spark, sf, [BUSINESS_LINE])).count("FileScan") == 3
+
+
+@pytest.mark.parametrize(("before", "after"), [("64MB", 16 << 20), ("20000000", 16 << 20), ("8m", 8 << 20)])
+def test_merged_shuffle_partitions_of_equipment_are_bounded(spark, before, after):
+    """Only the size of merged partitions changes, and never to more than was asked for."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    usual, partitions = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set(key, before)
+        equipment(spark, "/root/testdata/sf0.001")
+        read = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        assert read(spark.conf.get(key)) == after
+        assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+    finally:
+        spark.conf.set(key, usual)
