@@ -7,11 +7,13 @@ and one whose columns are not asked for is left out of the plan.
 No join carries a hint. Spark broadcasts a table only when its own size check
 passes, which the region and nation lists always do; the growing tables are
 shuffled beyond that, where AQE splits hot keys and merges small partitions
-only up to ``SHUFFLE_BYTES``.
+only up to ``SHUFFLE_BYTES``. The number of partitions grows with the lines, by
+``LINE_BYTES``, so that no partition does.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,10 +39,13 @@ from readyscope.model import (
     SYSTEM_NAME,
     TARGET,
 )
+from readyscope.session import MANY_PARTITIONS
 
 # Compressed bytes of a merged shuffle partition. The lines of an order shuffle in few bytes;
 # a task that sorts them for a join holds about twenty times as many.
 SHUFFLE_BYTES = 16 * 1024 * 1024
+# Bytes of the lines' files for one shuffle partition at most
+LINE_BYTES = 4 * 1024 * 1024
 
 # "Middle East" plays the region with a short label
 RETAIL_REGION_LABELS = {"MIDDLE EAST": "ME"}
@@ -98,6 +103,7 @@ def equipment(
         return _table(spark, sf_dir, name)
 
     _merge_less(spark)
+    _divide_more(spark, f"{sf_dir}/lineitem.parquet")
     wanted = set(columns)
     rows = table("lineitem")
     if wanted & _ORDER_COLUMNS:
@@ -143,13 +149,25 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merge_less(spark: SparkSession) -> None:
     """Merge shuffle partitions up to ``SHUFFLE_BYTES`` at most. A session that already asks
-    for less keeps that, and none gets more partitions than it set. No result depends on it.
+    for less keeps that. No result depends on it.
     """
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > SHUFFLE_BYTES:
         spark.conf.set(key, str(SHUFFLE_BYTES))
 
 
+def _divide_more(spark: SparkSession, lines: str) -> None:
+    """A shuffle partition for every ``LINE_BYTES`` of the lines, where the session has fewer;
+    from ``MANY_PARTITIONS`` on, their size grows. No result depends on it.
+    """
+    key = "spark.sql.shuffle.partitions"
+    path = spark._jvm.org.apache.hadoop.fs.Path(lines)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    partitions = min(math.ceil(size / LINE_BYTES), MANY_PARTITIONS)
+    if partitions > int(spark.conf.get(key)):
+        spark.conf.set(key, str(partitions))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,4 +1,5 @@
 import datetime
+from pathlib import Path
 
 import fleets
 import pytest
@@ -10,11 +11,13 @@ from readyscope.model import (
     EQUIPMENT_COLUMNS,
     EQUIPMENT_SCHEMA,
     INSTALLED_ON,
+    LEVEL,
     MOBILITY,
     SERIAL,
     TARGET,
     TARGET_SCHEMA,
 )
+from readyscope.sources import retail
 from readyscope.sources.extracts import canonical_name, ingest_extract, normalise_headers
 from readyscope.sources.retail import equipment
 
@@ -190,3 +193,21 @@ def test_merged_shuffle_partitions_of_equipment_are_bounded(spark, before, after
         assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
     finally:
         spark.conf.set(key, usual)
+
+
+@pytest.mark.parametrize(("line_bytes", "before", "more"), [(1000, 4, True), (1 << 30, 4, False), (1000, 50_000, False)])
+def test_shuffle_partitions_of_equipment_grow_with_the_lines(spark, monkeypatch, line_bytes, before, more):
+    """A session with few partitions gets more of them, none gets fewer, and no row changes."""
+    key, sf = "spark.sql.shuffle.partitions", "/root/testdata/sf0.001"
+    usual = spark.conf.get(key)
+    wanted = as_tuples(equipment(spark, sf, [SERIAL, LEVEL]).where("equipment_serial_number < 2000"))
+    monkeypatch.setattr(retail, "LINE_BYTES", line_bytes)
+    try:
+        spark.conf.set(key, before)
+        rows = equipment(spark, sf, [SERIAL, LEVEL])
+        size = Path(sf, "lineitem.parquet").stat().st_size
+        assert int(spark.conf.get(key)) == (-(-size // line_bytes) if more else before)
+        if more:
+            assert as_tuples(rows.where("equipment_serial_number < 2000")) == wanted
+    finally:
+        spark.conf.set(key, usual)
