@@ -7,7 +7,10 @@ is mined level by level with a lowered threshold. What it finds frequent is prop
 negative border are the phrases that are not proposed, but whose first and last n - 1 words
 are, and every single word. One full pass counts the proposed phrases and the border as
 they occur. If no phrase of the border turns out frequent, every frequent phrase has been
-counted. If some do, they join the proposed ones, and a further pass counts what that lets
+counted. If a few do, one further pass counts all phrases that they are part of, at every
+length: any other frequent phrase is made of proposed ones and has been counted. If many do
+(more than one for ``FEW`` proposed), that pass could have nearly every phrase to count; then
+they join the proposed ones, and passes count what that lets
 in and has not been counted yet, until no more phrase fails. Each pass can only fail on
 longer phrases than the one before, so there are at most ``max_words`` passes. A phrase
 that owes its count to a few places, which a sample misses, is also proposed where a slice
@@ -15,7 +18,8 @@ of text has it often, with all that it is part of there: one more pass then suff
 
 These passes count by 64-bit hash, which is a third of the phrases' bytes. Two phrases of
 one hash can only make a count too high, never too low, so what is frequent is among the
-frequent hashes. A last pass counts just those by their words, exactly.
+frequent hashes. A last pass counts just those by their words, exactly; each task adds up
+its slices before it hands them on, ``HELD`` phrases at a time.
 
 Sets of hashes reach the workers as a bitmap of ``BITMAP_BITS`` bits however many they
 are. Two phrases may share a bit: then a few more phrases are counted than need be, by
@@ -56,8 +60,10 @@ SAMPLE_EVERY = 8
 BLOCK = 400
 CAUTION = 0.4
 OFTEN = 4  # times rarer than frequent, and still often in a slice
+FEW = 10  # proposed phrases for one that failed
 BITMAP_BITS = 1 << 26
 SLICE = 3_000_000  # bytes of text that are worked on at a time
+HELD = 250_000  # phrases of which a task adds up the counts of slices, some 200 bytes each
 
 _MARK = b"\xff"  # between pieces; no byte of UTF-8
 _TABLE = bytes(
@@ -91,6 +97,13 @@ class Bitmap:
     def __or__(self, other: Bitmap) -> Bitmap:
         return Bitmap(self.words | other.words)
 
+    def without(self, other: Bitmap) -> Bitmap:
+        return Bitmap(self.words & ~other.words)
+
+    def size(self) -> int:
+        """The bits that are set."""
+        return int(np.bitwise_count(self.words).sum())
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         bit = hashes >> np.uint64(_LEVEL_BITS) & np.uint64(64 * len(self.words) - 1)
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -198,17 +211,49 @@ def phrases_in(
         yield n, place[counted & ~seen], own[counted & ~seen], new
 
 
+def phrases_around(
+    words: Words, max_words: int, frequent: Bitmap, missed: Bitmap
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``phrases_in``, the phrases that some ``missed`` phrase is part of and whose first
+    and last words but one are frequent or, since such a phrase is part of them too, unknown.
+    Nothing is proposed."""
+    hashes = words.hashes
+    place = np.flatnonzero(words.at > 0)
+    counted = np.zeros(len(place), bool)
+    for n in range(1, max_words + 1):
+        if n > 1:
+            place = np.flatnonzero((likely[:-1] & likely[1:])[: max(0, len(words.at) - n + 1)])
+            counted = around[place] | around[place + 1]
+            longer = np.zeros_like(hashes)
+            longer[place] = _mixed(hashes[place], words.hashes[place + n - 1], n)
+            hashes = longer
+        if not len(place):
+            return
+        own = hashes[place]
+        likely, around = np.zeros(len(words.at), bool), np.zeros(len(words.at), bool)
+        likely[place] = counted | frequent.has(own)
+        around[place] = counted | missed.has(own)
+        yield n, place[counted], own[counted], own[:0]
+
+
 def count_hashes(
     docs: DataFrame, max_words: int, proposed: Bitmap, before: Bitmap | None = None,
     levels: tuple[int, ...] | None = None, often: int | None = None, as_much: int = 0, size: int = SLICE,
+    missed: Bitmap | None = None,
 ) -> DataFrame:
     """``HASHED`` rows of (lang, text as bytes), not yet summed over slices. What occurs
-    ``often`` in a slice without being proposed has a count of ``as_much`` there."""
+    ``often`` in a slice without being proposed has a count of ``as_much`` there. With
+    ``missed``, the phrases around those instead, where ``proposed`` is what is frequent."""
+
+    def found_in(words: Words):
+        if missed is not None:
+            return phrases_around(words, max_words, proposed, missed)
+        return phrases_in(words, max_words, proposed, before, often)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches, size):
             for words, carried in word_lists(texts, max_words, size):
-                for n, place, hashes, new in phrases_in(Words(words, lang), max_words, proposed, before, often):
+                for n, place, hashes, new in found_in(Words(words, lang)):
                     if levels is None or n in levels:
                         code, keys = pd.factorize(hashes[place + n > carried])
                         yield _hash_rows(keys, np.bincount(code, minlength=len(keys)))
@@ -242,20 +287,37 @@ def exact_counts(
             yield n, [b" ".join(words[b : b + n]) for b in begins.tolist()], np.bincount(code, minlength=len(keys))
 
 
-def count_phrases(docs: DataFrame, max_words: int, wanted: Bitmap, size: int = SLICE) -> DataFrame:
-    """``EXACT`` rows of (lang, text as bytes), not yet summed over slices."""
+def count_phrases(docs: DataFrame, max_words: int, wanted: Bitmap, size: int = SLICE, most: int = HELD) -> DataFrame:
+    """``EXACT`` rows of (lang, text as bytes), summed over slices of a task until it holds
+    ``most`` phrases."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], dict[bytes | None, int]] = {}
         for lang, texts in _by_lang(batches, size):
             for words, carried in word_lists(texts, max_words, size):
                 total = len(words) - carried - words[carried:].count(_MARK)
-                yield _rows(lang, 0, [None], np.array([total]))
+                _add(held, lang, 0, [None], [total])
                 for n, found, counts in exact_counts(words, carried, lang, max_words, wanted):
-                    yield _rows(lang, n, found, counts)
+                    _add(held, lang, n, found, counts.tolist())
+                if sum(map(len, held.values())) >= most:
+                    yield from _held_rows(held)
+                    held.clear()
+        yield from _held_rows(held)
 
     return docs.mapInArrow(read, EXACT)
 
 
+def _add(held: dict, lang: str, n: int, phrases: list[bytes | None], counts: list[int]) -> None:
+    sums = held.setdefault((lang, n), {})
+    for phrase, count in zip(phrases, counts, strict=True):
+        sums[phrase] = sums.get(phrase, 0) + count
+
+
+def _held_rows(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, n), sums in held.items():
+        yield _rows(lang, n, list(sums), np.fromiter(sums.values(), np.int64, len(sums)))
+
+
 def _by_lang(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
     """Texts of one language at a time, about ``size`` bytes of them or all that are left."""
     held: dict[str, list[bytes]] = {}
@@ -341,7 +403,13 @@ def frequent_phrases(
         frequent = frequent | bitmap_of(found)
         # frequent, but not proposed: what is made of them has not been counted
         parts = bitmap_of(found.where(level < max_words))
-        if not np.any(parts.words & ~proposed.words):
+        missed = parts.without(proposed)
+        if not missed.size():
+            break
+        if turn == 0 and FEW * missed.size() <= proposed.size():
+            around = count_hashes(texts, max_words, frequent, missed=missed)
+            sums = around.groupBy("hash").agg(F.sum("n").alias("n"))
+            frequent = frequent | bitmap_of(sums.where(F.col("n") >= min_count).select("hash"))
             break
         before, proposed = proposed, proposed | parts
     counts = count_phrases(texts, max_words, frequent)

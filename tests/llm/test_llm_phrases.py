@@ -93,6 +93,50 @@ def test_border_failures_are_made_good(spark, monkeypatch):
     assert len(passes) == 2
 
 
+def test_one_pass_makes_up_for_a_few_misses(spark, monkeypatch):
+    """A phrase and all that begins with it are not proposed: found in one further pass."""
+    passes = []
+    propose, whole = phrases.propose, phrases.count_hashes
+
+    def without_some(*args, **options):
+        found = propose(*args, **options)
+        words = phrases.Words([b"one", b"two", b"three", b"four"], "en").hashes
+        phrase = words[:1]
+        for n in (2, 3, 4):
+            phrase = phrases._mixed(phrase, words[n - 1 : n], n)
+            bit = int(phrase[0]) >> 3 & phrases.BITMAP_BITS - 1
+            assert found.has(phrase)[0]
+            found.words[bit // 64] &= ~np.uint64(1 << bit % 64)
+        passes.clear()
+        return found
+
+    monkeypatch.setattr(phrases, "propose", without_some)
+    monkeypatch.setattr(phrases, "count_hashes", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    monkeypatch.setattr(phrases, "OFTEN", 0.01)
+    docs = corpus(random.Random(7), 80) + [(900 + i, "one two three four five six", "en") for i in range(30)]
+    wanted = plain_collocations(docs, 25)
+    assert any(r[2] == "one two three four five" for r in wanted)
+    assert mined(spark, docs, min_count=25, every=1) == wanted
+    assert len(passes) == 2
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_a_task_adds_up_its_slices(spark, most):
+    """Exact counts leave a task once for each phrase, or in parts where it holds fewer."""
+    texts = [t.encode() for _, t, _ in corpus(random.Random(3), 60)]
+    every = phrases.Bitmap(np.full(phrases.BITMAP_BITS // 64, 2**64 - 1, np.uint64))
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text binary").coalesce(1)
+    rows = phrases.count_phrases(docs, 5, every, size=100, most=most).collect()
+    found = Counter()
+    for lang, _, phrase, n in rows:
+        found[phrase] += n
+    total = found.pop(None)
+    wanted = plain_counts(texts)
+    assert found == wanted and total == sum(n for p, n in wanted.items() if " " not in p)
+    if most == 10**6:
+        assert len(rows) == len(wanted) + 1
+
+
 def test_hashes_that_meet_change_nothing(spark, monkeypatch):
     """Hashes of a few bits: many phrases share one, in a slice and beyond it."""
     monkeypatch.setattr(phrases, "_marked", lambda h, n: h & np.uint64(0x1F8) | np.uint64(n))
