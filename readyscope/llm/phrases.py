@@ -16,15 +16,17 @@ longer phrases than the one before, so there are at most ``max_words`` passes. A
 that owes its count to a few places, which a sample misses, is also proposed where a slice
 of text has it often, with all that it is part of there: one more pass then suffices.
 
-These passes count by 64-bit hash, which is a third of the phrases' bytes. Two phrases of
-one hash can only make a count too high, never too low, so what is frequent is among the
-frequent hashes. A last pass counts just those by their words, exactly; each task adds up
-its slices before it hands them on, ``HELD`` phrases at a time.
-
-Sets of hashes reach the workers as a bitmap of ``BITMAP_BITS`` bits however many they
-are. Two phrases may share a bit: then a few more phrases are counted than need be, by
-every task alike, and their exact counts are dropped for being low. No result depends on
-the sample or the hashes.
+These passes count phrases by a key that is the phrase itself: two bytes a word, which
+number the words that are frequent in the sample, ``MOST_KNOWN`` of them at most. A phrase
+with any other word has its text as key. A pass leaves a phrase out wherever it occurs or
+nowhere, and a later pass leaves out what was counted before, so each count is exact and
+whole, and no pass has to count the frequent phrases again. Their words are told from
+the keys, once for each phrase, whatever the number of tasks that have met it.
+
+Sets of phrases reach the workers as a bitmap of ``BITMAP_BITS`` bits of their hashes,
+however many they are. Two phrases may share a bit or a hash: then a few more phrases are
+counted than need be, by every task alike, and their counts are dropped for being low. No
+result depends on the sample, the numbers or the hashes.
 
 Counts of slices are summed by Spark. Everything after that works on the frequent phrases:
 the parts of a phrase are looked up with ``attach``, since one word may be part of a
@@ -37,7 +39,6 @@ occur; extra columns are not read; without a frequent phrase there are no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,8 +73,12 @@ _TABLE = bytes(
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # The lowest bits of a hash hold the number of words
 _LEVEL_BITS = 3
-# From a slice to Spark; in the exact counts, the null phrase holds the number of all words
-HASHED, EXACT = "hash long, n long", "lang string, n_words int, phrase string, n long"
+# What a key starts with that is no list of word numbers: the text of a phrase, the hash of
+# one to propose, or a language, for all its words. The numbers stay below that.
+_TEXT, _PROPOSE, _TOTAL = b"\xff", b"\xfe", b"\xfd"
+MOST_KNOWN = 0xFD00
+# From a slice to Spark; the null phrase holds the number of all words
+HASHED, KEYED, EXACT = "hash long, n long", "key binary, n long", "lang string, n_words int, phrase string, n long"
 
 
 class _Numbers(dict):
@@ -166,9 +171,53 @@ class Words:
         numbers[_MARK] = 0
         self.words = words
         self.at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        seed = xxhash.xxh64_intdigest(lang)
-        own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
-        self.hashes = _marked(own, 1)[self.at]
+        self.distinct = list(numbers)
+        self.hashes = word_hashes(self.distinct, lang)[self.at]
+
+
+def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang)
+    return _marked(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), 1)
+
+
+class Known:
+    """The (lang, word) pairs that have a number, and the keys of phrases."""
+
+    def __init__(self, pairs: list[tuple[str, bytes]]):
+        self.pairs = pairs[:MOST_KNOWN]
+        self.numbers: dict[str, dict[bytes, int]] = {}
+        for number, (lang, word) in enumerate(self.pairs):
+            self.numbers.setdefault(lang, {})[word] = number
+
+    def in_list(self, words: Words, lang: str) -> np.ndarray:
+        """The number of each distinct word, or -1."""
+        numbers = self.numbers.get(lang, {})
+        return np.fromiter((numbers.get(w, -1) for w in words.distinct), np.int64, len(words.distinct))
+
+    def keys(self, words: Words, own: np.ndarray, lang: str, n: int, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Of the phrases of ``n`` words at some places, and those places' order there."""
+        numbers, short = np.empty((len(begins), n), ">u2"), np.ones(len(begins), bool)
+        for k in range(n):
+            column = own[words.at[begins + k]]
+            short &= column >= 0
+            numbers[:, k] = np.maximum(column, 0)
+        octets = numbers[short].tobytes()
+        ends = np.arange(0, len(octets) + 1, 2 * n, dtype=np.int32)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(octets)]
+        keys = [pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)]
+        if not short.all():
+            head = _TEXT + lang.encode() + _MARK
+            spelled = [head + b" ".join(words.words[b : b + n]) for b in begins[~short].tolist()]
+            keys.append(pa.array(spelled, pa.binary()))
+        return pa.concat_arrays(keys), np.argsort(~short, kind="stable")
+
+    def phrase(self, key: bytes) -> tuple[str, list[bytes]]:
+        """The language and the words of a key."""
+        if key[:1] == _TEXT:
+            lang, _, text = key[1:].partition(_MARK)
+            return lang.decode(), text.split(b" ")
+        pairs = [self.pairs[number] for number in np.frombuffer(key, ">u2").tolist()]
+        return pairs[0][0], [word for _, word in pairs]
 
 
 def phrases_in(
@@ -239,11 +288,13 @@ def phrases_around(
 def count_hashes(
     docs: DataFrame, max_words: int, proposed: Bitmap, before: Bitmap | None = None,
     levels: tuple[int, ...] | None = None, often: int | None = None, as_much: int = 0, size: int = SLICE,
-    missed: Bitmap | None = None,
+    missed: Bitmap | None = None, known: Known | None = None,
 ) -> DataFrame:
-    """``HASHED`` rows of (lang, text as bytes), not yet summed over slices. What occurs
-    ``often`` in a slice without being proposed has a count of ``as_much`` there. With
-    ``missed``, the phrases around those instead, where ``proposed`` is what is frequent."""
+    """``HASHED`` rows of (lang, text as bytes), or ``KEYED`` ones where words are ``known``,
+    not yet summed over slices. What occurs ``often`` in a slice without being proposed has a
+    row of its own there, with a count of ``as_much``. With ``missed``, the phrases around
+    those instead, where ``proposed`` is what is frequent. The first pass by keys also counts
+    all words."""
 
     def found_in(words: Words):
         if missed is not None:
@@ -260,7 +311,23 @@ def count_hashes(
                         if len(new):
                             yield _hash_rows(new, np.full(len(new), as_much))
 
-    return docs.mapInArrow(read, HASHED)
+    def read_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _by_lang(batches, size):
+            for words, carried in word_lists(texts, max_words, size):
+                if before is None and missed is None:
+                    yield _key_rows(pa.array([_TOTAL + lang.encode()], pa.binary()), np.array([_total(words, carried)]))
+                listed = Words(words, lang)
+                own = known.in_list(listed, lang)
+                for n, place, hashes, new in found_in(listed):
+                    fresh = place + n > carried
+                    begins, counts = _different(listed, n, place[fresh], hashes[fresh])
+                    keys, order = known.keys(listed, own, lang, n, begins)
+                    yield _key_rows(keys, counts[order])
+                    if len(new):
+                        told = [_PROPOSE + h.tobytes() for h in new.astype("<u8")]
+                        yield _key_rows(pa.array(told, pa.binary()), np.full(len(new), as_much))
+
+    return docs.mapInArrow(read, HASHED) if known is None else docs.mapInArrow(read_keyed, KEYED)
 
 
 def _hash_rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -268,6 +335,64 @@ def _hash_rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["hash", "n"])
 
 
+def _key_rows(keys: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, pa.array(counts.astype(np.int64))], ["key", "n"])
+
+
+def _total(words: list[bytes], carried: int) -> int:
+    return len(words) - carried - words[carried:].count(_MARK)
+
+
+def _different(words: Words, n: int, place: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each phrase of ``n`` words, and how often it is at these places."""
+    code, keys = pd.factorize(hashes)
+    begins = np.zeros(len(keys), np.int64)
+    begins[code[::-1]] = place[::-1]
+    if any(np.any(words.at[place + k] != words.at[begins[code] + k]) for k in range(n)):
+        # two phrases of one hash in a slice: by their words instead
+        listed = words.at[place[:, None] + np.arange(n)]
+        _, first, counts = np.unique(listed, axis=0, return_index=True, return_counts=True)
+        return place[first], counts
+    return begins, np.bincount(code, minlength=len(keys))
+
+
+def told(keyed: DataFrame, known: Known) -> DataFrame:
+    """lang, n_words, phrase, n and hash of keys and their sums: a row for each. What is only
+    to be proposed has no phrase, and the number of all words no phrase and no hash."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple[str | None, int], tuple[list, list]] = {}
+            for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if key[:1] == _PROPOSE:
+                    group, item = (None, key[1] & (1 << _LEVEL_BITS) - 1), int.from_bytes(key[1:], "little", signed=True)
+                elif key[:1] == _TOTAL:
+                    group, item = (key[1:].decode(), 0), None
+                else:
+                    lang, item = known.phrase(key)
+                    group = (lang, len(item))
+                items, counts = rows.setdefault(group, ([], []))
+                items.append(item)
+                counts.append(n)
+            for (lang, n_words), (items, counts) in rows.items():
+                phrases, hashes = [None] * len(items), items
+                if lang is not None and n_words:
+                    phrases = [b" ".join(words) for words in items]
+                    hashes = _phrase_hashes(items, lang).view(np.int64)
+                yield _rows(lang, n_words, phrases, np.array(counts)).append_column("hash", pa.array(hashes, pa.int64()))
+
+    return keyed.mapInArrow(read, f"{EXACT}, hash long")
+
+
+def _phrase_hashes(phrases: list[list[bytes]], lang: str) -> np.ndarray:
+    """Of phrases that have the same number of words."""
+    ones = [word_hashes(list(words), lang) for words in zip(*phrases, strict=True)]
+    hashes = ones[0]
+    for n, last in enumerate(ones[1:], 2):
+        hashes = _mixed(hashes, last, n)
+    return hashes
+
+
 def exact_counts(
     words: list[bytes], carried: int, lang: str, max_words: int, wanted: Bitmap
 ) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
@@ -275,16 +400,8 @@ def exact_counts(
     own = Words(words, lang)
     for n, place, hashes, _ in phrases_in(own, max_words, wanted):
         counted = (place + n > carried) & wanted.has(hashes)
-        place = place[counted]
-        code, keys = pd.factorize(hashes[counted])
-        begins = np.zeros(len(keys), np.int64)
-        begins[code[::-1]] = place[::-1]
-        if any(np.any(own.at[place + k] != own.at[begins[code] + k]) for k in range(n)):
-            # two phrases of one hash in a slice: by their words instead
-            found = Counter(b" ".join(words[p : p + n]) for p in place.tolist())
-            yield n, list(found), np.array(list(found.values()))
-        else:
-            yield n, [b" ".join(words[b : b + n]) for b in begins.tolist()], np.bincount(code, minlength=len(keys))
+        begins, counts = _different(own, n, place[counted], hashes[counted])
+        yield n, [b" ".join(words[b : b + n]) for b in begins.tolist()], counts
 
 
 def count_phrases(docs: DataFrame, max_words: int, wanted: Bitmap, size: int = SLICE, most: int = HELD) -> DataFrame:
@@ -295,8 +412,7 @@ def count_phrases(docs: DataFrame, max_words: int, wanted: Bitmap, size: int = S
         held: dict[tuple[str, int], dict[bytes | None, int]] = {}
         for lang, texts in _by_lang(batches, size):
             for words, carried in word_lists(texts, max_words, size):
-                total = len(words) - carried - words[carried:].count(_MARK)
-                _add(held, lang, 0, [None], [total])
+                _add(held, lang, 0, [None], [_total(words, carried)])
                 for n, found, counts in exact_counts(words, carried, lang, max_words, wanted):
                     _add(held, lang, n, found, counts.tolist())
                 if sum(map(len, held.values())) >= most:
@@ -366,10 +482,8 @@ def sample_blocks(docs: DataFrame, every: int, block: int = BLOCK) -> DataFrame:
     return docs.mapInArrow(read, "lang string, text binary")
 
 
-def propose(docs: DataFrame, max_words: int, min_count: int, every: int = SAMPLE_EVERY) -> Bitmap:
+def propose(sample: DataFrame, max_words: int, least: int) -> Bitmap:
     """Mine a sample level by level: what is frequent there at the lowered threshold."""
-    sample = stored(sample_blocks(docs, every), "phrases-sample")
-    least = max(2, int(CAUTION * min_count / every))
     found = Bitmap.empty()
     # phrases of the full length are part of no other
     for n in range(1, max_words):
@@ -379,6 +493,20 @@ def propose(docs: DataFrame, max_words: int, min_count: int, every: int = SAMPLE
     return found
 
 
+def known_words(sample: DataFrame, proposed: Bitmap, least: int) -> Known:
+    """The proposed words or, where they are too many, about the most frequent of them."""
+    counts = count_phrases(sample, 1, proposed).where("n_words = 1")
+    counts = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = stored(counts, "phrases-known")
+    n_words = counts.count()
+    if n_words > MOST_KNOWN:
+        # a sort with a limit would have every task send that many to the driver
+        share = 1 - MOST_KNOWN / n_words
+        counts = counts.where(F.col("n") >= counts.agg(F.percentile_approx("n", share)).first()[0])
+    most = counts.select("lang", "phrase").limit(MOST_KNOWN).toPandas()
+    return Known([(lang, word.encode()) for lang, word in most.itertuples(index=False)])
+
+
 def frequent_phrases(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
     max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, every: int = SAMPLE_EVERY,
@@ -391,32 +519,38 @@ def frequent_phrases(
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
         F.xxhash64(F.col(doc_id)).alias("doc_key"),
     )
-    proposed, before = propose(rows, max_words, min_count, every), None
-    texts, frequent = rows.drop("doc_key"), Bitmap.empty()
+    sample = stored(sample_blocks(rows, every), "phrases-sample")
+    least = max(2, int(CAUTION * min_count / every))
+    proposed, before = propose(sample, max_words, least), None
+    known = known_words(sample, proposed, least)
+    texts, frequent, counts = rows.drop("doc_key"), Bitmap.empty(), None
+
+    def enough(keyed: DataFrame, purpose: str) -> DataFrame:
+        sums = keyed.groupBy("key").agg(F.sum("n").alias("n"))
+        is_total = F.substring("key", 1, 1) == F.lit(_TOTAL)
+        return stored(told(sums.where((F.col("n") >= min_count) | is_total), known), purpose)
+
     level = F.col("hash").bitwiseAND(F.lit((1 << _LEVEL_BITS) - 1))
     for turn in range(max_words):
-        hashed = count_hashes(
-            texts, max_words, proposed, before, often=max(2, int(min_count / OFTEN)), as_much=min_count
+        keyed = count_hashes(
+            texts, max_words, proposed, before, often=max(2, int(min_count / OFTEN)), as_much=min_count, known=known
         )
-        sums = hashed.groupBy("hash").agg(F.sum("n").alias("n"))
-        found = stored(sums.where(F.col("n") >= min_count).select("hash"), f"phrases-pass-{turn}")
-        frequent = frequent | bitmap_of(found)
+        found = enough(keyed, f"phrases-pass-{turn}")
+        counts = found if counts is None else counts.union(found)
+        hashes = found.where("hash is not null")
+        frequent = frequent | bitmap_of(hashes)
         # frequent, but not proposed: what is made of them has not been counted
-        parts = bitmap_of(found.where(level < max_words))
+        parts = bitmap_of(hashes.where(level < max_words))
         missed = parts.without(proposed)
         if not missed.size():
             break
         if turn == 0 and FEW * missed.size() <= proposed.size():
-            around = count_hashes(texts, max_words, frequent, missed=missed)
-            sums = around.groupBy("hash").agg(F.sum("n").alias("n"))
-            frequent = frequent | bitmap_of(sums.where(F.col("n") >= min_count).select("hash"))
+            around = count_hashes(texts, max_words, frequent, missed=missed, known=known)
+            counts = counts.union(enough(around, "phrases-around"))
             break
         before, proposed = proposed, proposed | parts
-    counts = count_phrases(texts, max_words, frequent)
-    counts = counts.groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where((F.col("n") >= min_count) | (F.col("n_words") == 0)), "phrases-counts")
     words = counts.where("n_words = 0").select("lang", F.col("n").alias("words"))
-    return counts.where("n_words > 0"), words
+    return counts.where("n_words > 0 and phrase is not null").drop("hash"), words
 
 
 def _part(first: str, last: str):

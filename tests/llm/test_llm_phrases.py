@@ -150,6 +150,47 @@ def test_hashes_that_meet_change_nothing(spark, monkeypatch):
     assert found == plain_counts(texts)
 
 
+def test_phrases_are_told_once_whatever_the_tasks(spark, monkeypatch):
+    """No pass hands on each frequent phrase from every task that has met it."""
+    told, counted = [], []
+    tell, count = phrases.told, phrases.count_phrases
+    monkeypatch.setattr(phrases, "told", lambda *a: told.append(tell(*a)) or told[-1])
+    monkeypatch.setattr(phrases, "count_phrases", lambda *a, **k: counted.append(count(*a, **k)) or counted[-1])
+    docs = corpus(random.Random(5), 240)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(12)
+    rows = phrases.collocations(df, min_count=20, every=2).collect()
+    assert sorted(map(tuple, rows)) == plain_collocations(docs, 20)
+    frequent = sum(df.where("phrase is not null").count() for df in told)
+    assert frequent == sum(df.where("phrase is not null").select("lang", "phrase").distinct().count() for df in told) > 100
+    assert sum(df.where("n_words > 1").count() for df in counted) == 0
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 9])
+def test_words_without_a_number_change_nothing(spark, monkeypatch, most):
+    """A phrase is counted by its text if any of its words has no number."""
+    monkeypatch.setattr(phrases, "MOST_KNOWN", most)
+    docs = corpus(random.Random(11), 120)
+    assert mined(spark, docs, min_count=10, every=1) == plain_collocations(docs, 10)
+
+
+def test_keys_stand_for_one_phrase_each():
+    """Numbers of one and two bytes, other languages and unknown words: keys tell the phrase."""
+    pairs = [("en", f"w{i}".encode()) for i in range(60_000)] + [("de", b"w1"), ("de", "ß".encode())]
+    known = phrases.Known(pairs)
+    texts = {"en": b"w1 w255 w256 w59999 w0 new w1 w2", "de": "w1 ß w1 w2 日本 w1 ß".encode()}
+    found = set()
+    for lang, text in texts.items():
+        words = phrases.Words(text.split(), lang)
+        own = known.in_list(words, lang)
+        for n in range(1, 6):
+            begins = np.arange(len(words.words) - n + 1)
+            keys, order = known.keys(words, own, lang, n, begins)
+            for key, at in zip(keys.to_pylist(), order.tolist(), strict=True):
+                assert known.phrase(key) == (lang, words.words[at : at + n])
+                found.add((key, lang, b" ".join(words.words[at : at + n])))
+    assert len({key for key, _, _ in found}) == len(found) == len({p[1:] for p in found})
+
+
 def test_a_crowded_bitmap_changes_nothing(spark, monkeypatch):
     """Far more phrases than bits: everything is counted, results stay."""
     monkeypatch.setattr(phrases, "BITMAP_BITS", 64)
