@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readyscope.sources.scratch import stored
 
-__all__ = ["attach", "columns_of", "lean", "read_table", "stored", "unused", "whole"]
+__all__ = ["attach", "columns_of", "freeing_shuffles", "lean", "read_table", "stored", "unused", "whole"]
 
 # What a worker gets at a time, in rows and bytes
 BATCH_ROWS = 2000
@@ -35,6 +37,26 @@ def lean(docs: DataFrame) -> DataFrame:
     return docs
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here remove their shuffle files as they end.
+
+    Otherwise these stay until the driver's garbage is collected, so that jobs with large
+    shuffles need the disk for several at a time. For jobs whose results are stored or come
+    to the driver; a table that is left to be computed should be built outside.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def whole(text: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import attach, lean, stored
+from readyscope.llm.common import attach, freeing_shuffles, lean, stored
 
 MAX_WORDS = 5
 MIN_COUNT = 100
@@ -613,8 +613,9 @@ def collocations(
     every: int = SAMPLE_EVERY,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best phrases of every language."""
-    counts, words = frequent_phrases(docs, doc_id, text, lang, max_words, min_count, every)
-    phrases = stored(scored_phrases(counts, words), "phrases-scored")
+    with freeing_shuffles(docs.sparkSession):
+        counts, words = frequent_phrases(docs, doc_id, text, lang, max_words, min_count, every)
+        phrases = stored(scored_phrases(counts, words), "phrases-scored")
     kept = longest_only(phrases, share)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # first within parts of a language, so that none is ranked by one task as a whole

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from readyscope.llm import common
@@ -51,3 +52,16 @@ def test_stored_keeps_schema_and_rows(spark):
     kept = common.stored(df, "test-kept")
     assert kept.schema == df.schema and kept.collect() == df.collect()
     assert spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
+
+
+@pytest.mark.parametrize("set_before", [None, "false", "true"])
+def test_shuffle_files_go_only_within(spark, set_before):
+    """The session is left as it was, after an error too."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.unset(name) if set_before is None else spark.conf.set(name, set_before)
+    before = spark.conf.get(name, None)
+    with pytest.raises(KeyError), common.freeing_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        raise KeyError
+    assert spark.conf.get(name, None) == before
+    spark.conf.unset(name)
