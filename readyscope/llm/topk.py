@@ -5,6 +5,10 @@ bounded size. A tile is one query block against one shard: a matrix product, of
 each query keeps its best ``k``. The short lists are merged in a tree, ``FAN_IN`` of
 them at a time, so that no merge grows with the number of shards.
 
+The blocks go to the shards by broadcast, as many as make ``PASS_BYTES`` at a time, and
+every such pass reads all shards where they are stored: no packed vector is shuffled or
+copied for a tile, and the driver never holds more than the blocks of a pass.
+
 Defined results: vectors that are null, or hold a null or a component that is not
 finite, take no part; the empty vector takes part with score zero. Only vectors of the
 query's length are candidates. Rows that repeat both id and vector count once; a
@@ -22,10 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import stored
+from readyscope.llm.common import lean, stored
+from readyscope.sources.scratch import shared_directory
 
 SHARD_ROWS = 2048
 QUERY_ROWS = 1024
+PASS_BYTES = 16 * 1024 * 1024
 FAN_IN = 16
 
 _INTEGERS = (np.int16, np.int32, np.int64)
@@ -112,12 +118,14 @@ def top_k(
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
     fan_in: int = FAN_IN,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of all vectors for each query.
 
     ``vector`` is an array of integers, ``is_query`` says which rows are queries.
     """
-    rows = vectors.select(
+    # a tile is one row with all its cells, so few of them make a batch
+    rows = lean(vectors).select(
         F.col(vec_id).cast("long").alias("id"),
         F.col(vector).cast("array<long>").alias("vector"),
         F.size(vector).alias("length"),
@@ -140,11 +148,6 @@ def top_k(
         names = {c: f"{prefix}_{c}" for c in ("ids", "size", "cells")}
         return blocks_of.withColumnsRenamed(names)
 
-    # every shard meets every query block of its length, each pair in a task of its own
-    left = side(packed, "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = side(wanted, "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    tiles = left.join(right, ["length", "shard", "block"])
-
     def best(batches):
         for batch in batches:
             for _, row in batch.iterrows():
@@ -155,12 +158,31 @@ def top_k(
                     out = dict(zip(("query_id", "vec_id", "score"), columns, strict=True))
                     yield pd.DataFrame(out | {"part": int(row["shard"])})
 
-    lists = tiles.mapInPandas(best, "query_id long, vec_id long, score long, part int")
-    # a query id with several vectors has several rows; each candidate counts at its best
-    while shards > 1:
-        lists = _merged(lists.withColumn("part", F.expr(f"part div {fan_in}").cast("int")), k)
-        shards = math.ceil(shards / fan_in)
-    return _merged(lists, k).select("query_id", "rank", "vec_id", "score")
+    size = F.length("ids") + F.length("cells")
+    largest = wanted.groupBy("block").agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0]
+    step = max(1, pass_bytes // max(1, largest or 0))
+
+    def lists_of(first: int) -> DataFrame:
+        """The result for the queries of the blocks from ``first`` on that make a pass."""
+        some = side(wanted.where(F.col("block").between(first, first + step - 1)), "q")
+        # every shard meets every query block of its length
+        tiles = side(packed, "v").join(F.broadcast(some), "length")
+        lists = tiles.mapInPandas(best, "query_id long, vec_id long, score long, part int")
+        # a query id with several vectors has several rows; each candidate counts at its best
+        parts = shards
+        while parts > 1:
+            lists = _merged(lists.withColumn("part", F.expr(f"part div {fan_in}").cast("int")), k)
+            parts = math.ceil(parts / fan_in)
+        return _merged(lists, k).select("query_id", "rank", "vec_id", "score")
+
+    if blocks <= step:
+        return lists_of(0)
+    # one after the other, so that no two passes have their blocks in the driver at once;
+    # a query id is in one block only, so its list is whole after its pass
+    spark, path = vectors.sparkSession, shared_directory(vectors.sparkSession, "topk-lists")
+    for first in range(0, blocks, step):
+        lists_of(first).write.mode("append").parquet(path)
+    return spark.read.schema(lists_of(0).schema).parquet(path)
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from plan_text import plan
 from pyspark.sql import functions as F
 
 from readyscope.llm import registry, topk
@@ -69,3 +70,23 @@ def test_tile_picks_the_smallest_ids_among_equals():
     vectors, ids = np.ones((9, 2), np.int16), np.arange(9)
     found = list(topk.tile_top(vectors[:1], ids[:1], vectors, ids, 3))
     assert found == [(0, 1, 2), (0, 2, 2), (0, 3, 2)]
+
+
+@pytest.mark.parametrize("pass_bytes", [1, 600, 1 << 20])
+def test_passes_over_the_shards(spark, pass_bytes):
+    rng = random.Random(5)
+    vectors = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(150)]
+    vectors += [(8, [1, 2, 3, 4]), (8, [4, 3, 2, 1]), (203, [1, 2]), (204, [2, 1]), (210, []), (211, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    found = topk.top_k(
+        df, F.col("vec_id") % 7 == 0, k=5, shard_rows=30, query_rows=6, pass_bytes=pass_bytes
+    )
+    assert sorted(tuple(r) for r in found.collect()) == plain(vectors, lambda i: i % 7 == 0, 5)
+
+
+def test_no_packed_vector_is_copied_for_a_tile(spark):
+    """Copies per shard were broadcast at the size of one, and failed the driver."""
+    vectors = [(i, [i, -i]) for i in range(100)]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    text = plan(topk.top_k(df, F.col("vec_id") % 7 == 0, shard_rows=10, query_rows=4))
+    assert "Generate" not in text and "SortMergeJoin" not in text
