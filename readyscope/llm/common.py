@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from readyscope.sources.scratch import stored
 
-__all__ = ["attach", "columns_of", "freeing_shuffles", "lean", "read_table", "stored", "unused", "whole"]
+__all__ = [
+    "attach", "columns_of", "freeing_shuffles", "lean", "read_table", "sized", "stored", "unused", "whole",
+]
 
 # What a worker gets at a time, in rows and bytes
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 * 1024 * 1024
 
+# Beyond these, rows of a table that grows with the input do not go through the driver
+BROADCAST_ROWS = 100_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +83,15 @@ def columns_of(df: DataFrame, *but: str) -> list[Column]:
     ]
 
 
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    """One side of a join, of ``n`` rows: joined by shuffle where they are many.
+
+    Spark goes by the size of the files, where small or repeated values take a small part
+    of what they take as rows, and would have the driver broadcast ten times that size.
+    """
+    return rows.hint("merge") if n > BROADCAST_ROWS else rows
+
+
 def attach(
     rows: DataFrame, facts: DataFrame, key: list[str], hot_share: int | None = None
 ) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readyscope.llm.common import stored, whole
+from readyscope.llm.common import sized, stored, whole
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -118,7 +118,8 @@ def near_links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowded: int
         quiet = table
     else:
         quiet = table.join(full, ["seg", "value"], "left_anti")
-    a, b = probes.withColumnRenamed("fp", "a"), quiet.withColumnRenamed("fp", "b")
+    # Spark sizes exploded rows as if they had not been, and would broadcast the lookups
+    a, b = probes.withColumnRenamed("fp", "a").hint("merge"), quiet.withColumnRenamed("fp", "b")
     pairs = a.join(b, ["seg", "value"]).where(
         (F.col("a") != F.col("b"))
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
@@ -161,7 +162,7 @@ def _crowded_links(table, probes, full, max_distance):
             least = masked.groupBy(*key).agg(
                 F.min(F.when(F.col("member"), F.col("fp"))).alias("b"), F.count("*").alias("n")
             )
-            met = masked.join(least.where("n > 1 AND b IS NOT NULL"), key)
+            met = masked.hint("merge").join(least.where("n > 1 AND b IS NOT NULL"), key)
             found = met.where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
             links = found if links is None else links.unionByName(found)
     return links.distinct()
@@ -181,8 +182,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     touched = edges.select(F.col("a").alias("fp")).distinct()
     own = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("fp"))
     labels = stored(nodes.join(touched, "fp").select("fp", own.alias("label")), "simhash-labels")
+    n = labels.count()
     while True:
-        sent = edges.join(labels, edges["b"] == labels["fp"]).select(
+        sent = edges.join(sized(labels, n), edges["b"] == labels["fp"]).select(
             F.col("a").alias("fp"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old")
         )
         kept = labels.withColumn("old", F.col("label"))
@@ -191,13 +193,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
         nearest = stored(nearest, "simhash-labels")
         source = nearest.select(F.col("fp").alias("via"), F.col("label").alias("further"))
-        jumped = nearest.join(source, F.col("label.fp") == F.col("via"))
+        jumped = nearest.join(sized(source, n), F.col("label.fp") == F.col("via"))
         jumped = jumped.select("fp", F.least("label", "further").alias("label"), "old")
         labels = stored(jumped, "simhash-labels")
         if labels.where(F.col("label") != F.col("old")).isEmpty():
             break
         labels = labels.drop("old")
-    found = nodes.join(labels.select("fp", F.col("label.id").alias("root")), "fp", "left")
+    named = labels.select("fp", F.col("label.id").alias("root"))
+    found = nodes.join(sized(named, n), "fp", "left")
     root = F.coalesce("root", "id")
     return found.select("fp", F.when(root != NO_ID, root).alias("component_id"))
 
@@ -222,7 +225,7 @@ def near_duplicates(
     links = near_links(nodes, max_distance, crowded)
     roots = stored(components(nodes, links), "simhash-roots")
     # two plain scans, so that a fingerprint of very many copies can be split at run time
-    return marked.join(roots, marked["fingerprint"] == roots["fp"]).drop("fp")
+    return marked.join(sized(roots, roots.count()), marked["fingerprint"] == roots["fp"]).drop("fp")
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:

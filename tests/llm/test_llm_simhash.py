@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 import xxhash
+from plan_text import plan
 from pyspark.sql import functions as F
 
-from readyscope.llm import registry, simhash
+from readyscope.llm import common, registry, simhash
 from readyscope.llm.common import stored
 
 
@@ -112,3 +114,26 @@ def test_lookups_are_joins_on_the_segment(spark):
     nodes = stored(spark.range(100).select(F.xxhash64("id").alias("fp")), "test-nodes")
     plan = simhash.near_links(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    """Spark sizes them as if they had not been exploded: far too low for the driver."""
+    nodes = stored(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-nodes")
+    text = plan(simhash.near_links(nodes))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    # with crowded buckets, only the list of these may be
+    near = stored(spark.range(300).select((F.xxhash64("id") % 50).alias("fp")).distinct(), "test-nodes")
+    text = plan(simhash.near_links(near, crowded=2))
+    assert re.search(r"SortMergeJoin \[[^]]*mask", text)
+    assert not re.search(r"Broadcast\w+Join \[[^]]*mask", text)
+
+
+def test_components_by_shuffle(spark, monkeypatch):
+    """Labels of more rows than are broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    docs = [(i, f"alpha beta gamma delta {i % 8} epsilon zeta eta") for i in range(20)]
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "BroadcastHashJoin" not in plan(found)
+    prints = [(i, plain_fingerprint(text)) for i, text in docs]
+    wanted = {(i, signed(fp), root) for (i, fp), root in zip(prints, plain_components(prints), strict=True)}
+    assert {tuple(r) for r in found.collect()} == wanted
