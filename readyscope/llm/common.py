@@ -106,9 +106,9 @@ def attach(
     if hot_share is None:
         partitions = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         hot_share = max(1000, int(partitions))
-    total = facts.agg(F.sum("key_rows")).first()[0] or 0
-    is_hot = F.col("key_rows") * hot_share > total
+    total, n = facts.agg(F.sum("key_rows"), F.count("*")).first()
+    is_hot = F.col("key_rows") * hot_share > (total or 0)
     hot = F.broadcast(facts.where(is_hot).drop("key_rows"))
-    rest = facts.where(~is_hot).drop("key_rows")
+    rest = sized(facts.where(~is_hot).drop("key_rows"), n)
     cold_rows = rows.join(hot.select(*key), key, "left_anti")
     return rows.join(hot, key).unionByName(cold_rows.join(rest, key))

@@ -1,4 +1,5 @@
 import pytest
+from plan_text import plan
 from pyspark.sql import functions as F
 
 from readyscope.llm import common
@@ -65,3 +66,14 @@ def test_shuffle_files_go_only_within(spark, set_before):
         raise KeyError
     assert spark.conf.get(name, None) == before
     spark.conf.unset(name)
+
+
+def test_many_facts_are_not_broadcast(spark):
+    """Their files are small, as rows they are ten times that."""
+    rows = common.stored(spark.range(common.BROADCAST_ROWS + 1).withColumnRenamed("id", "key"), "test-rows")
+    facts = common.stored(rows.withColumn("key_rows", F.lit(1).cast("long")), "test-facts")
+    found = common.attach(rows, facts, ["key"])
+    assert "SortMergeJoin" in plan(found) and found.count() == common.BROADCAST_ROWS + 1
+    few = facts.where("key < 10")
+    assert "SortMergeJoin" not in plan(common.attach(rows, few, ["key"]))
+    assert plan(rows.join(common.sized(few, 10), "key")).count("BroadcastHashJoin") == 1
